@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +52,36 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             size += (n or 0) + 16
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+U = np.uint64
+_step = U(0x9E3779B97F4A7C13)
+
+
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit finalizer: all bits depend on all bits."""
+    x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+#: A number for each byte: sums of these times powers of the step are hashes of runs of bytes.
+byte_values = mix(np.arange(256, dtype=U), 7)
+
+
+class Powers:
+    """Powers of the odd step and of its inverse modulo 2**64, as far as any text has needed them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U)
+
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 1 << 16)
+            back = U(pow(int(_step), -1, 2**64))
+            self.up = np.cumprod(np.r_[U(1), np.full(n - 1, _step, U)])
+            self.down = np.cumprod(np.r_[U(1), np.full(n - 1, back, U)])
+
+
+powers = Powers()

@@ -21,42 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidscreen.llm.common import materialize, pieces
+from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers
 
 U = np.uint64
 SIGNATURE_BITS = 1024
 SIZE_BITS = 24
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_step = U(0x9E3779B97F4A7C13 | 3)
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit finalizer: all bits depend on all bits."""
-    x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-_value = mix(np.arange(256, dtype=U), 7)
-
-
-class _Powers:
-    """Powers of the odd step and of its inverse modulo 2**64, as far as any text has needed them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U)
-
-    def reach(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 1 << 16)
-            back = U(pow(int(_step), -1, 2**64))
-            self.up = np.cumprod(np.r_[U(1), np.full(n - 1, _step, U)])
-            self.down = np.cumprod(np.r_[U(1), np.full(n - 1, back, U)])
-
-
-_powers = _Powers()
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +35,12 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(raw, np.uint8)
     if not len(a):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    _powers.reach(len(a) + 1)
+    powers.reach(len(a) + 1)
     space = _space[a]
     begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
     end = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
-    total = np.r_[U(0), np.cumsum(_value[a] * _powers.up[: len(a)])]
-    return mix((total[end] - total[begin]) * _powers.down[begin] + (end - begin).astype(U)), begin
+    total = np.r_[U(0), np.cumsum(byte_values[a] * powers.up[: len(a)])]
+    return mix((total[end] - total[begin]) * powers.down[begin] + (end - begin).astype(U)), begin
 
 
 def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
