@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidscreen.functions.text import all_matches
@@ -30,7 +30,11 @@ def extract(chunks: DataFrame, profile: Profile) -> DataFrame:
         "person": F.flatten(F.array(*[all_matches(text, profile.u(p), 1) for p in profile.persons])),
         "team_member": F.flatten(F.array(*[all_matches(text, profile.u(p), 1) for p in profile.team])),
     }
-    tagged = [F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("field_type"), v.alias("value"))) for kind, values in found.items()]
+
+    def tag(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("field_type"), v.alias("value")))
+
+    tagged = [tag(kind, values) for kind, values in found.items()]
     return chunks.select(*DOC, F.explode(F.flatten(F.array(*tagged))).alias("f")).select(*DOC, "f.field_type", "f.value").distinct()
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscreen.functions.text import all_matches
-from bidscreen.functions.vectors import dot
 from bidscreen.profile import Profile
 
 KEY = ("task_id", "doc_id", "doc_ord", "chunk_id", "chunk_index")
@@ -45,23 +46,45 @@ def keyword_jaccard(a: Column, b: Column) -> Column:
 
 def text_pairs(weights: DataFrame, at_least: float, max_df: int | None = None) -> DataFrame:
     """(task_id, chunk_q, chunk_h, similarity) by cosine of sparse text vectors, both directions: an inverted
-    index. max_df drops terms of more chunks; where given, similarity is over the other terms alone."""
+    index. max_df drops terms of more chunks; where given, similarity is over the other terms alone.
+    Similarities are rounded to nine places, so that the order of summation doesn't decide at a threshold."""
     w = weights if max_df is None else weights.where(F.col("df") <= max_df)
     length = w.groupBy("task_id", "chunk_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     unit = w.join(length, ["task_id", "chunk_id"]).select("task_id", "chunk_id", "doc_id", "term", (F.col("weight") / F.col("length")).alias("w"))
     q = unit.select("task_id", "term", F.col("chunk_id").alias("chunk_q"), F.col("doc_id").alias("doc_q"), F.col("w").alias("w_q"))
     h = unit.select("task_id", "term", F.col("chunk_id").alias("chunk_h"), F.col("doc_id").alias("doc_h"), F.col("w").alias("w_h"))
-    both = q.join(h, ["task_id", "term"]).where("doc_q < doc_h").groupBy("task_id", "chunk_q", "chunk_h").agg(F.sum(F.col("w_q") * F.col("w_h")).alias("similarity"))
+    both = q.join(h, ["task_id", "term"]).where("doc_q < doc_h").groupBy("task_id", "chunk_q", "chunk_h").agg(F.round(F.sum(F.col("w_q") * F.col("w_h")), 9).alias("similarity"))
     near = both.where(F.col("similarity") >= at_least)
     return near.unionByName(near.select("task_id", F.col("chunk_h").alias("chunk_q"), F.col("chunk_q").alias("chunk_h"), "similarity"))
 
 
-def vector_pairs(vectors: DataFrame, at_least: float) -> DataFrame:
-    """The same by inner product of unit vectors (task_id, doc_id, chunk_id, embedding) within a task."""
-    q = vectors.select("task_id", F.col("chunk_id").alias("chunk_q"), F.col("doc_id").alias("doc_q"), F.col("embedding").alias("q"))
-    h = vectors.select("task_id", F.col("chunk_id").alias("chunk_h"), F.col("doc_id").alias("doc_h"), F.col("embedding").alias("h"))
-    both = q.join(h, "task_id").where("doc_q < doc_h").select("task_id", "chunk_q", "chunk_h", dot(F.col("q"), F.col("h")).alias("similarity"))
-    near = both.where(F.col("similarity") >= at_least)
+def vector_pairs(vectors: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
+    """The same by inner product of unit vectors (task_id, doc_id, chunk_id, embedding) within a task.
+
+    A task's vectors are dealt into blocks of about `block`; each two blocks meet in one group of bounded
+    size, where a matrix product finds the pairs: only those that reach the threshold are emitted.
+    """
+    n = vectors.groupBy("task_id").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    v = vectors.join(n, "task_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("n_blocks")).cast("int"))
+    columns = ["task_id", "doc_id", "chunk_id", "embedding"]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in columns]
+    q = v.select(*side("q"), F.col("block").alias("i_q"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j_q"))
+    h = v.select(*side("h"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i_h"), F.col("block").alias("j_h"))
+
+    def multiply(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"task_id": [], "chunk_q": [], "chunk_h": [], "similarity": []}
+        if len(a) and len(b):
+            x, y = (np.array(d.tolist(), np.float64) for d in (a.embedding_q, b.embedding_h))
+            scores = x @ y.T
+            ok = (scores >= at_least) & (a.doc_id_q.to_numpy()[:, None] != b.doc_id_h.to_numpy()[None, :])
+            if key[1] == key[2]:
+                ok &= a.chunk_id_q.to_numpy()[:, None] < b.chunk_id_h.to_numpy()[None, :]
+            i, j = np.nonzero(ok)
+            out = {"task_id": [key[0]] * len(i), "chunk_q": a.chunk_id_q.to_numpy()[i], "chunk_h": b.chunk_id_h.to_numpy()[j], "similarity": scores[i, j]}
+        return pd.DataFrame(out)
+
+    fields = dict(vectors.dtypes)
+    near = q.groupBy("task_id_q", "i_q", "j_q").cogroup(h.groupBy("task_id_h", "i_h", "j_h")).applyInPandas(multiply, f"task_id {fields['task_id']}, chunk_q {fields['chunk_id']}, chunk_h {fields['chunk_id']}, similarity double")
     return near.unionByName(near.select("task_id", F.col("chunk_h").alias("chunk_q"), F.col("chunk_q").alias("chunk_h"), "similarity"))
 
 

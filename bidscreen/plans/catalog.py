@@ -4,8 +4,270 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bidscreen.functions.text import strip
+from bidscreen.operators import chunking, fields, prices, rare, report, scoring, similarity, structure, whitelist
+from bidscreen.plans import base
+from bidscreen.plans.base import table
+from bidscreen.plans.oracles import ORACLES  # noqa: F401  part of the catalog
+from bidscreen.profile import LATIN, ZH
+from bidscreen.sources import ingest, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "composite_risk"
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with section and type."""
+    return base.paragraphs(spark, sf_dir).select("task_id", "doc_id", "pos", F.length("text").alias("n_chars"), "section", "chunk_type")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with ids, types and marks."""
+    return base.chunks(spark, sf_dir).select("task_id", "doc_id", "chunk_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"), "section_title", "chunk_type", "char_count", "is_whitelisted")
+
+
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of whole texts."""
+    w = base.documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sliding_windows(F.col("text"), ZH)).alias("n", "piece"))
+    return w.select("doc_id", "n", F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
+
+
+def key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct fields of documents."""
+    return base.key_fields(spark, sf_dir).select("task_id", "doc_id", "field_type", "value")
+
+
+def key_fields_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one row per document."""
+    w = fields.wide(base.key_fields(spark, sf_dir))
+    return w.select("task_id", "doc_id", F.array_join("phone", "|").alias("phones"), F.array_join("email", "|").alias("emails"), F.array_join("company", "|").alias("companies"))
+
+
+def exact_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: fields that two documents share."""
+    return fields.exact_overlaps(base.key_fields(spark, sf_dir)).select("task_id", "doc_a", "doc_b", "field_type", "value_a")
+
+
+def all_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2, O3: exact and fuzzy overlaps with notes."""
+    return fields.overlaps(base.key_fields(spark, sf_dir), LATIN).select("task_id", "doc_a", "doc_b", "field_type", "value_a", "value_b", "overlap_type", "risk_note")
+
+
+def rare_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare grams and quantities in common."""
+    return base.rare_matches(spark, sf_dir).select("task_id", "doc_a", "doc_b", "token", "freq_in_a", "freq_in_b", "token_type")
+
+
+def rare_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal of a pair."""
+    s = rare.signal(base.rare_matches(spark, sf_dir))
+    tokens = F.transform("matches", lambda m: m["token"])
+    return s.select("task_id", "doc_a", "doc_b", "total_match_count", "rare_level", F.md5(F.array_join(tokens, "|").cast("binary")).alias("tokens_md5"), F.array_join("number_unit_matches", "|").alias("numbers"))
+
+
+def price_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared totals of bids."""
+    return prices.totals(base.bids(spark, sf_dir), ZH).select("task_id", "doc_id", "total")
+
+
+def price_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price items of bids."""
+    lines = base.bids(spark, sf_dir).withColumn("chunk_id", F.lit(""))
+    return prices.price_items(lines, ZH).groupBy("task_id", "doc_id", "label", "amount").agg(F.count("*").alias("n"))
+
+
+def price_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bids with close totals."""
+    return base.price_pairs(spark, sf_dir).select("task_id", "doc_a", "doc_b", "total_a", "total_b", F.round("proximity", 6).alias("proximity"), "price_level")
+
+
+def meta_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of pairs that share an author or were saved close in time."""
+    return base.meta_pairs(spark, sf_dir).select("task_id", "doc_a", "doc_b", "same_author", F.round("time_gap_minutes", 4).alias("time_gap_minutes"), "is_timestamp_clustered", "meta_level")
+
+
+def paged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: conversations as paged documents."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), "text")
+    texts, page_map = ingest.assemble_pages(pages)
+    return page_map.join(texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")), "doc_id")
+
+
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: the page of each line of a paged document, by its first 30 characters."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), "text")
+    texts, page_map = ingest.assemble_pages(pages)
+    docs = texts.withColumns({"task_id": F.lit("all"), "doc_ord": F.col("doc_id")})
+    lines = chunking.split_paragraphs(docs, LATIN).withColumnRenamed("body", "text")
+    found = chunking.look_up_pages(lines.select("task_id", "doc_id", "pos", "text"), docs, page_map)
+    return found.select("doc_id", "pos", "page_num")
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines rendered as table rows under a header, one document a customer's order."""
+    items = table(spark, sf_dir, "lineitem")
+    cell = lambda i, c: F.struct(F.lit(i).alias("id"), c.cast("string").alias("text"))
+    body = items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_idx"), F.array(cell(0, F.col("l_partkey")), cell(1, F.col("l_returnflag")), cell(2, F.col("l_linestatus"))).alias("cells"))
+    head = items.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row_idx"), F.array(cell(0, F.lit("part")), cell(1, F.lit("flag")), cell(2, F.lit("status"))).alias("cells"))
+    lines = ingest.render_table_rows(head.unionByName(body).withColumn("table_id", F.lit(1)), ZH)
+    blocks = head.select("doc_id", F.lit(0).alias("block_idx"), F.lit("p").alias("kind"), F.lit("Heading 1").alias("style"), F.lit("order").alias("text"))
+    texts = ingest.flatten_blocks(blocks, lines, ZH)
+    return texts.select("doc_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def format_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the format of their address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit(".PDF")).when(F.col("page_id") % 3 == 1, F.lit(".xls")).otherwise(F.lit(""))).alias("path"))
+    good, bad = ingest.format_gate(pages)
+    return good.select("page_id", "suffix", F.lit("accepted").alias("state")).unionByName(bad.select("page_id", F.lit("").alias("suffix"), F.lit("rejected").alias("state")))
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2: the keywords of each chunk."""
+    k = similarity.keywords(base.term_weights(spark, sf_dir), LATIN)
+    return k.select("task_id", "chunk_id", F.array_join("keywords", " ").alias("keywords"))
+
+
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V5 over text vectors: similar chunks across the documents of a task."""
+    c = base.chunks(spark, sf_dir)
+    near = similarity.text_pairs(similarity.term_weights(c, LATIN), base.MIN_SIMILARITY, max_df=base.MAX_DF)
+    return similarity.retrieve(c, near, base.TOP).select("task_id", "chunk_a", "chunk_b", F.round("similarity", 6).alias("similarity"))
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, V3 over given vectors: each one's ten nearest of at least 0.25 in the other documents of one task."""
+    v = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("task_id"), (F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    near = similarity.vector_pairs(v, 0.25)
+    best = Window.partitionBy("chunk_q").orderBy(F.desc(F.round("similarity", 9)), "chunk_h")
+    found = near.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return found.select("chunk_q", "rank", "chunk_h", F.round("similarity", 6).alias("similarity"))
+
+
+def phrase_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors close to a phrase; each label's first vector is a phrase."""
+    e = table(spark, sf_dir, "embeddings")
+    phrases = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    v = e.select(F.lit("all").alias("task_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    return whitelist.close_to_phrases(v, phrases, 0.3).select("chunk_id")
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of candidates from 45 on."""
+    p = scoring.candidates_above(base.scored_pairs(spark, sf_dir))
+    return p.select("task_id", "pair_id", "chunk_a", "chunk_b", F.round("keyword_overlap", 6).alias("keyword_overlap"), "context_bonus", "base_risk_score", "risk_level")
+
+
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer gets."""
+    names = base.documents(spark, sf_dir).select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"))
+    requests = scoring.review_requests(scoring.review_queue(base.scored_pairs(spark, sf_dir)), names, LATIN)
+    return requests.select("task_id", "pair_id", "doc_a_name", "doc_b_name", "section_a", "section_b", F.md5(F.col("text_a").cast("binary")).alias("text_a_md5"), "base_risk_score")
+
+
+def verdicts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies rendered from labels: some adjust too far, some give no reason, some aren't JSON."""
+    q, t = F.col("quality"), F.col("toxic")
+    reason = F.when(F.col("doc_id") % 5 == 0, "short").otherwise("the passages agree in wording and order")
+    body = F.format_string('{"risk_level":"%s","risk_type":"%s","confidence":%s,"reason_zh":"%s","score_adjustment":%s}', F.when(q == 1, "low").otherwise("high"), F.when(t == 1, "verbatim_copy").otherwise("template_reuse"), F.when(F.col("doc_id") % 7 == 0, "1.5").otherwise("0.8"), reason, (F.col("doc_id") % 31 - 15).cast("string"))
+    content = F.when(F.col("doc_id") % 11 == 0, "no verdict").otherwise(F.concat(F.lit("Reply: "), body, F.lit(" end")))
+    return table(spark, sf_dir, "labels").select(F.lit("all").alias("task_id"), F.col("doc_id").cast("string").alias("pair_id"), content.alias("content"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts checked and applied to a pair of score 70."""
+    replies = verdicts_of(spark, sf_dir)
+    pairs = replies.select("task_id", "pair_id", F.lit(70.0).alias("base_risk_score"), F.lit(70.0).alias("final_score"), F.lit("medium").alias("risk_level"))
+    done = scoring.apply_verdicts(pairs, scoring.parse_verdicts(replies))
+    return done.select("pair_id", "final_score", "risk_level", "risk_type", "confidence", "llm_adjustment", "reason_zh")
+
+
+def text_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text risk of tasks."""
+    pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir))
+    return scoring.text_risk(pairs, base.chunk_counts(spark, sf_dir)).select("task_id", "n_high", "n_medium", "n_low", "n_pairs", "text_level", "text_rate")
+
+
+def composite_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite level of every pair with evidence."""
+    c = base.composite(spark, sf_dir)
+    return c.select("task_id", "doc_a", "doc_b", "text_level", "text_rate", "exact_phone_email_count", "total_match_count", "final_level", F.size("triggered_signals").alias("n_signals"))
+
+
+def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q5, Q6: counts of a task's report, flattened."""
+    pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir))
+    counts = base.chunk_counts(spark, sf_dir).withColumn("name", F.col("doc_id").cast("string"))
+    tasks = counts.select("task_id").distinct()
+    found = report.assemble(tasks, pairs, counts, base.composite(spark, sf_dir))
+    sizes = [F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("risk_pairs", "n_risk_pairs"), ("doc_info", "n_documents"), ("composite_risk", "n_composite"))]
+    return found.select("task_id", "high_risk_count", "medium_risk_count", "low_risk_count", "total_pairs", *sizes)
+
+
+def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: the newest twenty tasks, where an order is a task."""
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("created_at"))
+    return report.history(tasks, 0, 20)
+
+
+def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: status, level and rate of each task."""
+    docs = base.documents(spark, sf_dir)
+    text = scoring.text_risk(scoring.candidates_above(base.scored_pairs(spark, sf_dir)), base.chunk_counts(spark, sf_dir))
+    return report.task_results(docs.select("task_id").distinct(), docs, text, base.composite(spark, sf_dir))
+
+
+def documents_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: the documents of one task."""
+    return report.documents_of_task(base.documents(spark, sf_dir), "src0").select("task_id", "doc_id", F.length("text").alias("n_chars"))
+
+
+def pairs_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The high pairs of one task as CSV rows."""
+    p = report.pairs_of_task(scoring.candidates_above(base.scored_pairs(spark, sf_dir)), "src0", "high")
+    return sinks.csv_rows(p).select("pair_id", "risk_level", "final_score", F.length("doc_a_text").alias("n_a"), "doc_a_section", "reason_zh")
+
+
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite levels against labels: pairs of documents of low quality are expected to be high."""
+    low = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    c = base.composite(spark, sf_dir)
+    q = lambda s: low.select(F.col("doc_id").alias(f"doc_{s}"), F.col("quality").alias(f"q_{s}"))
+    expected = c.join(q("a"), "doc_a").join(q("b"), "doc_b").select("task_id", "doc_a", "doc_b", F.when((F.col("q_a") == 0) & (F.col("q_b") == 0), "high").otherwise("low").alias("expected"))
+    return report.evaluate(c, expected)
+
+
+def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type, without the users whose account was closed."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("chunk_id"), F.struct("ts", "event_id").alias("version"), "event_id")
+    odd = F.col("event_id") % 2 == 1
+    merged = sinks.upsert(e.where(~odd), e.where(odd))
+    gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("task_id"))
+    return sinks.without_tasks(merged, gone).select("task_id", "chunk_id", "event_id")
+
+
+def heading_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title sets of sources' documents; a document's first line is taken for its title, the lines before the last for headings."""
+    return structure.title_jaccard(_titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def structure_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of pairs that share a heading."""
+    return structure.compare(_titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", "title_jaccard", "sequence_similarity", F.size("matched_sections").alias("n_matched"), "overall_score", "structure_level")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chunking.split_paragraphs(base.documents(spark, sf_dir), LATIN)
+    return structure.headings(lines.select("task_id", "doc_id", "doc_ord", F.col("pos").alias("chunk_index"), strip(F.col("body")).alias("text"), F.lit(True).alias("is_heading")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, price_totals, price_items, price_signal,
+        meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, text_risk,
+        composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, evaluation, upserts, heading_structure, structure_signal,
+    )
+}
