@@ -71,29 +71,30 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFr
 
     out = out.withColumn("_places", F.array_sort(F.array_compact(F.transform("_sorted", repeated))))
     covered = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("_places", i + 1) - p, F.lit(window)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    words = F.size("_words").cast("bigint")
-    some = lambda c: F.greatest(c, F.lit(1))
-    out = out.withColumns(
-        {
-            "n_words": words,
-            "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint"),
-            "n_lines": F.size("_lines").cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint"),
-            "n_capital_lines": F.size(F.filter("_lines", lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("bigint"),
-        }
-    ).drop("_words", "_lines", "_hashes", "_sorted", "_places")
-    return out.withColumns(
-        {
-            "mean_word_length": F.col("word_chars") / some(F.col("n_words")),
-            "symbols_per_word": F.col("n_symbols") / some(F.col("n_words")),
-            "stop_word_ratio": F.col("n_stop_words") / some(F.col("n_words")),
-            "dup_line_ratio": F.col("n_dup_lines") / some(F.col("n_lines")),
-            "capital_line_ratio": F.col("n_capital_lines") / some(F.col("n_lines")),
-        }
-    )
+    count = lambda c: F.size(c).cast("bigint")
+    some = lambda c: F.greatest(F.col(c), F.lit(1))
+    counts = {
+        "n_words": count("_words"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint"),
+        "n_lines": count("_lines"),
+        "n_dup_lines": count("_lines") - count(F.array_distinct("_lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
+        "n_stop_words": count(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_capital_lines": count(F.filter("_lines", lambda x: (x == F.upper(x)) & (x != F.lower(x)))),
+    }
+    ratios = {
+        "mean_word_length": F.col("word_chars") / some("n_words"),
+        "symbols_per_word": F.col("n_symbols") / some("n_words"),
+        "stop_word_ratio": F.col("n_stop_words") / some("n_words"),
+        "dup_line_ratio": F.col("n_dup_lines") / some("n_lines"),
+        "capital_line_ratio": F.col("n_capital_lines") / some("n_lines"),
+    }
+    # a row of its own for each text: filters on measures can't be moved below it, where each step would be put
+    # into the next one as often as it is used, and worked out as often
+    kept = [c for c in docs.columns if c not in counts and c not in ratios]
+    out = out.select(*[F.col(c) for c in kept], F.inline(F.array(F.struct(*[v.alias(k) for k, v in counts.items()]))))
+    return out.withColumns(ratios)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
