@@ -58,10 +58,14 @@ def exact_overlaps(fields: DataFrame) -> DataFrame:
     return both.select(*PAIR, "field_type", F.col("value").alias("value_a"), F.col("value").alias("value_b"), F.lit("exact").alias("overlap_type"))
 
 
-@F.pandas_udf("double")
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff and Obershelp's ratio; the order of its arguments matters."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def match_ratio(a: str, b: str) -> Column:
+    """Ratcliff and Obershelp's ratio of two columns; their order matters."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, v, w).ratio() for v, w in zip(x, y, strict=True)], dtype=float)
+
+    return ratio(a, b)
 
 
 def similar_values(fields: DataFrame, threshold: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bidscreen.operators import chunking, fields, metadata, prices, rare, scoring, similarity, synthesis, whitelist
 from bidscreen.profile import LATIN, ZH
+from bidscreen.sources.shared import written
 
 #: Terms of more chunks of a task than this take no part in the text similarity of these queries.
 MAX_DF = 20
@@ -26,7 +27,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whitelist.mark(chunking.chunk_documents(documents(spark, sf_dir), LATIN), WHITELIST)
+    """The chunks of all documents, written once: terms, retrieval and scores all read them."""
+    return written(whitelist.mark(chunking.chunk_documents(documents(spark, sf_dir), LATIN), WHITELIST), "chunks")
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,30 +67,31 @@ def meta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.term_weights(chunks(spark, sf_dir), LATIN)
+    return written(similarity.term_weights(chunks(spark, sf_dir), LATIN), "weights")
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    weights = similarity.term_weights(c, LATIN)
+def scored_pairs(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    c = c if c is not None else chunks(spark, sf_dir)
+    weights = written(similarity.term_weights(c, LATIN), "weights")
     near = similarity.text_pairs(weights, MIN_SIMILARITY, max_df=MAX_DF)
     found = similarity.retrieve(c, near, TOP)
-    return scoring.score_pairs(found, c, similarity.keywords(weights, LATIN))
+    return written(scoring.score_pairs(found, c, similarity.keywords(weights, LATIN)), "pairs")
 
 
-def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).groupBy("task_id", "doc_id", "doc_ord").agg(F.count("*").alias("n_chunks"))
+def chunk_counts(c: DataFrame) -> DataFrame:
+    return c.groupBy("task_id", "doc_id", "doc_ord").agg(F.count("*").alias("n_chunks"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Every pair of documents of a task with any text, field or rare-token evidence."""
-    pairs = scoring.candidates_above(scored_pairs(spark, sf_dir))
+    c = c if c is not None else chunks(spark, sf_dir)
+    pairs = scoring.candidates_above(pairs if pairs is not None else scored_pairs(spark, sf_dir, c))
     by = ("task_id", "doc_id_a", "doc_id_b")
     ordered = pairs.withColumns({"doc_id_a": F.least("doc_id_a", "doc_id_b"), "doc_id_b": F.greatest("doc_id_a", "doc_id_b")})
-    text = scoring.text_risk(ordered, chunk_counts(spark, sf_dir), by).select("task_id", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), F.col("doc_id_a").alias("ord_a"), F.col("doc_id_b").alias("ord_b"), "text_level", "text_rate")
-    found = fields.exact_overlaps(key_fields(spark, sf_dir))
-    return synthesis.assemble(text=text, overlaps=found, rare=rare.signal(rare_matches(spark, sf_dir)))
+    text = scoring.text_risk(ordered, chunk_counts(c), by).select("task_id", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), F.col("doc_id_a").alias("ord_a"), F.col("doc_id_b").alias("ord_b"), "text_level", "text_rate")
+    found = written(fields.exact_overlaps(key_fields(spark, sf_dir)), "overlaps")
+    return synthesis.assemble(text=text, overlaps=found, rare=written(rare.signal(rare_matches(spark, sf_dir)), "rare"))
 
 
-def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.synthesize(signals(spark, sf_dir))
+def composite(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    return synthesis.synthesize(signals(spark, sf_dir, c, pairs))

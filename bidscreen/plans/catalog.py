@@ -14,6 +14,7 @@ from bidscreen.plans.base import table
 from bidscreen.plans.oracles import ORACLES  # noqa: F401  part of the catalog
 from bidscreen.profile import LATIN, ZH
 from bidscreen.sources import ingest, sinks
+from bidscreen.sources.shared import written
 
 FLAGSHIP = "composite_risk"
 
@@ -133,7 +134,8 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2-V5 over text vectors: similar chunks across the documents of a task."""
     c = base.chunks(spark, sf_dir)
-    near = similarity.text_pairs(similarity.term_weights(c, LATIN), base.MIN_SIMILARITY, max_df=base.MAX_DF)
+    weights = written(similarity.term_weights(c, LATIN), "weights")
+    near = similarity.text_pairs(weights, base.MIN_SIMILARITY, max_df=base.MAX_DF)
     return similarity.retrieve(c, near, base.TOP).select("task_id", "chunk_a", "chunk_b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -186,8 +188,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text risk of tasks."""
-    pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir))
-    return scoring.text_risk(pairs, base.chunk_counts(spark, sf_dir)).select("task_id", "n_high", "n_medium", "n_low", "n_pairs", "text_level", "text_rate")
+    c = base.chunks(spark, sf_dir)
+    pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir, c))
+    return scoring.text_risk(pairs, base.chunk_counts(c)).select("task_id", "n_high", "n_medium", "n_low", "n_pairs", "text_level", "text_rate")
 
 
 def composite_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +201,11 @@ def composite_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, Q5, Q6: counts of a task's report, flattened."""
-    pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir))
-    counts = base.chunk_counts(spark, sf_dir).withColumn("name", F.col("doc_id").cast("string"))
+    c = base.chunks(spark, sf_dir)
+    pairs = base.scored_pairs(spark, sf_dir, c)
+    counts = base.chunk_counts(c).withColumn("name", F.col("doc_id").cast("string"))
     tasks = counts.select("task_id").distinct()
-    found = report.assemble(tasks, pairs, counts, base.composite(spark, sf_dir))
+    found = report.assemble(tasks, scoring.candidates_above(pairs), counts, base.composite(spark, sf_dir, c, pairs))
     sizes = [F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("risk_pairs", "n_risk_pairs"), ("doc_info", "n_documents"), ("composite_risk", "n_composite"))]
     return found.select("task_id", "high_risk_count", "medium_risk_count", "low_risk_count", "total_pairs", *sizes)
 
@@ -214,9 +218,10 @@ def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: status, level and rate of each task."""
-    docs = base.documents(spark, sf_dir)
-    text = scoring.text_risk(scoring.candidates_above(base.scored_pairs(spark, sf_dir)), base.chunk_counts(spark, sf_dir))
-    return report.task_results(docs.select("task_id").distinct(), docs, text, base.composite(spark, sf_dir))
+    docs, c = base.documents(spark, sf_dir), base.chunks(spark, sf_dir)
+    pairs = base.scored_pairs(spark, sf_dir, c)
+    text = scoring.text_risk(scoring.candidates_above(pairs), base.chunk_counts(c))
+    return report.task_results(docs.select("task_id").distinct(), docs, text, base.composite(spark, sf_dir, c, pairs))
 
 
 def documents_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +238,7 @@ def pairs_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite levels against labels: pairs of documents of low quality are expected to be high."""
     low = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    c = base.composite(spark, sf_dir)
+    c = written(base.composite(spark, sf_dir), "composite")
     q = lambda s: low.select(F.col("doc_id").alias(f"doc_{s}"), F.col("quality").alias(f"q_{s}"))
     expected = c.join(q("a"), "doc_a").join(q("b"), "doc_b").select("task_id", "doc_a", "doc_b", F.when((F.col("q_a") == 0) & (F.col("q_b") == 0), "high").otherwise("low").alias("expected"))
     return report.evaluate(c, expected)

@@ -50,7 +50,7 @@ one AS (SELECT task_id, doc_id, unnest(f) AS f FROM found),
 fields AS (SELECT DISTINCT task_id, doc_id, field_type, value FROM (SELECT task_id, doc_id, f.t AS field_type, unnest(f.v) AS value FROM one))"""
 
 OVERLAPS = f"""{FIELDS},
-overlaps AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field_type, a.value FROM fields a JOIN fields b ON a.task_id = b.task_id AND a.field_type = b.field_type AND a.value = b.value AND a.doc_id < b.doc_id
+shared_fields AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field_type, a.value FROM fields a JOIN fields b ON a.task_id = b.task_id AND a.field_type = b.field_type AND a.value = b.value AND a.doc_id < b.doc_id
    WHERE a.field_type <> 'project')"""
 
 RARE = f"""
@@ -113,7 +113,7 @@ COMPOSITE = f"""{TEXT_RISK}, {OVERLAPS}, {RARE.replace("words AS", "rwords AS").
 pair_text AS (SELECT a.task_id, least(doc_id_a, doc_id_b) AS doc_a, greatest(doc_id_a, doc_id_b) AS doc_b, count(DISTINCT CASE WHEN risk_level <> 'none' THEN chunk_a END) AS covered, count(*) FILTER (risk_level = 'high') AS n_high, count(*) FILTER (risk_level = 'medium') AS n_medium, count(*) AS n FROM above a GROUP BY ALL),
 pair_rate AS (SELECT p.*, CASE WHEN n_chunks > 0 THEN covered / n_chunks ELSE 0.0 END AS rate, n_high / n AS share FROM pair_text p LEFT JOIN counts c ON c.task_id = p.task_id AND c.doc_id = p.doc_a),
 text_signal AS (SELECT task_id, doc_a, doc_b, CASE WHEN rate >= 0.3 OR share >= 0.05 THEN 'high' WHEN rate >= 0.15 OR (n_high >= 1 AND n_medium >= 3) THEN 'medium' ELSE 'low' END AS text_level, round(rate, 4) AS text_rate FROM pair_rate),
-field_signal AS (SELECT task_id, doc_a, doc_b, count(*) FILTER (field_type IN ('phone', 'email')) AS contacts, count(*) FILTER (field_type IN ('person', 'team_member')) AS people FROM overlaps GROUP BY ALL),
+field_signal AS (SELECT task_id, doc_a, doc_b, count(*) FILTER (field_type IN ('phone', 'email')) AS contacts, count(*) FILTER (field_type IN ('person', 'team_member')) AS people FROM shared_fields GROUP BY ALL),
 rare_signal AS (SELECT task_id, doc_a, doc_b, count(*) AS matches FROM rare GROUP BY ALL),
 all_pairs AS (SELECT task_id, doc_a, doc_b FROM text_signal UNION SELECT task_id, doc_a, doc_b FROM field_signal UNION SELECT task_id, doc_a, doc_b FROM rare_signal),
 signals AS (SELECT p.*, coalesce(text_level, 'low') AS text_level, coalesce(text_rate, 0.0) AS text_rate, coalesce(contacts, 0) AS contacts, coalesce(people, 0) AS people, coalesce(matches, 0) AS matches
@@ -142,7 +142,7 @@ ORACLES = {
     "sliding_windows": f"WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - {ZH.window}) / {ZH.step})::BIGINT, 0) + 1)) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, n, md5(substr(text, n * {ZH.step} + 1, {ZH.window})) AS piece_md5 FROM w",
     "key_fields": f"WITH {FIELDS} SELECT * FROM fields",
     "key_fields_wide": f"WITH {FIELDS} SELECT task_id, doc_id, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'phone'), '') AS phones, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'email'), '') AS emails, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'company'), '') AS companies FROM fields GROUP BY ALL",
-    "exact_overlaps": f"WITH {OVERLAPS} SELECT task_id, doc_a, doc_b, field_type, value AS value_a FROM overlaps",
+    "exact_overlaps": f"WITH {OVERLAPS} SELECT task_id, doc_a, doc_b, field_type, value AS value_a FROM shared_fields",
     "rare_matches": f"WITH {RARE} SELECT * FROM rare",
     "rare_signal": f"WITH {RARE} SELECT task_id, doc_a, doc_b, count(*) AS total_match_count, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS rare_level, md5(string_agg(token, '|' ORDER BY token_type, token)) AS tokens_md5, coalesce(string_agg(token, '|' ORDER BY token) FILTER (token_type = 'number_unit'), '') AS numbers FROM rare GROUP BY ALL",
     "price_totals": f"WITH {BIDS} SELECT * FROM totals",
