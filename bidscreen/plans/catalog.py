@@ -86,7 +86,7 @@ def price_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of pairs that share an author or were saved close in time."""
-    return base.meta_pairs(spark, sf_dir).select("task_id", "doc_a", "doc_b", "same_author", F.round("time_gap_minutes", 4).alias("time_gap_minutes"), "is_timestamp_clustered", "meta_level")
+    return base.meta_pairs(spark, sf_dir).select("task_id", "doc_a", "doc_b", "same_author", F.round(F.col("time_gap_minutes") * 60e6).cast("bigint").alias("time_gap_us"), "is_timestamp_clustered", "meta_level")
 
 
 def paged_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ ORACLES = {
     "price_items": f"WITH {BIDS} SELECT task_id, doc_id, substr(text, 1, 40) AS label, amount, count(*) AS n FROM amounts GROUP BY ALL",
     "price_signal": f"""WITH {BIDS}, pairs AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.total AS total_a, b.total AS total_b, abs(a.total - b.total) / greatest(a.total, b.total) AS p FROM totals a JOIN totals b ON a.task_id = b.task_id AND a.doc_id < b.doc_id)
        SELECT task_id, doc_a, doc_b, total_a, total_b, round(p, 6) AS proximity, CASE WHEN p <= 0.01 THEN 'high' ELSE 'medium' END AS price_level FROM pairs WHERE p <= 0.05""",
-    "meta_signal": f"WITH {META} SELECT task_id, doc_a, doc_b, same_author, round(gap, 4) AS time_gap_minutes, gap <= 30 AS is_timestamp_clustered, CASE WHEN same_author THEN 'high' ELSE 'medium' END AS meta_level FROM pairs",
+    "meta_signal": f"WITH {META} SELECT task_id, doc_a, doc_b, same_author, round(gap * 60e6)::BIGINT AS time_gap_us, gap <= 30 AS is_timestamp_clustered, CASE WHEN same_author THEN 'high' ELSE 'medium' END AS meta_level FROM pairs",
     "paged_text": f'WITH {PAGES} SELECT m.doc_id, "offset", page_num, md5(text) AS text_md5 FROM page_map m JOIN whole USING (doc_id)',
     "page_lookup": f"""WITH {PAGES}, split_up AS (SELECT doc_id, text AS whole, string_split_regex(text, '\\n+') AS parts FROM whole), raw AS (SELECT doc_id, whole, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS pos FROM split_up),
        body AS (SELECT doc_id, whole, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS body FROM raw), found AS (SELECT doc_id, pos, strpos(whole, substr(body, 1, 30)) - 1 AS place FROM body WHERE body <> '')
