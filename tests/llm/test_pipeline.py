@@ -1,0 +1,35 @@
+"""The pipeline's stages against plain versions, one after another."""
+
+from math import ceil
+
+from bidscreen.llm.common import materialize
+from tests.llm.test_search_operators import brute_components
+from tests.llm.test_text_operators import plain_measures
+
+
+def test_stages(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    assert [k for k, _ in p.STAGES] == ["quality rules", "language ID", "n-gram Jaccard join", "best-fit packing"]
+    before = {r.doc_id: r for r in docs.collect()}
+
+    kept = materialize(p.quality_rules(spark, docs, sf_dir), "t")
+    good = {r.doc_id for r in kept.collect()}
+    failed = {i for i, r in before.items() if (m := plain_measures(r.text))[0] < 20 or 100 * m[4] > 30 * m[0]}
+    assert kept.columns == columns and not good & failed and len(good) > 0.7 * len(before)
+
+    known = materialize(p.language_id(spark, kept, sf_dir), "t")
+    known_ids = {r.doc_id for r in known.collect()}
+    assert known.columns == columns and known_ids <= good and len(known_ids) > 0.95 * len(good)
+
+    one = materialize(p.jaccard_join(spark, known, sf_dir), "t")
+    order = sorted(known_ids)
+    _, component = brute_components([before[i].text for i in order])
+    assert one.columns == columns and {r.doc_id for r in one.collect()} == {order[c] for c in component}
+
+    rows = p.best_fit_packing(spark, one, sf_dir).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in one.collect()}
+    assert len({r.sequence_id for r in rows}) <= ceil(sum(r.length for r in rows) / 2048) + 2
+    assert sorted(r.ids_crc32 for r in p.run(spark, sf_dir).collect()) == sorted(r.ids_crc32 for r in rows)
