@@ -1,15 +1,15 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures before exact intersections.
 
 A document is the set of its word shingles, as sorted 64-bit hashes; equal sets are one from the
-start. Under one order of all shingles, the corpus's frequent ones last, two sets that link share
+start. Under one order of all shingles, those that many sets share last, two sets that link share
 one of the first fifth or so of either: sets that share such a shingle form a tile, sorted and
 banded by size. In a tile, bit counts of parity bitmaps bound the overlap of two sets from above;
 pairs that pass are decided by intersecting the sorted arrays.
 
-Copies and near copies would fill tiles with pairs, so links are found in two rounds. First each
-member of a band is compared with the band's smallest set alone; then all pairs of a tile whose
-sets aren't connected by then. No link between components is lost, and a group of g near copies
-costs about g comparisons.
+Copies and near copies would fill tiles with pairs, so links are found in rounds. First each member of
+a band is compared with the band's middle set alone; then, twice, each with its nearest by signature;
+then all pairs of a tile whose sets aren't connected by then. No link between components is lost, and
+a group of g near copies costs about g comparisons a tile.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers
 
 U = np.uint64
-SIGNATURE_BITS = 1024
 SIZE_BITS = 24
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,16 +68,29 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that name a set; the first is its id."""
-    u = s.view(U)
-    both = np.array([mix(u, 3).sum(dtype=U) + U(len(s)), mix(u, 4).sum(dtype=U)], U).view(np.int64)
-    return int(both[0]), int(both[1])
+def set_id(s: np.ndarray) -> int:
+    """A 64-bit sum that names a set."""
+    return int((mix(s.view(U), 3).sum(dtype=U, keepdims=True) + mix(np.array([len(s)], U), 4)).view(np.int64)[0])
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of parities: a bit is set if an odd number of members hash to it."""
-    return np.packbits((np.bincount(s & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
+    """A bitmap of parities: a bit is set if an odd number of members hash to it. It has twice as many bits as
+    the set has members, or up to four times, as a power of 2."""
+    bits = 1 << max(10, (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Signatures of `width` words: members that meet in a bit change its parity, so halves are put together by xor."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def words_of(signatures: list[bytes], width: int) -> np.ndarray:
+    """Signatures folded to one width, a row of 64-bit words each."""
+    return np.array([fold(np.frombuffer(x, U), width) for x in signatures], U).reshape(len(signatures), width)
 
 
 def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -94,10 +106,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: int):
 
 
 def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
-    """A row for each document: doc_id, n, set_id, set_hash; and rows (shingle, times) of those that a
+    """A row for each document: doc_id, n, set_id, signature; and rows (shingle, times) of those that a
     chunk of documents holds at least `often` times."""
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_id bigint, set_hash bigint, shingle bigint, times bigint"
-    names = ["doc_id", "n", "set_id", "set_hash", "shingle", "times"]
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_id bigint, signature binary, shingle bigint, times bigint"
+    names = ["doc_id", "n", "set_id", "signature", "shingle", "times"]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -107,13 +119,12 @@ def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
             shingle, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             shingle, times = shingle[times >= often], times[times >= often]
-            none = [pa.nulls(len(shingle), t) for t in (kind, *[pa.int64()] * 3)]
+            none = [pa.nulls(len(shingle), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(shingle), pa.array(times)], names=names)
 
         for batch, sets in _chunks(batches, words):
             kind = batch.column(0).type
-            ids = [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
             held += sets
             size += sum(map(len, sets))
             if size > 4_000_000:
@@ -125,19 +136,20 @@ def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def _tile_rows(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(place, set_id) for each shingle of a set's prefix; place: 40 bits of the shingle, 24 of the set's size.
-    hot: the frequent shingles, rising in frequency, which come last in the order."""
+def _tile_rows(docs: DataFrame, words: int, percent: int, hot: np.ndarray, by_shingle: bool = False) -> DataFrame:
+    """(place, set_id) for each shingle of a set's prefix; place: 40 bits of the shingle, 24 of the set's size, or
+    with by_shingle (shingle, set_id). hot: the frequent shingles, rising in frequency, which come last in the order."""
+    name = "shingle" if by_shingle else "place"
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable")))
 
     def run(batches):
         values, ranks = shared.value
         seen: set[int] = set()
         for _, sets in _chunks(batches, words):
-            places, ids, sizes = [], [], []
+            places, whole, ids, sizes = [], [], [], []
             for s in sets:
                 n = len(s)
-                if not n or (i := set_hash(s)[0]) in seen:
+                if not n or (i := set_id(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(i)
@@ -151,21 +163,23 @@ def _tile_rows(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> Da
                 else:
                     prefix = s[:p]
                 places.append((prefix << SIZE_BITS) | min(n, (1 << SIZE_BITS) - 1))
+                whole.append(prefix)
                 ids.append(i)
                 sizes.append(len(prefix))
             if places:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["place", "set_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(whole if by_shingle else places)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=[name, "set_id"])
 
-    return docs.select("text").mapInArrow(run, "place bigint, set_id bigint")
+    return docs.select("text").mapInArrow(run, f"{name} bigint, set_id bigint")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole tiles of sorted rows, some at a time: the columns of each batch as numpy arrays, cut at tile borders."""
+def _runs(batches: Iterator[pa.RecordBatch], drop: int = SIZE_BITS) -> Iterator[list[np.ndarray]]:
+    """Whole tiles of sorted rows, some at a time: the columns of each batch as numpy arrays, cut at tile borders.
+    A tile is what the first column has in common without its `drop` last bits."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        key = columns[0] >> SIZE_BITS
-        if held and held[-1][0][-1] >> SIZE_BITS != key[0]:
+        key = columns[0] >> drop
+        if held and held[-1][0][-1] >> drop != key[0]:
             yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held = []
         cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
@@ -183,8 +197,33 @@ def _by_tile(df: DataFrame, *then: str) -> DataFrame:
     return df.repartition(F.shiftright("place", SIZE_BITS)).sortWithinPartitions("place", *then)
 
 
+def _shared(rows: DataFrame, most: int) -> np.ndarray:
+    """The shingles that most sets share in their prefixes, `most` at most, rising in the number of sets.
+
+    Which ones come last in the order changes the work, not the result, so a bound is harmless here.
+    """
+
+    def run(batches):
+        for shingles, ids in _runs(batches, 0):
+            new = np.r_[True, (shingles[1:] != shingles[:-1]) | (ids[1:] != ids[:-1])]
+            found, n = np.unique(shingles[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
+
+    counted = materialize(rows.select("shingle", "set_id").repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(run, "shingle bigint, n bigint"), "shared")
+    least = 2
+    room = most
+    for row in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        least, room = row["n"], room - row["c"]
+        if room < 0:
+            least += 1
+            break
+    found = counted.where(F.col("n") >= least).toArrow()
+    n = found.column("n").to_numpy()
+    return found.column("shingle").to_numpy()[np.argsort(n, kind="stable")]
+
+
 def _leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of tiles of two sets or more, each with its band's leader (null for the leader itself)."""
+    """The rows of tiles of two sets or more, each with its band's middle set (null for that one itself)."""
 
     def run(batches):
         for place, ids in _runs(batches):
@@ -197,49 +236,66 @@ def _leaders(rows: DataFrame, percent: int) -> DataFrame:
             place, ids, n, key = place[several], ids[several], n[several], key[several]
             if not len(place):
                 continue
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            leader = np.zeros(len(ids), np.int64)
-            open_ = np.zeros(len(ids), bool)
-            open_[begin] = True
-            lead = begin[np.cumsum(open_) - 1]
-            far = n * percent > n[lead] * 100
-            leader[:] = lead
-            for at in np.flatnonzero(far & ~np.r_[False, far[:-1] & ~open_[1:]]).tolist():  # the first of a tile behind its band
-                end = at + 1
-                lead_now = at
-                leader[at] = at
-                while end < len(ids) and key[end] == key[at]:
-                    if n[end] * percent > n[lead_now] * 100:
-                        lead_now = end
-                    leader[end] = lead_now
-                    end += 1
+            border = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            leader = np.repeat((border[:-1] + border[1:] - 1) // 2, np.diff(border))
+            wide = 100 * n[border[:-1]] < percent * n[border[1:] - 1]
+            for b, e in zip(border[:-1][wide].tolist(), border[1:][wide].tolist(), strict=True):  # tiles of several bands
+                while b < e:
+                    band = b + int(np.searchsorted(n[b:e], n[b] * 100 // percent, side="right"))
+                    leader[b:band] = (b + band - 1) // 2
+                    b = band
             own = leader == np.arange(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids), pa.array(ids[leader], mask=own)], names=["place", "set_id", "leader"])
 
     return _by_tile(rows, "set_id").mapInArrow(run, "place bigint, set_id bigint, leader bigint")
 
 
-def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in one tile, in different components, that size and signature let link. rows: place, set_id, component, signature."""
+def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of sets in one tile, in different components, that size and signature let link; with `nearest`, of
+    each set only the one with the smaller set whose signature is nearest. rows: place, set_id, component, signature."""
+    none = 1 << 40
 
     def run(batches):
         for place, ids, component, signatures in _runs(batches):
-            bits = np.frombuffer(b"".join(signatures.tolist()), np.uint64).reshape(len(ids), -1)
             key, n = place >> SIZE_BITS, place & ((1 << SIZE_BITS) - 1)
+            width = np.array([len(x) // 8 for x in signatures])
             border = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             found: dict[tuple[int, int], None] = {}
             for b, e in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-                if component[b] == component[b:e].max() and component[b] == component[b:e].min():
+                if component[b:e].max() == component[b:e].min():
                     continue
                 top = np.searchsorted(n[b:e], n[b:e] * 100 // percent, side="right") + b  # sizes rise: the end of each one's band
-                for x in range(b, e, 128):
-                    y = min(x + 128, e)
-                    for z in range(x, int(top[y - 1 - b]), 2048):
-                        w = min(z + 2048, int(top[y - 1 - b]))
-                        apart = np.bitwise_count(bits[x:y, None, :] ^ bits[None, z:w, :]).sum(2, dtype=np.int64)
-                        ok = may_link(n[x:y, None], n[None, z:w], apart, percent) & (component[x:y, None] != component[None, z:w]) & (np.arange(x, y)[:, None] < np.arange(z, w))
-                        i, j = np.nonzero(ok)
-                        found.update(dict.fromkeys(zip(ids[x + i].tolist(), ids[z + j].tolist(), strict=True)))
+                best, at = np.full(e - b, none), np.zeros(e - b, np.int64)
+                same = np.r_[b + np.flatnonzero(np.r_[True, width[b + 1 : e] != width[b : e - 1]]), e]
+                for begin, end in zip(same[:-1].tolist(), same[1:].tolist(), strict=True):
+                    w = width[begin]
+                    bits = words_of(signatures[begin : int(top[end - 1 - b])], w)  # each one once for a width
+                    for x in range(begin, end, 128):
+                        y = min(x + 128, end)
+                        for z in range(x, int(top[y - 1 - b]), 1024):
+                            v = min(z + 1024, int(top[y - 1 - b]))
+                            own, others = bits[x - begin : y - begin], bits[z - begin : v - begin]
+                            # differing bits only add up: pairs that a part of the words rules out need no more
+                            head = max(1, 2 * w // 5)
+                            apart = np.zeros((y - x, v - z), np.int64)
+                            for k in range(head):  # word by word: no array of pairs times words
+                                apart += np.bitwise_count(own[:, k, None] ^ others[None, :, k])
+                            ok = may_link(n[x:y, None], n[None, z:v], apart, percent) & (component[x:y, None] != component[None, z:v]) & (np.arange(x, y)[:, None] < np.arange(z, v))
+                            i, j = np.nonzero(ok)
+                            apart, step = apart[i, j], max(1, (1 << 21) // w)
+                            for q in range(0, len(i), step):
+                                apart[q : q + step] += np.bitwise_count(own[i[q : q + step], head:] ^ others[j[q : q + step], head:]).sum(1, dtype=np.int64)
+                            fine = may_link(n[x + i], n[z + j], apart, percent)
+                            i, j, apart = i[fine], j[fine], apart[fine]
+                            if nearest:
+                                order = np.lexsort((apart, j))
+                                first = order[np.r_[True, j[order][1:] != j[order][:-1]]] if len(order) else order
+                                first = first[apart[first] < best[z - b + j[first]]]
+                                best[z - b + j[first]], at[z - b + j[first]] = apart[first], x + i[first]
+                            else:
+                                found.update(dict.fromkeys(zip(ids[x + i].tolist(), ids[z + j].tolist(), strict=True)))
+                j = np.flatnonzero(best < none)
+                found.update(dict.fromkeys(zip(ids[at[j]].tolist(), ids[b + j].tolist(), strict=True)))
             if found:
                 pairs = np.array(list(found), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
@@ -247,17 +303,17 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return _by_tile(rows, "set_id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _signature_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and signatures let link."""
-    s = sets.select("set_id", "n", "signature")
+def _signature_filter(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and signatures let link. s: set_id, n, signature."""
     both = pairs.join(s.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a")), "a").join(s.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b")), "b")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            pairs = [(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            widths = [min(len(x), len(y)) for x, y in pairs]
+            apart = np.array([int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) for (x, y), w in zip(pairs, widths, strict=True)], np.int64)
             ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), apart, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
@@ -299,7 +355,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
-    """set_id, n, signature and members of the documents whose place in the bitmap `wanted` is set."""
+    """set_id and members of the documents whose place in the bitmap `wanted` is set. A set may come more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     marked = docs.select(F.xxhash64("doc_id").alias("at"), "text")
 
@@ -314,14 +370,14 @@ def _members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
         for _, sets in _chunks(chosen(), words):
             rows = []
             for s in sets:
-                if len(s) and (i := set_hash(s)[0]) not in seen:
+                if len(s) and (i := set_id(s)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(i)
-                    rows.append((i, len(s), signature(s), s.tobytes()))
+                    rows.append((i, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["set_id", "n", "signature", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "members"])
 
-    return marked.mapInArrow(run, "set_id bigint, n bigint, signature binary, members binary").dropDuplicates(["set_id"])
+    return marked.mapInArrow(run, "set_id bigint, members binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,27 +415,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, often: i
     own = rows.where("n IS NOT NULL").select("doc_id", "n", "set_id")
     frequent = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(max_frequent).toArrow()
     hot = frequent.column("shingle").to_numpy()[::-1].copy()
-    tiles = materialize(_leaders(_tile_rows(docs, words, percent, hot), percent), "tiles")
-
-    of_set = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    named = of_set.join(tiles.select("set_id").distinct(), "set_id", "left_semi").select(F.xxhash64("doc_id").alias("at"))
-    named = materialize(named, "named")
-    bits = 1 << 13
-    while bits < min(max_bitmap_bits, 16 * named.count()):
-        bits *= 2
-    sets = materialize(_members(docs, words, _bitmap(named, bits)), "members")
+    # prefixes that take in few shingles which others share make few tiles: what the first prefixes shared comes last
+    shared = _shared(_tile_rows(docs, words, percent, hot, by_shingle=True), max_frequent * 8)
+    shared = np.concatenate([np.setdiff1d(shared, hot, assume_unique=True), hot])
+    tiles = materialize(_leaders(_tile_rows(docs, words, percent, shared), percent), "tiles")
+
+    of_set = materialize(own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "named")
+    signed = rows.where("n > 0").select("set_id", "n", "signature").join(tiles.select("set_id").distinct(), "set_id", "left_semi")
+    signed = materialize(signed.dropDuplicates(["set_id"]), "signatures")
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        """The links among pairs: arrays are made for the sets of those that the signatures let pass alone."""
+        left = materialize(_signature_filter(pairs, signed, percent), "pairs")
+        ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).distinct()
+        marks = materialize(of_set.join(ids, "set_id", "left_semi").select(F.xxhash64("doc_id").alias("at")), "marks")
+        n, bits = marks.count(), 1 << 13
+        if not n:
+            return left
+        while bits < min(max_bitmap_bits, 16 * n):
+            bits *= 2
+        sets = materialize(_members(docs, words, _bitmap(marks, bits)).join(ids, "set_id", "left_semi"), "members")
+        return materialize(_links(left, sets, percent), "links")
 
     starred = tiles.where("leader IS NOT NULL").select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct()
-    links = materialize(_links(_signature_filter(starred, sets, percent), sets, percent), "links")
+    links = decide(starred)
     first = materialize(components(links), "components")
 
-    with_component = tiles.select("place", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("place", "set_id", F.coalesce("root", "set_id").alias("component"))
     key = F.shiftright("place", SIZE_BITS)
-    mixed = with_component.groupBy(key.alias("key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    several = with_component.join(mixed, key == F.col("key"), "left_semi").join(sets.select("set_id", "signature"), "set_id").select("place", "set_id", "component", "signature")
-    rest = materialize(_tile_pairs(several, percent), "pairs")
-    if not rest.isEmpty():
-        links = links.union(materialize(_links(_signature_filter(rest, sets, percent), sets, percent), "links"))
+    for nearest in (True, True, False):  # the last round leaves no pair of a tile out
+        with_component = tiles.select("place", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("place", "set_id", F.coalesce("root", "set_id").alias("component"))
+        mixed = with_component.groupBy(key.alias("key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        tiles = materialize(with_component.join(mixed, key == F.col("key"), "left_semi"), "tiles")  # components only grow: the others are done
+        several = tiles.join(signed.select("set_id", "signature"), "set_id").select("place", "set_id", "component", "signature")
+        rest = materialize(_tile_pairs(several, percent, nearest), "pairs")
+        if rest.isEmpty():
+            break
+        links = materialize(links.union(decide(rest)), "links")
         first = materialize(components(links), "components")
 
     root = of_set.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
