@@ -7,7 +7,7 @@ banded by size. In a tile, bit counts of parity bitmaps bound the overlap of two
 pairs that pass are decided by intersecting the sorted arrays.
 
 Copies and near copies would fill tiles with pairs, so links are found in rounds. First each member of
-a band is compared with the band's middle set alone; then, twice, each with its nearest by signature;
+a band is compared with the band's middle set alone; then each with its nearest by signature;
 then all pairs of a tile whose sets aren't connected by then. No link between components is lost, and
 a group of g near copies costs about g comparisons a tile.
 """
@@ -442,7 +442,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, often: i
     first = materialize(components(links), "components")
 
     key = F.shiftright("place", SIZE_BITS)
-    for nearest in (True, True, False):  # the last round leaves no pair of a tile out
+    for nearest in (True, False):  # the last round leaves no pair of a tile out
         with_component = tiles.select("place", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("place", "set_id", F.coalesce("root", "set_id").alias("component"))
         mixed = with_component.groupBy(key.alias("key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
         tiles = materialize(with_component.join(mixed, key == F.col("key"), "left_semi"), "tiles")  # components only grow: the others are done
