@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bidscreen.functions.text import all_matches
 from bidscreen.profile import Profile
+from bidscreen.sources.shared import written
 
 KEY = ("task_id", "doc_id", "doc_ord", "chunk_id", "chunk_index")
 
@@ -44,18 +48,85 @@ def keyword_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(out, F.lit(0.0))
 
 
-def text_pairs(weights: DataFrame, at_least: float, max_df: int | None = None) -> DataFrame:
-    """(task_id, chunk_q, chunk_h, similarity) by cosine of sparse text vectors, both directions: an inverted
-    index. max_df drops terms of more chunks; where given, similarity is over the other terms alone.
-    Similarities are rounded to nine places, so that the order of summation doesn't decide at a threshold."""
+#: Rows of one term in one group of the join, about.
+SALT = 2_000
+
+
+def _dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Inner products of pairs of sparse vectors, rounded to nine places."""
+    for batch in batches:
+        known, found = {}, []
+        for name, terms_a, w_a, terms_b, w_b in zip(batch.a, batch.terms_a, batch.w_a, batch.terms_b, batch.w_b, strict=True):
+            if name not in known:
+                known = {name: dict(zip(terms_a, w_a, strict=True))}
+            own = known[name]
+            found.append(round(math.fsum(own[t] * w for t, w in zip(terms_b, w_b, strict=True) if t in own), 9))
+        yield batch[["task_id", "a", "b"]].assign(similarity=np.array(found, np.float64))
+
+
+def class_pairs(unit: DataFrame, at_least: float) -> DataFrame:
+    """(task_id, a, b, similarity) of all pairs of unit vectors (task_id, class, term, w) with a cosine of at least at_least.
+
+    Of each vector, rare terms first, those are its prefix that leave a rest shorter than at_least. Two
+    vectors without a common prefix term can't reach it: below the end of the prefix that ends first they
+    share nothing, and above it that vector has its rest alone. The same bounds what the common prefix terms
+    leave open; survivors meet with all terms.
+    """
+    least = max(at_least - 1e-8, 0.0)  # what is rounded up to the threshold reaches it
+    df = unit.groupBy("task_id", "term").agg(F.count("*").alias("classes"))
+    ordered = unit.join(df, ["task_id", "term"]).withColumn("at", F.struct("classes", "term"))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("task_id", "class").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = ordered.withColumn("rest", rest).where(F.col("rest") >= least * least)
+    ends = prefix.groupBy("task_id", "class").agg(F.max("at").alias("end"), F.min(F.col("rest")).alias("low"), F.min_by(F.col("w") * F.col("w"), "rest").alias("own"))
+    ends = ends.select("task_id", "class", "end", (F.col("low") - F.col("own")).alias("left"))
+    prefix = prefix.select("task_id", "class", "term", "w").join(ends, ["task_id", "class"])
+    hot = prefix.groupBy("task_id", "term").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).where("salts > 1")
+    prefix = prefix.join(hot, ["task_id", "term"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("class", "w", "end", "left")]
+    x = prefix.select("task_id", "term", *side("x"), F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"))
+    y = prefix.select("task_id", "term", *side("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sums = [F.sum(F.col("w_x") * F.col("w_y")).alias("part"), F.sum(F.col("w_x") * F.col("w_x")).alias("xx"), F.sum(F.col("w_y") * F.col("w_y")).alias("yy"), *[F.first(c).alias(c) for c in ("end_x", "end_y", "left_x", "left_y")]]
+    met = x.join(y, ["task_id", "term", "salt"]).where("class_x < class_y").groupBy("task_id", F.col("class_x").alias("a"), F.col("class_y").alias("b")).agg(*sums)
+    open_x = F.when(F.col("end_x") <= F.col("end_y"), F.col("left_x")).otherwise(1 - F.col("xx"))
+    open_y = F.when(F.col("end_y") <= F.col("end_x"), F.col("left_y")).otherwise(1 - F.col("yy"))
+    most = F.col("part") + F.sqrt(F.greatest(open_x, F.lit(0.0)) * F.greatest(open_y, F.lit(0.0)))
+    pairs = met.where(most >= least - 1e-8).select("task_id", "a", "b")
+    vectors = unit.groupBy("task_id", "class").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("v"))
+    whole = lambda s: vectors.select("task_id", F.col("class").alias(s), F.col("v.term").alias(f"terms_{s}"), F.col("v.w").alias(f"w_{s}"))
+    both = pairs.join(whole("b"), ["task_id", "b"]).join(whole("a"), ["task_id", "a"])
+    kind = dict(unit.dtypes)
+    return both.mapInPandas(_dots, f"task_id {kind['task_id']}, a {kind['class']}, b {kind['class']}, similarity double").where(F.col("similarity") >= at_least)
+
+
+def text_pairs(weights: DataFrame, at_least: float, max_df: int | None = None, top: int | None = None) -> DataFrame:
+    """(task_id, chunk_q, chunk_h, similarity) by cosine of sparse text vectors, both directions.
+
+    Chunks of one vector are a class, and classes are compared; max_df drops terms of more chunks, where
+    given, and similarity is over the other terms alone. top leaves out hits that can't be among a chunk's
+    best so many: of a class, `top` chunks of each of its first top + 1 documents hold those of any asker.
+    Similarities are rounded to nine places, so that the order of summation doesn't decide at a threshold.
+    """
     w = weights if max_df is None else weights.where(F.col("df") <= max_df)
-    length = w.groupBy("task_id", "chunk_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    unit = w.join(length, ["task_id", "chunk_id"]).select("task_id", "chunk_id", "doc_id", "term", (F.col("weight") / F.col("length")).alias("w"))
-    q = unit.select("task_id", "term", F.col("chunk_id").alias("chunk_q"), F.col("doc_id").alias("doc_q"), F.col("w").alias("w_q"))
-    h = unit.select("task_id", "term", F.col("chunk_id").alias("chunk_h"), F.col("doc_id").alias("doc_h"), F.col("w").alias("w_h"))
-    both = q.join(h, ["task_id", "term"]).where("doc_q < doc_h").groupBy("task_id", "chunk_q", "chunk_h").agg(F.round(F.sum(F.col("w_q") * F.col("w_h")), 9).alias("similarity"))
-    near = both.where(F.col("similarity") >= at_least)
-    return near.unionByName(near.select("task_id", F.col("chunk_h").alias("chunk_q"), F.col("chunk_q").alias("chunk_h"), "similarity"))
+    vector = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    chunk = w.groupBy(*KEY).agg(vector.alias("vector"))
+    chunk = written(chunk, "vectors")
+    first = chunk.groupBy("task_id", "vector").agg(F.min("chunk_id").alias("class"))
+    named = written(chunk.join(first, ["task_id", "vector"]), "classes")
+    one = named.where(F.col("class") == F.col("chunk_id"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    unit = one.select("task_id", "class", F.explode("vector").alias("x"), length.alias("length")).select("task_id", "class", "x.term", (F.col("x.weight") / F.col("length")).alias("w"))
+    near = written(class_pairs(written(unit, "units"), at_least), "near")
+    same = one.select("task_id", F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
+    near = near.unionByName(near.select("task_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(same)
+    member = named.select(*KEY, "class")
+    hits = member
+    if top is not None:
+        of_class = Window.partitionBy("task_id", "class")
+        hits = member.withColumn("nth", F.row_number().over(Window.partitionBy("task_id", "class", "doc_id").orderBy("doc_ord", "chunk_index"))).where(F.col("nth") <= top)
+        hits = hits.withColumn("doc", F.dense_rank().over(of_class.orderBy("doc_ord", "doc_id"))).where(F.col("doc") <= top + 1)
+    q = member.select("task_id", F.col("class").alias("a"), F.col("chunk_id").alias("chunk_q"), F.col("doc_id").alias("doc_q"))
+    h = hits.select("task_id", F.col("class").alias("b"), F.col("chunk_id").alias("chunk_h"), F.col("doc_id").alias("doc_h"))
+    return near.join(h, ["task_id", "b"]).join(q, ["task_id", "a"]).where("doc_q <> doc_h").select("task_id", "chunk_q", "chunk_h", "similarity")
 
 
 def vector_pairs(vectors: DataFrame, at_least: float, block: int = 2048) -> DataFrame:

@@ -10,8 +10,6 @@ from bidscreen.operators import chunking, fields, metadata, prices, rare, scorin
 from bidscreen.profile import LATIN, ZH
 from bidscreen.sources.shared import written
 
-#: Terms of more chunks of a task than this take no part in the text similarity of these queries.
-MAX_DF = 20
 #: Cosine that a hit has to reach, and hits of a chunk. Fixed values.
 MIN_SIMILARITY, TOP = 0.55, 10
 WHITELIST = [*LATIN.legal, *LATIN.standard]
@@ -73,7 +71,7 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_pairs(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
     c = c if c is not None else chunks(spark, sf_dir)
     weights = written(similarity.term_weights(c, LATIN), "weights")
-    near = similarity.text_pairs(weights, MIN_SIMILARITY, max_df=MAX_DF)
+    near = similarity.text_pairs(weights, MIN_SIMILARITY, top=TOP)
     found = similarity.retrieve(c, near, TOP)
     return written(scoring.score_pairs(found, c, similarity.keywords(weights, LATIN)), "pairs")
 
