@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidscreen.operators import chunking, fields, metadata, prices, rare, scoring, similarity, synthesis, whitelist
+from bidscreen.functions.text import strip
+from bidscreen.operators import chunking, fields, metadata, prices, rare, scoring, similarity, structure, synthesis, whitelist
 from bidscreen.profile import LATIN, ZH
 from bidscreen.sources.shared import written
 
@@ -38,6 +39,12 @@ def key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.extract(documents(spark, sf_dir), LATIN)
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a document are taken for its headings."""
+    lines = chunking.split_paragraphs(documents(spark, sf_dir), LATIN)
+    return structure.headings(lines.select("task_id", "doc_id", "doc_ord", F.col("pos").alias("chunk_index"), strip(F.col("body")).alias("text"), F.lit(True).alias("is_heading")))
+
+
 def rare_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare.matches(documents(spark, sf_dir), LATIN)
 
@@ -81,14 +88,18 @@ def chunk_counts(c: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """Every pair of documents of a task with any text, field or rare-token evidence."""
+    """Every pair of documents of a task with any text, structure, field or rare-token evidence.
+
+    Prices and metadata are of bids and files, whose ids aren't the documents'.
+    """
     c = c if c is not None else chunks(spark, sf_dir)
     pairs = scoring.candidates_above(pairs if pairs is not None else scored_pairs(spark, sf_dir, c))
     by = ("task_id", "doc_id_a", "doc_id_b")
     ordered = pairs.withColumns({"doc_id_a": F.least("doc_id_a", "doc_id_b"), "doc_id_b": F.greatest("doc_id_a", "doc_id_b")})
     text = scoring.text_risk(ordered, chunk_counts(c), by).select("task_id", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), F.col("doc_id_a").alias("ord_a"), F.col("doc_id_b").alias("ord_b"), "text_level", "text_rate")
-    found = written(fields.exact_overlaps(key_fields(spark, sf_dir)), "overlaps")
-    return synthesis.assemble(text=text, overlaps=found, rare=written(rare.signal(rare_matches(spark, sf_dir)), "rare"))
+    found = written(fields.overlaps(written(key_fields(spark, sf_dir), "fields"), LATIN), "overlaps")
+    alike = written(structure.compare(written(titles(spark, sf_dir), "titles")), "structure")
+    return synthesis.assemble(text=text, structure=alike, overlaps=found, rare=written(rare.signal(rare_matches(spark, sf_dir)), "rare"))
 
 
 def composite(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:

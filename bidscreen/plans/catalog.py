@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscreen.functions.text import strip
 from bidscreen.operators import chunking, fields, prices, rare, report, scoring, similarity, structure, whitelist
 from bidscreen.plans import base
 from bidscreen.plans.base import table
@@ -255,17 +254,12 @@ def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title sets of sources' documents; a document's first line is taken for its title, the lines before the last for headings."""
-    return structure.title_jaccard(_titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+    return structure.title_jaccard(base.titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def structure_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of pairs that share a heading."""
-    return structure.compare(_titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", "title_jaccard", "sequence_similarity", F.size("matched_sections").alias("n_matched"), "overall_score", "structure_level")
-
-
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = chunking.split_paragraphs(base.documents(spark, sf_dir), LATIN)
-    return structure.headings(lines.select("task_id", "doc_id", "doc_ord", F.col("pos").alias("chunk_index"), strip(F.col("body")).alias("text"), F.lit(True).alias("is_heading")))
+    return structure.compare(base.titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", "title_jaccard", "sequence_similarity", F.size("matched_sections").alias("n_matched"), "overall_score", "structure_level")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
