@@ -1,11 +1,11 @@
 """Language-model scoring by logistic context mixing of bits.
 
 A text is the bytes of its lower-cased form and an end. Each bit of a byte is predicted from several
-contexts (the two to five bytes before it, and the word so far): tables of hashed contexts hold how often either bit came
-next, gathered by Spark from all training documents. A gate, the bit's place and how much the two
+contexts (the two to five bytes before it, and the word so far), of which Spark gathers how often either bit came
+next in all training documents, one number for each context: what is kept grows with the texts. A gate, the bit's place and how much the two
 longest contexts have seen, chooses the weights that mix the predictions in the logistic domain; an
-adaptive map by bit history refines the mixture. Weights and map are learned online from a bounded
-sample of training documents whose own counts are left out. The probability of a text is the product
+adaptive map by bit history refines the mixture. Weights and map are learned from all
+different training texts, online in each bucket of contexts and averaged over rounds; own counts are left out. The probability of a text is the product
 over its bits, so the score is its total bits in log10 units.
 
 Beside it stands a smoothed unigram score of words, whose counts are those of all training documents:
@@ -33,12 +33,17 @@ END = b"\xff"
 BLOCK = 1 << 16
 #: Contexts worked on at a time: their arrays stay in the processor's cache.
 PART = 1 << 15
+#: Passes over all training texts that weights and map are learned in.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """orders and bits: bytes of each context, up to six, or 0 for the word so far, and the logarithm of its table's size; sample: training
-    documents that weights and map are learned from; head: words whose counts are broadcast, at most."""
+    """orders: bytes of each context, two to six, or 0 for the word so far; head: words whose counts are broadcast, at most.
+
+    bits: logarithm of the size of each context's table in the small model in memory (Slots, Scorer); sample and
+    sample_bytes bound nothing any more. score_documents uses none of the three.
+    """
 
     orders: tuple[int, ...] = (2, 3, 4, 5, 0)
     bits: tuple[int, ...] = (18, 20, 20, 21, 21)
@@ -99,7 +104,8 @@ class Slots:
     def contexts(self, key: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
         out = []
         for o in self.orders:
-            c = ((key >> U(8)) & U((1 << (8 * o)) - 1)) if o else word
+            # a word of one letter or none goes with the two bytes before, as all contexts do
+            c = ((key >> U(8)) & U((1 << (8 * o)) - 1)) if o else word + ((key >> U(8)) & U(0xFFFF)) * U(0x9E3779B97F4A7C13)
             if o != 1:
                 c = (c + U(o)) * U(0x9E3779B97F4A7C15)
                 c ^= c >> U(32)
@@ -276,40 +282,214 @@ class Scorer:
         return np.add.reduceat(value.astype(np.float64), begin) / np.log(10) if len(begin) else np.zeros(0)
 
 
-def gather_counts(train: DataFrame, settings: Settings) -> np.ndarray:
-    """The tables of bit counts over all training texts. Each task sends blocks of its own; they are added up as they stream by."""
-    size = Slots(settings).total * 2
+#: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 32 << 20
+
+
+def own_bytes(settings: Settings) -> np.uint64:
+    """The bytes of a key that some context reads."""
+    if any(o == 1 for o in settings.orders):
+        raise ValueError("contexts have two bytes at least: their last two say where they are counted")
+    return U((1 << (8 * (max(settings.orders) + 1))) - 1)
+
+
+def part_rows(raws: list[bytes], copies: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """The distinct predictions (key, word) of a part's texts by bucket, that of their last two bytes; how often training
+    texts make them, and different training texts; where buckets begin; and for each step of the work
+    the prediction of each byte and where texts begin."""
+    keys, words, often, once, places, begin = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0)], [np.zeros(0)], [], 0
+    while begin < len(raws):
+        end, size = begin + 1, len(raws[begin])
+        while end < len(raws) and size + len(raws[end]) <= STEP_BYTES:
+            size, end = size + len(raws[end]), end + 1
+        key, word, at = keys_of(raws[begin:end])
+        key &= own_bytes(settings)
+        one, number = group(distinct(key, word))
+        times = np.repeat(copies[begin:end].astype(np.float64), np.diff(np.r_[at, len(key)]))
+        keys.append(key[one])
+        words.append(word[one])
+        often.append(np.bincount(number, times))
+        once.append(np.bincount(number, times > 0))
+        places.append((number.astype(np.int32), at))
+        begin = end
+    key, word = np.concatenate(keys), np.concatenate(words)
+    one, number = group(distinct(key, word))
+    bucket = (mix((key[one] >> U(8)) & U(0xFFFF), 3) % U(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number, one, done = rank[number], one[order], 0
+    for i, (near, at) in enumerate(places):
+        n = len(keys[i + 1])
+        places[i] = (number[done : done + n][near], at)
+        done += n
+    total = [np.bincount(number, np.concatenate(t), len(one)) for t in (often, once)]
+    return key[one], word[one], *total, np.searchsorted(bucket[order], np.arange(n_buckets + 1)), places
+
+
+class Bucket:
+    """Predictions whose contexts end alike, with the counts of all their contexts: none of them is counted elsewhere."""
+
+    def __init__(self, key: np.ndarray, word: np.ndarray, often: np.ndarray, settings: Settings):
+        self.key, self.often, self.settings, self.sorted = key, often, settings, []
+        byte = (key & U(255)).astype(np.uint8)
+        for c in Slots(settings).contexts(key, word):
+            order = np.lexsort((byte, c)).astype(np.int32)
+            self.sorted.append((order, np.r_[True, c[order][1:] != c[order][:-1]], byte[order]))
+
+    def features(self, without_own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Inputs, gates, nodes and bits of each of the eight bits of all predictions."""
+        n, size = len(self.settings.orders), len(self.key)
+        for t, node, bit in steps(self.key):
+            inputs, total = np.ones((size, n + 1), np.float32), []
+            for which, (order, new, byte) in enumerate(self.sorted):
+                prefix = byte.astype(np.int64) >> (8 - t)
+                number = np.cumsum(new | np.r_[True, prefix[1:] != prefix[:-1]]) - 1
+                times = self.often[order]
+                counts = []
+                for b in (0, 1):
+                    c = np.empty(size)
+                    c[order] = np.bincount(number, times * (bit[order] == b))[number]
+                    counts.append(np.maximum(c - (bit == b), 0) if without_own else c)
+                inputs[:, which] = stretch(*counts)
+                total.append(counts[0] + counts[1])
+            yield inputs, np.asarray((t * 4 + trust(total[-1]).astype(np.int64)) * 4 + trust(total[-2])), node, bit
+
+
+def learn_bucket(bucket: Bucket, once: np.ndarray, mixer: Mixer, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's weights, what each gate has seen, and ones and all of each cell of the map, by the predictions of all
+    different training texts, from the weights of the mixer on; each prediction's own occurrence is taken out."""
+    own = Mixer(mixer.settings, mixer.weights.copy(), mixer.refined)
+    weight, cells = np.zeros(len(own.weights)), 257 * mixer.settings.map_steps
+    ones, seen = np.zeros(cells), np.zeros(cells)
+    used = np.random.default_rng(5).permutation(np.flatnonzero(once))
+    for inputs, gate, node, bit in bucket.features(without_own=True):
+        for a in range(0, len(used), batch):
+            rows = used[a : a + batch]
+            x, g, y, m = inputs[rows], gate[rows], bit[rows], once[rows]
+            logit = own.logit(x, g)
+            share = m / m.mean()
+            error = (share * (y - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))).astype(np.float32)
+            step = np.zeros_like(own.weights)
+            np.add.at(step, g, error[:, None] * x)
+            step /= np.sqrt(np.maximum(np.bincount(g, share, len(step)), 1))[:, None]
+            own.weights += np.clip(mixer.settings.rate * 0.5 * step, -0.05, 0.05)
+            weight += np.bincount(g, m, len(weight))
+            low, upper = own.cell(node[rows], logit)
+            near = np.where(upper > 0.5, low + 1, low)
+            ones += np.bincount(near, m * y, cells)
+            seen += np.bincount(near, m, cells)
+    return own.weights, weight, ones, seen
+
+
+def find_bucket(bucket: Bucket, mixer: Mixer) -> np.ndarray:
+    """Natural logarithm of the probability of each prediction's byte."""
+    out = np.zeros(len(bucket.key))
+    for inputs, gate, node, bit in bucket.features(without_own=False):
+        out += mixer.cost(mixer.logit(inputs, gate), node, bit)
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slots, any_ = np.zeros(size, np.uint32), Slots(settings), False
-        for batch in pieces(batches, "text"):
-            add_counts(table, slots, [plain_bytes(t) for t in batch.column(0).to_pylist()])
-            any_ = True
-        if any_:
-            for b in range(0, size, BLOCK):
-                part = table[b : b + BLOCK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(digest, score) of different texts (digest, text, copies: how many training documents have it).
+
+    Parts of the texts send their distinct predictions to buckets, where all that is known of a context comes
+    together; weights and map are learned there in rounds; the values go back to the parts.
+    """
+    spark = texts.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([part])]
+            columns += [pa.array([[x for b in held for x in b.column(i).to_pylist()]], pa.list_(t)) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "digests", "texts", "copies"])
+
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if block != now:
-                    if total is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
-                    now, total = block, np.zeros(min(BLOCK, size - block * BLOCK), np.uint32)
-                part = np.frombuffer(counts.as_buffer(), np.uint32)
-                total = np.where(total > np.uint32(2**32 - 1) - part, np.uint32(2**32 - 1), total + part)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
-
-    blocks = train.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros(size, np.uint32)
-    for row in blocks.toLocalIterator():
-        part = np.frombuffer(row["counts"], np.uint32)
-        out[row["block"] * BLOCK :][: len(part)] = part
-    return out
+            for piece in pieces([batch], "text", STEP_BYTES):
+                held.append(piece)
+                size += piece.nbytes
+                if size >= PART_BYTES:
+                    yield row()
+                    part, held, size = part + 1, [], 0
+        if held:
+            yield row()
+
+    packed = materialize(texts.select("digest", "text", "copies").mapInArrow(pack, "part bigint, digests array<string>, texts array<string>, copies array<bigint>"), "parts")
+    total = packed.select(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
+    n_buckets = max(64, -(-total // BUCKET_BYTES))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, _, plain, copies = (batch.column(j)[i].as_py() for j in range(4))
+                key, word, often, once, begins, _ = part_rows([plain_bytes(t) for t in plain], np.array(copies), n_buckets, settings)
+                rows = [(b, x, y) for b, (x, y) in enumerate(zip(begins[:-1], begins[1:], strict=True)) if y > x]
+                blobs = [pa.array([v[x:y].tobytes() for _, x, y in rows], pa.binary()) for v in (key, word, often.astype(np.uint32), once.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), *blobs], names=["bucket", "part", "key", "word", "often", "once"])
+
+    def merge(given: pd.DataFrame) -> pd.DataFrame:
+        given = given.sort_values("part")
+        key, word = (np.frombuffer(b"".join(given[c]), U) for c in ("key", "word"))
+        one, number = group(distinct(key, word))
+        times = [np.bincount(number, np.frombuffer(b"".join(given[c]), np.uint32)).tobytes() for c in ("often", "once")]
+        sizes = np.cumsum([len(k) // 8 for k in given.key])[:-1]
+        back = [x.tobytes() for x in np.split(number.astype(np.int32), sizes)]
+        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [key[one].tobytes()], "word": [word[one].tobytes()], "often": times[:1], "once": times[1:], "parts": [list(given.part)], "back": [back]})
+
+    sent = packed.mapInArrow(send, "bucket int, part bigint, key binary, word binary, often binary, once binary")
+    merged = materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, word binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets").repartition("bucket")
+
+    def opened(row: dict) -> tuple[Bucket, np.ndarray]:
+        often, once = (np.frombuffer(row[c], np.float64) for c in ("often", "once"))
+        return Bucket(np.frombuffer(row["key"], U), np.frombuffer(row["word"], U), often, settings), once
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+    n_map, n = settings.map_steps, len(settings.orders)
+    mixer = learn_mixer(np.zeros(Slots(settings).total * 2, np.uint32), [], settings)
+    start = mixer.refined.astype(np.float64)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(mixer)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((8 * 16, n + 1)), np.zeros(8 * 16), np.zeros(257 * n_map), np.zeros(257 * n_map)]
+            for row in rows_of(batches):
+                w, seen, *cells = learn_bucket(*opened(row), shared.value)
+                for total, x in zip(sums, (w * seen[:, None], seen, *cells), strict=True):
+                    total += x
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], names=list("wgos"))
+
+        sums = [np.zeros(8 * 16 * (n + 1)), np.zeros(8 * 16), np.zeros(257 * n_map), np.zeros(257 * n_map)]
+        for row in merged.select("key", "word", "often", "once").mapInArrow(learn, "w binary, g binary, o binary, s binary").toLocalIterator():
+            for total, x in zip(sums, row, strict=True):
+                total += np.frombuffer(x, np.float64)
+        seen = sums[1][:, None]
+        mean = sums[0].reshape(-1, n + 1) / np.maximum(seen, 1)
+        mixer = Mixer(settings, np.where(seen > 0, mean, mixer.weights).astype(np.float32), ((start * 30 + sums[2]) / (30 + sums[3])).astype(np.float32))
+    final = spark.sparkContext.broadcast(mixer)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            value = find_bucket(opened(row)[0], final.value).astype(np.float32)
+            blobs = [value[np.frombuffer(b, np.int32)].tobytes() for b in row["back"]]
+            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(blobs), pa.int32()), pa.array(row["parts"], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "value"])
+
+    values = merged.mapInArrow(answer, "bucket int, part bigint, value binary").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("v")).select("part", F.col("v.value").alias("v"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            *_, places = part_rows([plain_bytes(t) for t in row["texts"]], np.array(row["copies"]), n_buckets, settings)
+            value = np.frombuffer(b"".join(row["v"]), np.float32).astype(np.float64)
+            score = np.concatenate([np.add.reduceat(value[near], at) for near, at in places]) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(row["digests"], pa.string()), pa.array(score)], names=["digest", "score"])
+
+    return packed.join(values, "part").select("part", "digests", "texts", "copies", "v").mapInArrow(add, "digest string, score double")
 
 
 def gather_words(train: DataFrame) -> DataFrame:
@@ -334,15 +514,15 @@ def gather_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-_scorers: dict = {}
+_known: dict = {}
 
 
-def scorer_of(key: str, shared, tables) -> tuple[Scorer, dict[bytes, int], np.ndarray]:
-    """What a Python worker needs of one model, made once and kept from task to task."""
-    if _scorers.get("of") != key:
-        mixer, known, logs = shared.value
-        _scorers.update(of=key, made=(Scorer(tables.value, mixer), {w: i for i, w in enumerate(known)}, logs))
-    return _scorers["made"]
+def known_words(key: str, shared) -> tuple[dict[bytes, int], np.ndarray]:
+    """What a Python worker needs of the frequent words, made once and kept from task to task."""
+    if _known.get("of") != key:
+        known, logs = shared.value
+        _known.update(of=key, made=({w: i for i, w in enumerate(known)}, logs))
+    return _known["made"]
 
 
 def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +535,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     documents all bits are even guesses and base_score is 0; extra columns aren't read.
     """
     spark = docs.sparkSession
-    plain = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    plain = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("digest", F.sha2("text", 256))
     train = plain.where(~F.col("held_out"))
     words = materialize(gather_words(train), "words")
     ends = train.count()
@@ -370,22 +550,21 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     least = least if least is not None else 2**62
     below = total + 0.5 * (distinct + 1)
     head = words.where(F.col("c") >= least).toArrow()
-    counts = gather_counts(train, settings)
-    tables = spark.sparkContext.broadcast(counts)
-    mixer = _learn(train, tables, settings)
-    shared = spark.sparkContext.broadcast((mixer, [w.encode() for w in head.column("word").to_pylist()], np.log10((head.column("c").to_numpy() + 0.5) / below)))
+    # copies of a text are one: it's learned from once, counted as often as it occurs and scored once
+    texts = plain.groupBy("digest").agg(F.first("text").alias("text"), F.count_if(~F.col("held_out")).alias("copies"))
+    scores = score_texts(texts, settings)
+    shared = spark.sparkContext.broadcast(([w.encode() for w in head.column("word").to_pylist()], np.log10((head.column("c").to_numpy() + 0.5) / below)))
     end_score = float(np.log10((ends + 0.5) / below))
     key = uuid.uuid4().hex
-    del counts, head
+    del head
     kind = plain.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "digest", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, number, logs = scorer_of(key, shared, tables)
+        number, logs = known_words(key, shared)
         get, task, done = number.get, TaskContext.get().partitionId() << 40, 0
         for batch in pieces(batches, "text", 1 << 20):
             raws = [plain_bytes(t) for t in batch.column(1).to_pylist()]
-            score = scorer.score(raws)
             n_tokens, n_known, base, row, word, times = [], [], [], [], [], []
             for i, raw in enumerate(raws):
                 own = raw.split()
@@ -400,41 +579,16 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
                         word.append(w)
                         times.append(n)
             n = len(raws)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + task + done), batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + task + done), batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), batch.column(3), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
             if row:
                 n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.string())], pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=names)
             done += len(raws)
 
-    rows = materialize(plain.select("doc_id", "text", "held_out").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, word string, times bigint"), "scores")
+    rows = materialize(plain.select("doc_id", "text", "held_out", "digest").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, digest string, word string, times bigint"), "scores")
     rest = rows.where("word IS NOT NULL").select("row", "word", "times").join(words.where(F.col("c") < least), "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(below))
     rest = rest.groupBy("row").agg(F.sum(log * F.col("times")).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = rows.where("word IS NULL").join(rest, "row", "left")
+    out = rows.where("word IS NULL").join(rest, "row", "left").join(scores, "digest")
     none = F.lit(0.0)
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", none)).alias("base_score"), "score")
-
-
-def _learn(train: DataFrame, tables, settings: Settings) -> Mixer:
-    """Weights and map from the training documents of the smallest hashes, in one task: their number and bytes are bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raws, size = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                raw = plain_bytes(text)
-                if size + len(raw) <= settings.sample_bytes:
-                    raws.append(raw)
-                    size += len(raw)
-        m = learn_mixer(tables.value, raws, settings)
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.refined.tobytes()], pa.binary())], names=["weights", "refined"])
-
-    # of whole texts only those that fit the bound are moved
-    short = train.select("text").where(F.octet_length("text") <= settings.sample_bytes // 20)
-    sample = short.orderBy(F.xxhash64("text"), "text").limit(settings.sample)
-    found = sample.coalesce(1).mapInArrow(run, "weights binary, refined binary").collect()
-    mixer = learn_mixer(np.zeros(Slots(settings).total * 2, np.uint32), [], settings)
-    if found:
-        mixer.weights = np.frombuffer(found[0]["weights"], np.float32).reshape(mixer.weights.shape)
-        mixer.refined = np.frombuffer(found[0]["refined"], np.float32)
-    return mixer
