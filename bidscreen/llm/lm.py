@@ -15,6 +15,7 @@ the frequent words are broadcast up to a fixed number, the others joined.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -286,6 +287,16 @@ class Scorer:
 PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 32 << 20
 
 
+def packed_bytes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def own_bytes(settings: Settings) -> np.uint64:
     """The bytes of a key that some context reads."""
     if any(o == 1 for o in settings.orders):
@@ -315,7 +326,7 @@ def part_rows(raws: list[bytes], copies: np.ndarray, n_buckets: int, settings: S
     key, word = np.concatenate(keys), np.concatenate(words)
     one, number = group(distinct(key, word))
     bucket = (mix((key[one] >> U(8)) & U(0xFFFF), 3) % U(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((key[one], word[one], bucket))  # words repeat in runs: they pack well
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     number, one, done = rank[number], one[order], 0
@@ -427,24 +438,25 @@ def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
                 part, _, plain, copies = (batch.column(j)[i].as_py() for j in range(4))
                 key, word, often, once, begins, _ = part_rows([plain_bytes(t) for t in plain], np.array(copies), n_buckets, settings)
                 rows = [(b, x, y) for b, (x, y) in enumerate(zip(begins[:-1], begins[1:], strict=True)) if y > x]
-                blobs = [pa.array([v[x:y].tobytes() for _, x, y in rows], pa.binary()) for v in (key, word, often.astype(np.uint32), once.astype(np.uint32))]
+                blobs = [pa.array([packed_bytes(v[x:y]) for _, x, y in rows], pa.binary()) for v in (key, word, often.astype(np.uint32), once.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), *blobs], names=["bucket", "part", "key", "word", "often", "once"])
 
     def merge(given: pd.DataFrame) -> pd.DataFrame:
         given = given.sort_values("part")
-        key, word = (np.frombuffer(b"".join(given[c]), U) for c in ("key", "word"))
+        parts = [unpacked(b, U) for b in given.key]
+        key, word = np.concatenate(parts), np.concatenate([unpacked(b, U) for b in given.word])
         one, number = group(distinct(key, word))
-        times = [np.bincount(number, np.frombuffer(b"".join(given[c]), np.uint32)).tobytes() for c in ("often", "once")]
-        sizes = np.cumsum([len(k) // 8 for k in given.key])[:-1]
-        back = [x.tobytes() for x in np.split(number.astype(np.int32), sizes)]
-        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [key[one].tobytes()], "word": [word[one].tobytes()], "often": times[:1], "once": times[1:], "parts": [list(given.part)], "back": [back]})
+        times = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]))) for c in ("often", "once")]
+        sizes = np.cumsum([len(k) for k in parts])[:-1]
+        back = [packed_bytes(x) for x in np.split(number.astype(np.int32), sizes)]
+        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [packed_bytes(key[one])], "word": [packed_bytes(word[one])], "often": times[:1], "once": times[1:], "parts": [list(given.part)], "back": [back]})
 
     sent = packed.mapInArrow(send, "bucket int, part bigint, key binary, word binary, often binary, once binary")
-    merged = materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, word binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets").repartition("bucket")
+    merged = materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, word binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets")
 
     def opened(row: dict) -> tuple[Bucket, np.ndarray]:
-        often, once = (np.frombuffer(row[c], np.float64) for c in ("often", "once"))
-        return Bucket(np.frombuffer(row["key"], U), np.frombuffer(row["word"], U), often, settings), once
+        often, once = (unpacked(row[c], np.float64) for c in ("often", "once"))
+        return Bucket(unpacked(row["key"], U), unpacked(row["word"], U), often, settings), once
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -463,12 +475,14 @@ def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
                 w, seen, *cells = learn_bucket(*opened(row), shared.value)
                 for total, x in zip(sums, (w * seen[:, None], seen, *cells), strict=True):
                     total += x
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], names=list("wgos"))
-
-        sums = [np.zeros(8 * 16 * (n + 1)), np.zeros(8 * 16), np.zeros(257 * n_map), np.zeros(257 * n_map)]
-        for row in merged.select("key", "word", "often", "once").mapInArrow(learn, "w binary, g binary, o binary, s binary").toLocalIterator():
-            for total, x in zip(sums, row, strict=True):
-                total += np.frombuffer(x, np.float64)
+            flat = np.concatenate([x.ravel() for x in sums])
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
+
+        flat = np.zeros(8 * 16 * (n + 2) + 2 * 257 * n_map)
+        for row in merged.select("key", "word", "often", "once").mapInArrow(learn, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            flat[row["at"]] = row["x"]
+        sums = np.split(flat, np.cumsum([8 * 16 * (n + 1), 8 * 16, 257 * n_map]))
         seen = sums[1][:, None]
         mean = sums[0].reshape(-1, n + 1) / np.maximum(seen, 1)
         mixer = Mixer(settings, np.where(seen > 0, mean, mixer.weights).astype(np.float32), ((start * 30 + sums[2]) / (30 + sums[3])).astype(np.float32))
@@ -477,7 +491,7 @@ def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             value = find_bucket(opened(row)[0], final.value).astype(np.float32)
-            blobs = [value[np.frombuffer(b, np.int32)].tobytes() for b in row["back"]]
+            blobs = [packed_bytes(value[unpacked(b, np.int32)]) for b in row["back"]]
             yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(blobs), pa.int32()), pa.array(row["parts"], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "value"])
 
     values = merged.mapInArrow(answer, "bucket int, part bigint, value binary").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("v")).select("part", F.col("v.value").alias("v"))
@@ -485,7 +499,7 @@ def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             *_, places = part_rows([plain_bytes(t) for t in row["texts"]], np.array(row["copies"]), n_buckets, settings)
-            value = np.frombuffer(b"".join(row["v"]), np.float32).astype(np.float64)
+            value = np.concatenate([unpacked(b, np.float32) for b in row["v"]]).astype(np.float64)
             score = np.concatenate([np.add.reduceat(value[near], at) for near, at in places]) / np.log(10)
             yield pa.RecordBatch.from_arrays([pa.array(row["digests"], pa.string()), pa.array(score)], names=["digest", "score"])
 
