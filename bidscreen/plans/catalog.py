@@ -204,9 +204,7 @@ def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = base.scored_pairs(spark, sf_dir, c)
     counts = base.chunk_counts(c).withColumn("name", F.col("doc_id").cast("string"))
     tasks = counts.select("task_id").distinct()
-    found = report.assemble(tasks, scoring.candidates_above(pairs), counts, base.composite(spark, sf_dir, c, pairs))
-    sizes = [F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("risk_pairs", "n_risk_pairs"), ("doc_info", "n_documents"), ("composite_risk", "n_composite"))]
-    return found.select("task_id", "high_risk_count", "medium_risk_count", "low_risk_count", "total_pairs", *sizes)
+    return report.counts(tasks, scoring.candidates_above(pairs), counts, base.composite(spark, sf_dir, c, pairs))
 
 
 def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
