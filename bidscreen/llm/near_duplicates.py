@@ -3,13 +3,14 @@
 A document is the set of its word shingles, as sorted 64-bit hashes; equal sets are one from the
 start. Under one order of all shingles, those that many sets share last, two sets that link share
 one of the first fifth or so of either: sets that share such a shingle form a tile, sorted and
-banded by size. In a tile, bit counts of parity bitmaps bound the overlap of two sets from above;
-pairs that pass are decided by intersecting the sorted arrays.
-
-Copies and near copies would fill tiles with pairs, so links are found in rounds. First each member of
-a band is compared with the band's middle set alone; then each with its nearest by signature;
-then all pairs of a tile whose sets aren't connected by then. No link between components is lost, and
-a group of g near copies costs about g comparisons a tile.
+banded by size. The place of the shared shingle in either order bounds the overlap, so most pairs of a
+tile are refused at once. Of the rest, bit counts of parity bitmaps bound the overlap of two sets from
+above; pairs that pass are decided by intersecting the sorted arrays.
+
+Small tiles give all their pairs. Copies and near copies make large ones, which would give the square of their
+size: there each set goes first with the two outer ids of its band alone. Links are found in rounds, of
+each set with its outer partners, then of what isn't connected yet; only sets of large tiles that are still
+in different components are compared all with all, in blocks. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers
 
 U = np.uint64
-SIZE_BITS = 24
+#: Sets of a tile that give all pairs at once, rows worked on at a time, and sets of a block of a large tile.
+SMALL_TILE, RUN_ROWS, BLOCK_SETS = 16, 1 << 20, 4096
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -106,10 +109,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: int):
 
 
 def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
-    """A row for each document: doc_id, n, set_id, signature; and rows (shingle, times) of those that a
+    """A row for each document: doc_id, text_key, n, set_id; and rows (shingle, times) of those that a
     chunk of documents holds at least `often` times."""
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_id bigint, signature binary, shingle bigint, times bigint"
-    names = ["doc_id", "n", "set_id", "signature", "shingle", "times"]
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, n bigint, set_id bigint, shingle bigint, times bigint"
+    names = ["doc_id", "text_key", "n", "set_id", "shingle", "times"]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -119,12 +122,12 @@ def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
             shingle, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             shingle, times = shingle[times >= often], times[times >= often]
-            none = [pa.nulls(len(shingle), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(len(shingle), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(shingle), pa.array(times)], names=names)
 
         for batch, sets in _chunks(batches, words):
             kind = batch.column(0).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
             held += sets
             size += sum(map(len, sets))
             if size > 4_000_000:
@@ -133,83 +136,91 @@ def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, out)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, out)
+
 
+def _ordered_prefix(s: np.ndarray, percent: int, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, so many that each set that links with it has one of them among its own first.
+    values: shingles that come last in the order, sorted; ranks: the order among them."""
+    p = len(s) - -(-percent * len(s) // 100) + 1
+    if not len(values):
+        return s[:p]
+    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+    late = values[at] == s
+    prefix = s[~late][:p]
+    if len(prefix) < p:
+        prefix = np.r_[prefix, s[late][np.argsort(ranks[at[late]], kind="stable")][: p - len(prefix)]]
+    return prefix
 
-def _tile_rows(docs: DataFrame, words: int, percent: int, hot: np.ndarray, by_shingle: bool = False) -> DataFrame:
-    """(place, set_id) for each shingle of a set's prefix; place: 40 bits of the shingle, 24 of the set's size, or
-    with by_shingle (shingle, set_id). hot: the frequent shingles, rising in frequency, which come last in the order."""
-    name = "shingle" if by_shingle else "place"
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable")))
+
+def _prefixes(docs: DataFrame, words: int, percent: int, late: np.ndarray, places: bool) -> DataFrame:
+    """Rows of each shingle of a set's prefix: (tile, n, place, set_id) or, without places, the shingle alone. late:
+    the frequent shingles, rising in frequency, which come last in the order."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late, kind="stable")))
 
     def run(batches):
         values, ranks = shared.value
         seen: set[int] = set()
         for _, sets in _chunks(batches, words):
-            places, whole, ids, sizes = [], [], [], []
+            prefixes, ids, n = [], [], []
             for s in sets:
-                n = len(s)
-                if not n or (i := set_id(s)) in seen:
+                if not len(s) or (i := set_id(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(i)
-                p = n - -(-percent * n // 100) + 1
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    late = values[at] == s
-                    prefix = s[~late][:p]
-                    if len(prefix) < p:
-                        prefix = np.r_[prefix, s[late][np.argsort(ranks[at[late]], kind="stable")][: p - len(prefix)]]
-                else:
-                    prefix = s[:p]
-                places.append((prefix << SIZE_BITS) | min(n, (1 << SIZE_BITS) - 1))
-                whole.append(prefix)
+                prefixes.append(_ordered_prefix(s, percent, values, ranks))
                 ids.append(i)
-                sizes.append(len(prefix))
+                n.append(len(s))
+            if not prefixes:
+                continue
+            columns = [np.concatenate(prefixes)]
             if places:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(whole if by_shingle else places)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=[name, "set_id"])
+                size = np.array([len(p) for p in prefixes])
+                columns += [np.repeat(np.array(n, np.int64), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.array(ids, np.int64), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tile", "n", "place", "set_id"][: len(columns)])
 
-    return docs.select("text").mapInArrow(run, f"{name} bigint, set_id bigint")
+    return docs.select("text").mapInArrow(run, "tile bigint, n bigint, place bigint, set_id bigint" if places else "tile bigint")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], drop: int = SIZE_BITS) -> Iterator[list[np.ndarray]]:
-    """Whole tiles of sorted rows, some at a time: the columns of each batch as numpy arrays, cut at tile borders.
-    A tile is what the first column has in common without its `drop` last bits."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1, least: int = 0) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Rows of sorted batches as numpy arrays, `least` or more at a time, cut where the first `keys` columns change; and
+    whether the end cuts nevertheless through a tile, as it does in one of very many rows."""
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        key = columns[0] >> drop
-        if held and held[-1][0][-1] >> drop != key[0]:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = []
-        cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-        if cut:
-            held.append([c[:cut] for c in columns])
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = []
-        held.append([c[cut:] for c in columns])
+        new = np.zeros(batch.num_rows, bool)
+        for c in range(keys):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+            new[0] |= bool(held) and held[-1][c][-1] != columns[c][0]
+        border = np.flatnonzero(new)
+        if len(border) and size + border[-1] > least:
+            held.append([c[: border[-1]] for c in columns])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)], False
+            held, size, columns = [], 0, [c[border[-1] :] for c in columns]
+        held.append(columns)
+        size += len(columns[0])
+        if size >= RUN_ROWS:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)], True
+            held, size = [], 0
     if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _by_tile(df: DataFrame, *then: str) -> DataFrame:
-    """Rows of a tile in one task, in the order of the 40 bits of the shingle and then of size."""
-    return df.repartition(F.shiftright("place", SIZE_BITS)).sortWithinPartitions("place", *then)
+        yield [np.concatenate(c) for c in zip(*held, strict=True)], False
 
 
 def _shared(rows: DataFrame, most: int) -> np.ndarray:
-    """The shingles that most sets share in their prefixes, `most` at most, rising in the number of sets.
+    """The shingles that most prefixes share, `most` at most, rising in their number.
 
     Which ones come last in the order changes the work, not the result, so a bound is harmless here.
     """
 
     def run(batches):
-        for shingles, ids in _runs(batches, 0):
-            new = np.r_[True, (shingles[1:] != shingles[:-1]) | (ids[1:] != ids[:-1])]
-            found, n = np.unique(shingles[new], return_counts=True)
+        for (shingles,), _ in _runs(batches, least=100_000):
+            found, n = np.unique(shingles, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
 
-    counted = materialize(rows.select("shingle", "set_id").repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(run, "shingle bigint, n bigint"), "shared")
+    counted = materialize(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "shingle bigint, n bigint"), "shared")
     least = 2
     room = most
     for row in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
@@ -222,50 +233,71 @@ def _shared(rows: DataFrame, most: int) -> np.ndarray:
     return found.column("shingle").to_numpy()[np.argsort(n, kind="stable")]
 
 
-def _leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of tiles of two sets or more, each with its band's middle set (null for that one itself)."""
+def overlap_allows(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m members whose first common shingle has the places i and j may link."""
+    common = 1 + np.minimum(n - i - 1, m - j - 1)
+    return 100 * common >= percent * (n + m - common)
 
-    def run(batches):
-        for place, ids in _runs(batches):
-            new = np.r_[True, (place[1:] != place[:-1]) | (ids[1:] != ids[:-1])]
-            place, ids = place[new], ids[new]
-            key, n = place >> SIZE_BITS, place & ((1 << SIZE_BITS) - 1)
-            first = np.r_[True, key[1:] != key[:-1]]
-            number = np.cumsum(first) - 1
-            several = np.bincount(number)[number] > 1
-            place, ids, n, key = place[several], ids[several], n[several], key[several]
-            if not len(place):
-                continue
-            border = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            leader = np.repeat((border[:-1] + border[1:] - 1) // 2, np.diff(border))
-            wide = 100 * n[border[:-1]] < percent * n[border[1:] - 1]
-            for b, e in zip(border[:-1][wide].tolist(), border[1:][wide].tolist(), strict=True):  # tiles of several bands
-                while b < e:
-                    band = b + int(np.searchsorted(n[b:e], n[b] * 100 // percent, side="right"))
-                    leader[b:band] = (b + band - 1) // 2
-                    b = band
-            own = leader == np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids), pa.array(ids[leader], mask=own)], names=["place", "set_id", "leader"])
 
-    return _by_tile(rows, "set_id").mapInArrow(run, "place bigint, set_id bigint, leader bigint")
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """From rows (tile, n, place, set_id): pairs (a, b) that sizes and places let link, and the rows of large tiles.
 
+    A pair is found in the tile of its first common shingle. A large tile gives of each set the pairs with the
+    least and the greatest id of its band, which connect copies without comparing all with all.
+    """
+    names = ["a", "b", "tile", "n", "place", "set_id"]
 
-def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of sets in one tile, in different components, that size and signature let link; with `nearest`, of
-    each set only the one with the smaller set whose signature is nearest. rows: place, set_id, component, signature."""
-    none = 1 << 40
+    def run(batches):
+        was_cut = False
+        for (tile, n, place, ids), cut in _runs(batches, least=100_000):
+            new = np.r_[True, (tile[1:] != tile[:-1]) | (n[1:] != n[:-1]) | (ids[1:] != ids[:-1])]
+            tile, n, place, ids = tile[new], n[new], place[new], ids[new]
+            border = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            count = np.diff(np.r_[border, len(tile)])
+            large = count > SMALL_TILE
+            large[0] |= was_cut
+            large[-1] |= cut
+            was_cut = cut
+            after = np.repeat(border + count, count) - np.arange(len(tile)) - 1
+            after[np.repeat(large, count)] = 0
+            i = np.repeat(np.arange(len(tile)), after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            ok = (100 * n[i] >= percent * n[j]) & overlap_allows(n[i], place[i], n[j], place[j], percent)
+            a, b = ids[i[ok]], ids[j[ok]]
+            rest = np.repeat(large, count)
+            tile, n, place, ids = tile[rest], n[rest], place[rest], ids[rest]
+            if len(tile):
+                band = np.r_[True, tile[1:] != tile[:-1]]
+                for x, y in zip(*(np.flatnonzero(np.r_[band, True])[k:] for k in (0, 1)), strict=False):
+                    while 100 * n[x] < percent * n[y - 1]:
+                        x += int(np.searchsorted(n[x:y], n[x] * 100 // percent, side="right"))
+                        band[x] = True
+                start = np.flatnonzero(band)
+                size = np.diff(np.r_[start, len(tile)])
+                outer = [np.repeat(f.reduceat(ids, start), size) for f in (np.minimum, np.maximum)]
+                a, b = np.r_[a, ids, ids], np.r_[b, *outer]
+                a, b = a[a != b], b[a != b]
+            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), *[pa.nulls(len(pairs), pa.int64())] * 4], names=names)
+            if len(tile):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(tile), pa.int64())] * 2, *map(pa.array, (tile, n, place, ids))], names=names)
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "n", "set_id").mapInArrow(run, "a bigint, b bigint, tile bigint, n bigint, place bigint, set_id bigint")
+
+
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components that sizes, places and signatures let link, from rows (tile, low, high,
+    block, n, place, set_id, component, signature): a tile's blocks low and high meet in one group."""
 
     def run(batches):
-        for place, ids, component, signatures in _runs(batches):
-            key, n = place >> SIZE_BITS, place & ((1 << SIZE_BITS) - 1)
+        for (tile, low, high, block, n, place, ids, component, signatures), _ in _runs(batches, 3):
+            border = np.r_[np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]), len(tile)]
             width = np.array([len(x) // 8 for x in signatures])
-            border = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            found: dict[tuple[int, int], None] = {}
             for b, e in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
                 if component[b:e].max() == component[b:e].min():
                     continue
                 top = np.searchsorted(n[b:e], n[b:e] * 100 // percent, side="right") + b  # sizes rise: the end of each one's band
-                best, at = np.full(e - b, none), np.zeros(e - b, np.int64)
                 same = np.r_[b + np.flatnonzero(np.r_[True, width[b + 1 : e] != width[b : e - 1]]), e]
                 for begin, end in zip(same[:-1].tolist(), same[1:].tolist(), strict=True):
                     w = width[begin]
@@ -274,33 +306,21 @@ def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                         y = min(x + 128, end)
                         for z in range(x, int(top[y - 1 - b]), 1024):
                             v = min(z + 1024, int(top[y - 1 - b]))
-                            own, others = bits[x - begin : y - begin], bits[z - begin : v - begin]
-                            # differing bits only add up: pairs that a part of the words rules out need no more
-                            head = max(1, 2 * w // 5)
-                            apart = np.zeros((y - x, v - z), np.int64)
-                            for k in range(head):  # word by word: no array of pairs times words
-                                apart += np.bitwise_count(own[:, k, None] ^ others[None, :, k])
-                            ok = may_link(n[x:y, None], n[None, z:v], apart, percent) & (component[x:y, None] != component[None, z:v]) & (np.arange(x, y)[:, None] < np.arange(z, v))
+                            ok = (component[x:y, None] != component[None, z:v]) & (np.arange(x, y)[:, None] < np.arange(z, v))
+                            if low[b] != high[b]:
+                                ok &= block[x:y, None] != block[None, z:v]
                             i, j = np.nonzero(ok)
-                            apart, step = apart[i, j], max(1, (1 << 21) // w)
+                            fine = overlap_allows(n[x + i], place[x + i], n[z + j], place[z + j], percent)
+                            i, j = x + i[fine], z + j[fine]
+                            apart, step = np.zeros(len(i), np.int64), max(1, (1 << 20) // w)
                             for q in range(0, len(i), step):
-                                apart[q : q + step] += np.bitwise_count(own[i[q : q + step], head:] ^ others[j[q : q + step], head:]).sum(1, dtype=np.int64)
-                            fine = may_link(n[x + i], n[z + j], apart, percent)
-                            i, j, apart = i[fine], j[fine], apart[fine]
-                            if nearest:
-                                order = np.lexsort((apart, j))
-                                first = order[np.r_[True, j[order][1:] != j[order][:-1]]] if len(order) else order
-                                first = first[apart[first] < best[z - b + j[first]]]
-                                best[z - b + j[first]], at[z - b + j[first]] = apart[first], x + i[first]
-                            else:
-                                found.update(dict.fromkeys(zip(ids[x + i].tolist(), ids[z + j].tolist(), strict=True)))
-                j = np.flatnonzero(best < none)
-                found.update(dict.fromkeys(zip(ids[at[j]].tolist(), ids[b + j].tolist(), strict=True)))
-            if found:
-                pairs = np.array(list(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
-
-    return _by_tile(rows, "set_id").mapInArrow(run, "a bigint, b bigint").distinct()
+                                apart[q : q + step] = np.bitwise_count(bits[i[q : q + step] - begin] ^ bits[j[q : q + step] - begin]).sum(1, dtype=np.int64)
+                            fine = may_link(n[i], n[j], apart, percent)
+                            if fine.any():
+                                one, other = ids[i[fine]], ids[j[fine]]
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _signature_filter(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
@@ -311,11 +331,17 @@ def _signature_filter(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pairs = [(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            widths = [min(len(x), len(y)) for x, y in pairs]
-            apart = np.array([int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) for (x, y), w in zip(pairs, widths, strict=True)], np.int64)
-            ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), apart, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            sides = [batch.column(k).to_pylist() for k in (4, 5)]
+            width = np.array([min(len(x), len(y)) // 8 for x, y in zip(*sides, strict=True)])
+            apart = np.zeros(len(n), np.int64)
+            for w in np.unique(width).tolist():  # all pairs of one width at once
+                at = np.flatnonzero(width == w)
+                for q in range(0, len(at), max(1, (1 << 20) // w)):
+                    part = at[q : q + max(1, (1 << 20) // w)].tolist()
+                    one, other = (words_of([side[r] for r in part], w) for side in sides)
+                    apart[part] = np.bitwise_count(one ^ other).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(n, m, apart, percent)))
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -355,7 +381,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
-    """set_id and members of the documents whose place in the bitmap `wanted` is set. A set may come more than once."""
+    """set_id, n, members and signature of the documents whose place in the bitmap `wanted` is set. A set may come more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     marked = docs.select(F.xxhash64("doc_id").alias("at"), "text")
 
@@ -373,11 +399,12 @@ def _members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
                 if len(s) and (i := set_id(s)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(i)
-                    rows.append((i, s.tobytes()))
+                    rows.append((i, len(s), s.tobytes(), signature(s)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "members"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["set_id", "n", "members", "signature"])
 
-    return marked.mapInArrow(run, "set_id bigint, members binary")
+    return marked.mapInArrow(run, "set_id bigint, n bigint, members binary, signature binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -400,6 +427,58 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.distinct(), "edges")
 
 
+def _across(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets aren't in one component yet. component: node, root."""
+    of = [component.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    both = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, often: int, max_frequent: int, max_bitmap_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, text_key, n, set_id), and the component (set_id, root) of each set that links with another."""
+    rows = materialize(_describe(docs, words, often), "sets")
+    own = rows.where("n IS NOT NULL").select("doc_id", "text_key", "n", "set_id")
+    frequent = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(max_frequent).toArrow()
+    hot = frequent.column("shingle").to_numpy()[::-1].copy()
+    # prefixes that take in few shingles which others share make few tiles: what the first prefixes shared comes last
+    late = _shared(_prefixes(docs, words, percent, hot, places=False), max_frequent * 8)
+    late = np.concatenate([np.setdiff1d(late, hot, assume_unique=True), hot])
+    found = materialize(_candidates(_prefixes(docs, words, percent, late, places=True), percent), "candidates")
+    pairs = materialize(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    large = found.where("tile IS NOT NULL").select("tile", "n", "place", "set_id")
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(large.select("set_id")).distinct()
+    named = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    marks = materialize(named.join(ids, "set_id", "left_semi").select(F.xxhash64("doc_id").alias("at")), "marks")
+    n, bits = marks.count(), 1 << 13
+    while bits < min(max_bitmap_bits, 16 * n):
+        bits *= 2
+    sets = materialize(_members(docs, words, _bitmap(marks, bits)).join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "members")
+
+    passed = materialize(_signature_filter(pairs, sets, percent), "pairs")
+    both = passed.union(passed.select("b", "a")).groupBy(F.col("a").alias("u")).agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("v"))
+    outer = both.select("u", F.explode("v").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    links = materialize(_links(outer, sets, percent), "links")
+    component = materialize(components(links), "components")
+    rest = materialize(_links(_across(passed, component), sets, percent), "links")
+    if not rest.isEmpty():
+        links = links.union(rest)
+        component = materialize(components(links), "components")
+
+    # sets of large tiles that are still apart: all with all, in blocks
+    placed = large.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select(*large.columns, F.coalesce("root", "set_id").alias("component"))
+    mixed = placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_SETS).alias("blocks")).where("low != high").select("tile", "blocks")
+    placed = placed.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = dealt.join(sets.select("set_id", "signature"), "set_id").select("tile", "low", "high", "block", "n", "place", "set_id", "component", "signature")
+    dealt = dealt.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "n", "set_id")
+    rest = materialize(_block_pairs(dealt, percent), "pairs")
+    if not rest.isEmpty():
+        links = links.union(materialize(_links(rest, sets, percent), "links"))
+        component = materialize(components(links), "components")
+    return own, component.select(F.col("node").alias("set_id"), "root")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, often: int = 8, max_frequent: int = 1 << 17, max_bitmap_bits: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id_col, n_shingles and component_id.
 
@@ -411,62 +490,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, often: i
     often, max_frequent: which shingles come last in the order; they change the work, not the result.
     """
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = materialize(_describe(docs, words, often), "sets")
-    own = rows.where("n IS NOT NULL").select("doc_id", "n", "set_id")
-    frequent = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(max_frequent).toArrow()
-    hot = frequent.column("shingle").to_numpy()[::-1].copy()
-    # prefixes that take in few shingles which others share make few tiles: what the first prefixes shared comes last
-    shared = _shared(_tile_rows(docs, words, percent, hot, by_shingle=True), max_frequent * 8)
-    shared = np.concatenate([np.setdiff1d(shared, hot, assume_unique=True), hot])
-    tiles = materialize(_leaders(_tile_rows(docs, words, percent, shared), percent), "tiles")
-
-    of_set = materialize(own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "named")
-    signed = rows.where("n > 0").select("set_id", "n", "signature").join(tiles.select("set_id").distinct(), "set_id", "left_semi")
-    signed = materialize(signed.dropDuplicates(["set_id"]), "signatures")
-
-    def decide(pairs: DataFrame) -> DataFrame:
-        """The links among pairs: arrays are made for the sets of those that the signatures let pass alone."""
-        left = materialize(_signature_filter(pairs, signed, percent), "pairs")
-        ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).distinct()
-        marks = materialize(of_set.join(ids, "set_id", "left_semi").select(F.xxhash64("doc_id").alias("at")), "marks")
-        n, bits = marks.count(), 1 << 13
-        if not n:
-            return left
-        while bits < min(max_bitmap_bits, 16 * n):
-            bits *= 2
-        sets = materialize(_members(docs, words, _bitmap(marks, bits)).join(ids, "set_id", "left_semi"), "members")
-        return materialize(_links(left, sets, percent), "links")
-
-    starred = tiles.where("leader IS NOT NULL").select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct()
-    links = decide(starred)
-    first = materialize(components(links), "components")
-
-    key = F.shiftright("place", SIZE_BITS)
-    for nearest in (True, False):  # the last round leaves no pair of a tile out
-        with_component = tiles.select("place", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("place", "set_id", F.coalesce("root", "set_id").alias("component"))
-        mixed = with_component.groupBy(key.alias("key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        tiles = materialize(with_component.join(mixed, key == F.col("key"), "left_semi"), "tiles")  # components only grow: the others are done
-        several = tiles.join(signed.select("set_id", "signature"), "set_id").select("place", "set_id", "component", "signature")
-        rest = materialize(_tile_pairs(several, percent, nearest), "pairs")
-        if rest.isEmpty():
-            break
-        links = materialize(links.union(decide(rest)), "links")
-        first = materialize(components(links), "components")
-
-    root = of_set.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = root.select("set_id", "root").join(least, "root").select("set_id", "component_id")
+    own, component = _classes(docs, words, percent, often, max_frequent, max_bitmap_bits)
+    least = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    root = least.join(component, "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
+    named = root.select("set_id", "root").join(root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set_id", "component_id")
     whole = own.where("n > 0").join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return whole.unionByName(alone).withColumnRenamed("doc_id", id_col)
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, max_broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, and one row of each id; rows with a null id stay."""
-    found = materialize(near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).select(id_col, "component_id"), "kept")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    ids = F.broadcast(gone) if gone.count() <= max_broadcast_rows else gone
-    kept = docs.join(ids, id_col, "left_anti").select(*docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, max_broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", often: int = 8, max_frequent: int = 1 << 17, max_bitmap_bits: int = 1 << 26) -> DataFrame:
+    """One row of each component: that with the smallest id, of rows with one id the one with the smallest text hash.
+
+    Rows go by id and text, so a row whose text links with nothing stays even where its id repeats; of rows alike
+    in both one stays. Null ids come after all others. Rows without a shingle all stay.
+    """
+    plain = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    own, component = _classes(plain, words, percent, often, max_frequent, max_bitmap_bits)
+    texts = own.where("n > 0").groupBy("doc_id", "text_key", "set_id").agg(F.count("*").alias("copies"))
+    texts = materialize(texts.join(component, "set_id", "left").select("doc_id", "text_key", "copies", F.coalesce("root", "set_id").alias("root")), "texts")
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    decided = materialize(texts.join(first, "root").select("doc_id", "text_key", "copies", same.alias("stays")), "decided")
+
+    def matched(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        ids = ids.select("doc_id", "text_key")
+        same = rows[id_col].eqNullSafe(ids["doc_id"]) & (F.xxhash64(rows[text_col].cast("string")) == ids["text_key"])
+        return rows.join(F.broadcast(ids) if ids.count() <= max_broadcast_rows else ids, same, how)
+
+    kept = matched(decided.where("NOT stays"), "left_anti", docs)
+    repeated = decided.where("stays AND copies > 1")
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    once = matched(repeated, "left_semi", kept)
+    once = once.withColumn("_text_key_", F.xxhash64(once[text_col].cast("string"))).dropDuplicates([id_col, "_text_key_"]).drop("_text_key_")
+    return matched(repeated, "left_anti", kept).unionByName(once)

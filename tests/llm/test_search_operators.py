@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,9 +115,47 @@ def test_near_duplicates_edges(spark):
     schema = "doc_id long, text string"
     assert near_duplicates.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None), (None, None)], schema)
-    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect())
-    assert got == sorted([(-1, 0, None), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (5, 0, 5)], key=str) or len(got) == 5
-    assert sorted((r.doc_id or -1) for r in near_duplicates.keep_one(df).collect()) == [-1, -1, 1, 5]
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(-1, 0, None), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (5, 0, 5)], key=str)
+    assert sorted((r.doc_id or -1) for r in near_duplicates.keep_one(df).collect()) == [-1, 1, 5]
+
+
+def test_keep_one_goes_by_row(spark):
+    t, u, v, w = ("the common text of two rows " * 3, "another text that nothing else is like", "a third of its own with words", "and one more that differs from all")
+    df = spark.createDataFrame([(1, t), (2, t), (2, u), (3, v), (3, w), (None, v), (None, None), (None, "lone row without an id and more")], "doc_id long, text string").withColumns({"root": F.lit(1), "text_key": F.lit("x"), "stays": F.lit(True)})
+    kept = near_duplicates.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, t), (2, u), (3, v), (3, w), (None, None), (None, "lone row without an id and more")], key=str)
+
+
+def test_large_tiles(spark, monkeypatch):
+    """Families larger than a small tile, of sets that link only by way of others, in blocks and cut runs."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", 8)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for k in range(70):
+        words = base.copy()
+        for i in rng.sample(range(0, 120), rng.choice([1, 2, 3, 4, 5])):
+            words[i] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words[: rng.choice([120, 120, 118, 100, 90])]))
+    n, component = brute_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(near_duplicates.near_duplicates(df.repartition(3), often=2).collect())
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == list(zip(range(len(texts)), n, component, strict=True))
+    assert len(set(component)) > 3
+
+
+def test_runs_cut_and_whole(monkeypatch):
+    """A tile that a run cuts is large on both sides, and gives the same rows as a whole one."""
+    rows = np.array(sorted((t, 50 + i % 9, 0, 1000 * t + i) for t, m in ((1, 3), (2, 30), (3, 16), (4, 1), (5, 40)) for i in range(m)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[a : a + 7].T], names=["tile", "n", "place", "set_id"]) for a in range(0, len(rows), 7)]
+    whole = [c for run, _ in near_duplicates._runs(iter(batches)) for c in [run]]
+    assert np.array_equal(np.concatenate([np.array(c).T for c in whole]), rows)
+    assert all(len({*a[0]} & {*b[0]}) == 0 for a, b in zip(whole, whole[1:], strict=False))
+    monkeypatch.setattr(near_duplicates, "RUN_ROWS", 10)
+    cut = list(near_duplicates._runs(iter(batches)))
+    assert np.array_equal(np.concatenate([np.array(c).T for c, _ in cut]), rows) and any(end for _, end in cut)
 
 
 def test_signatures_bound_the_overlap():
