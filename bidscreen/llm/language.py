@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Spark gathers n-gram counts of each language; the log-probability matrix has a fixed number of rows
-and is broadcast; whole texts are scored in numpy batches.
+and is broadcast. The n-grams of all texts of a batch are one flat array of buckets, whose rows of the matrix
+are gathered together and summed up by text.
 """
 
 from __future__ import annotations
@@ -25,31 +26,33 @@ _letter = regex.compile(r"\p{L}")
 class Settings:
     """buckets: rows of the matrix, a power of 2; orders: lengths of the n-grams; smoothing: added to every count.
 
-    max_train_docs bounds the documents learned from: of a language with more, a share chosen by
-    the hash of id and text. max_languages bounds the columns of the matrix: the most frequent ones.
+    max_train_docs bounds the documents learned from, about: of a language with more, a share chosen by
+    the hash of id and text, so that copies of a text don't come in all or not at all. max_languages bounds the
+    columns of the broadcast matrix; more languages are an error, none is left out.
     """
 
     buckets: int = 1 << 16
     orders: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.5
     max_train_docs: int = 6_000
-    max_languages: int = 256
-
-
-def ngram_buckets(text: str, settings: Settings) -> Iterator[np.ndarray]:
-    """Buckets of a text's n-grams, lower-cased, in parts of bounded size that together have each n-gram once."""
-    part, most = 1 << 20, max(settings.orders)
-    for at in range(0, len(text), part):
-        c = np.frombuffer(text[at : at + part + most - 1].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = min(part, len(text) - at)
-        h = np.zeros(len(c), np.uint64)
-        for n in range(1, most + 1):
-            if n > len(c):
-                break
-            h = (h[: len(c) - n + 1] + c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            if n in settings.orders:
-                yield ((h[:size] + np.uint64(n)) & np.uint64(settings.buckets - 1)).astype(np.int64)
+    max_languages: int = 1_024
+
+
+def batch_buckets(texts: list[str], settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the buckets of the n-grams of all texts, lower-cased, in one flat array, and how many each text has."""
+    lowered = [t.lower() for t in texts]
+    size = np.array([len(t) for t in lowered], np.int64)
+    c = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # characters from here to the end of the text
+    h = np.zeros(len(c), np.uint64)
+    for n in range(1, max(settings.orders) + 1):
+        if n > len(c):
+            break
+        h = (h[: len(c) - n + 1] + c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in settings.orders:
+            whole = left[: len(h)] >= n  # n-grams that don't reach into the next text
+            yield ((h[whole] + np.uint64(n)) & np.uint64(settings.buckets - 1)).astype(np.int64), np.maximum(size - n + 1, 0)
 
 
 @dataclass
@@ -59,45 +62,63 @@ class Model:
     log_prob: np.ndarray  # buckets x languages
     settings: Settings
 
-    def score(self, text: str) -> tuple[str, float]:
-        """The likeliest language and its posterior probability."""
-        if not self.languages or not _letter.search(text):
-            return UNKNOWN, 0.0
-        total = self.log_prior.copy()
-        for b in ngram_buckets(text, self.settings):
-            if len(b) < 1 << 14:
-                total += self.log_prob[b].sum(0)
-            else:  # long parts meet the same buckets again and again
-                bucket, n = np.unique(b, return_counts=True)
-                total += n @ self.log_prob[bucket]
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-
-def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the documents that have a language and a text. The driver gets at most languages x buckets counts."""
-    kept = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior probability; texts without a letter have none."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        total = np.tile(self.log_prior, (len(texts), 1))
+        step = max(1, (1 << 21) // len(self.languages))
+        for bucket, count in batch_buckets(texts, self.settings):
+            some = np.flatnonzero(count)
+            end = np.cumsum(count[some])
+            for x in range(0, len(bucket), step):
+                y = min(x + step, len(bucket))
+                first, last = np.searchsorted(end, x, side="right"), np.searchsorted(end, y, side="left")
+                border = np.r_[0, end[first:last] - x]  # where the texts of this part begin
+                total[some[first : last + 1]] += np.add.reduceat(self.log_prob[bucket[x:y]], border, axis=0)
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(1)
+        known = np.array([bool(_letter.search(t)) for t in texts], bool)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+
+
+def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learn from the documents that have a language and a text. The driver gets at most languages x buckets counts.
+
+    The id only takes part in the draw of documents; a table without that column is drawn from by text.
+    """
+    own = docs[id_col].cast("string") if id_col in docs.columns else F.lit("")
+    kept = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), own.alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = kept.groupBy("lang").count().limit(settings.max_languages + 1).collect()
+    if len(counts) > settings.max_languages:
+        raise ValueError(f"more than {settings.max_languages} languages; raise max_languages to learn them all")
     languages = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, settings.max_train_docs / r["count"]) for r in counts}
     if not languages:
         return Model([], np.zeros(0), np.zeros((settings.buckets, 0)), settings)
     number = {lang: i for i, lang in enumerate(languages)}
-    take = F.lit(False)
-    for lang, s in share.items():
-        draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(s * 1_000_000)
-        take |= (F.col("lang") == lang) & (draw if s < 1 else F.lit(True))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, settings.max_train_docs / r["count"]) * 1_000_000)))])
+    take = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), settings.buckets), np.int64)
-        for batch in pieces(batches, "text"):
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for b in ngram_buckets(text, settings):
-                    total[number[lang]] += np.bincount(b, minlength=settings.buckets)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
-
-    cells = kept.where(take).mapInArrow(gather, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        held: dict[int, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, total in held.items():
+                bucket = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[bucket])], names=["lang", "bucket", "n"])
+            held.clear()
+
+        for batch in pieces(batches, "text", 1 << 20):
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()])
+            for one in np.unique(lang).tolist():
+                total = held.setdefault(one, np.zeros(settings.buckets, np.int64))
+                for bucket, _ in batch_buckets(batch.column(0).take(pa.array(np.flatnonzero(lang == one))).to_pylist(), settings):
+                    total += np.bincount(bucket, minlength=settings.buckets)
+            if len(held) > 64:
+                yield from rows()
+        yield from rows()
+
+    cells = kept.where(take).select("text", "lang").mapInArrow(gather, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = cells.toArrow()
     total = np.zeros((settings.buckets, len(languages)))
     total[found.column("bucket").to_numpy(), found.column("lang").to_numpy()] = found.column("n").to_numpy()
@@ -112,15 +133,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null text and one without a letter get `und` and score 0; ties go to the language first in
     order. Whole texts are scored; repeated rows alike. Only the text takes part.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def score(text):
-        import pandas as pd
-
-        found = [shared.value.score(t or "") for t in text]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def score(text: pa.Array) -> pa.Array:
+        lang, value = [], []
+        for piece in pieces([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 1 << 20):
+            found = shared.value.score([t or "" for t in piece.column(0).to_pylist()])
+            lang += found[0]
+            value.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(value) if value else [], pa.float64())], names=["lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score")
     return plain.withColumn("_found", score(plain[text_col].cast("string"))).select(*[plain[c] for c in plain.columns], "_found.lang_pred", "_found.score")

@@ -171,6 +171,59 @@ def test_quality_keeps_good_documents_and_drops_bad_ones(spark, sf_dir):
     assert share[1] > 0.99 and share[0] < 0.5
 
 
+def plain_buckets(text, s):
+    """One n-gram after another, by Python's integers."""
+    out = []
+    for n in s.orders:
+        for i in range(len(text.lower()) - n + 1):
+            h = 0
+            for c in text.lower()[i : i + n]:
+                h = (h + ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            out.append((h + n) % 2**64 % s.buckets)
+    return out
+
+
+def plain_posterior(text, model):
+    total = model.log_prior + sum(model.log_prob[b] for b in plain_buckets(text, model.settings))
+    return np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+
+
+def test_language_in_batches():
+    rng = np.random.default_rng(3)
+    s = language.Settings(buckets=256, orders=(1, 2, 3))
+    model = language.Model(["a", "b", "c"], np.log([0.2, 0.3, 0.5]), rng.normal(-5, 0.05, (256, 3)), s)
+    texts = ["", "x", "Éa", "12 3", "word " * 40, "\U0001d7d8 x", "İstanbul", "ab"]
+    lang, score = model.score(texts)
+    for t, got, value in zip(texts, lang, score, strict=True):
+        p = plain_posterior(t, model)
+        assert (got, value) == ("und", 0) if not any(c.isalpha() for c in t) else got == model.languages[int(p.argmax())] and abs(value - p.max()) < 1e-9
+    assert model.score([])[0] == []
+    long = ["ab cd" * 400_000, "short one"]  # more n-grams than one part gathers
+    assert [x for x in model.score(long)[1]] == pytest.approx([model.score([t])[1][0] for t in long])
+
+
+def test_language_counts(spark):
+    rows = [(1, "Ab ab", "en"), (2, "äb", "de"), (3, "ab", "en"), (3, "ab", "en"), (4, None, "en"), (5, "zz", None), (6, "", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = language.Settings(buckets=128, smoothing=1.0)
+    model = language.train(df.repartition(3), s)
+    assert model.languages == ["de", "en", "fr"]
+    for i, lang in enumerate(model.languages):
+        n = np.ones(128)
+        for _, text, own in rows:
+            if own == lang and text:
+                np.add.at(n, plain_buckets(text, s), 1)
+        assert np.allclose(model.log_prob[:, i], np.log(n / n.sum()))
+    assert np.allclose(np.exp(model.log_prior), [1 / 5, 3 / 5, 1 / 5])
+    with pytest.raises(ValueError):
+        language.train(df, language.Settings(max_languages=2))
+    copies = spark.createDataFrame([(i, "same text", "en") for i in range(4000)], "doc_id long, text string, lang string")
+    drawn = language.train(copies, language.Settings(buckets=4096, orders=(1,), max_train_docs=1000, smoothing=1.0))
+    p = np.exp(drawn.log_prob[plain_buckets("t", drawn.settings)[0], 0])  # two of nine characters of each text drawn
+    assert 800 < (4096 * p - 1) / (2 - 9 * p) < 1200
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").withColumn("held_out", crc_of_id("doc_id") % 3 == 1)
     model = language.train(docs.where("NOT held_out"))
@@ -179,8 +232,8 @@ def test_language(spark, sf_dir):
     odd = {r.doc_id: r for r in language.predict(frame(spark, ODD, True), model).collect()}
     assert all((odd[i].lang_pred == "und") == (not any(c.isalpha() for c in t or "")) for i, t in enumerate(ODD))
     plain = "ab é"
-    want = model.log_prior + sum(model.log_prob[b].sum(0) for b in language.ngram_buckets(plain, model.settings))
-    assert model.score(plain)[0] == model.languages[int(np.argmax(want))]
+    want = plain_posterior(plain, model)
+    assert model.score(["x", plain])[0][1] == model.languages[int(np.argmax(want))]
     empty = language.train(docs.where("false"))
     assert language.predict(frame(spark, ["a"]), empty).first().lang_pred == "und"
 
@@ -188,9 +241,9 @@ def test_language(spark, sf_dir):
 def test_long_texts_are_scored_whole():
     s = language.Settings(buckets=1 << 10)
     text = "abcdefghij" * 250_000
-    parts = np.concatenate([b for b in language.ngram_buckets(text, s)])
+    parts = np.concatenate([b for b, _ in language.batch_buckets([text], s)])
     assert len(parts) == sum(len(text) - n + 1 for n in s.orders)
-    short = np.bincount(np.concatenate(list(language.ngram_buckets(text[:1000], s))), minlength=1 << 10)
+    short = np.bincount(np.concatenate([b for b, _ in language.batch_buckets([text[:1000]], s)]), minlength=1 << 10)
     assert set(np.flatnonzero(short)) >= set(np.flatnonzero(np.bincount(parts, minlength=1 << 10)))
 
 
