@@ -40,7 +40,7 @@ def crc_of_id(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with at most max_bytes of text each, or one row where a row is longer."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
