@@ -1,12 +1,14 @@
 """Language-model scoring by logistic context mixing of bits.
 
 A text is the bytes of its lower-cased form and an end. Each bit of a byte is predicted from several
-contexts (the two to five bytes before it, and the word so far), of which Spark gathers how often either bit came
-next in all training documents, one number for each context: what is kept grows with the texts. A gate, the bit's place and how much the two
-longest contexts have seen, chooses the weights that mix the predictions in the logistic domain; an
-adaptive map by bit history refines the mixture. Weights and map are learned from all
-different training texts, online in each bucket of contexts and averaged over rounds; own counts are left out. The probability of a text is the product
-over its bits, so the score is its total bits in log10 units.
+contexts (the three and five bytes before it, and its word as far as it has come, up to seven bytes), of which Spark
+gathers how often either bit came next in all training documents, each context by itself: what is kept
+grows with the texts. A gate, the bit's place and how much the two longest contexts have seen, chooses the
+weights that mix the predictions in the logistic domain; an adaptive map by bit history refines
+the mixture. Weights and map are learned online in each bucket of contexts, from the predictions of all training
+documents, and averaged; own counts are left out. They stay as learned while texts are scored, so that a text's score
+doesn't depend on what is scored beside it. The probability of a text is the product over its bits, so the score is its
+total bits in log10 units.
 
 Beside it stands a smoothed unigram score of words, whose counts are those of all training documents:
 the frequent words are broadcast up to a fixed number, the others joined.
@@ -15,10 +17,9 @@ the frequent words are broadcast up to a fixed number, the others joined.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,32 +28,35 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers
+from bidscreen.llm.common import materialize, mix, pieces
 
 U = np.uint64
 END = b"\xff"
-BLOCK = 1 << 16
-#: Contexts worked on at a time: their arrays stay in the processor's cache.
-PART = 1 << 15
-#: Passes over all training texts that weights and map are learned in.
-ROUNDS = 2
+#: Bytes before a byte that all contexts have: they say in which bucket contexts are counted. Bytes that a key has before its own.
+LAST, BEFORE = 3, 7
+#: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 24 << 20, 1 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """orders: bytes of each context, two to six, or 0 for the word so far; head: words whose counts are broadcast, at most.
-
-    bits: logarithm of the size of each context's table in the small model in memory (Slots, Scorer); sample and
-    sample_bytes bound nothing any more. score_documents uses none of the three.
-    """
+    """orders: bytes of the contexts beside the word, rising, LAST to BEFORE; head: words whose counts are broadcast, at
+    most; rate: of learning; map_steps: cells of the map for each node; rounds: passes that learn weights and map."""
 
-    orders: tuple[int, ...] = (2, 3, 4, 5, 0)
-    bits: tuple[int, ...] = (18, 20, 20, 21, 21)
-    sample: int = 600
-    sample_bytes: int = 3_000_000
+    orders: tuple[int, ...] = (3, 5)
     head: int = 300_000
     rate: float = 0.02
     map_steps: int = 24
+    rounds: int = 1
+
+    def __post_init__(self):
+        if not self.orders or list(self.orders) != sorted(self.orders) or self.orders[0] < LAST or self.orders[-1] > BEFORE:
+            raise ValueError(f"orders rise from {LAST} to {BEFORE} at most")
+
+    @property
+    def n(self) -> int:
+        """Contexts of a bit."""
+        return len(self.orders) + 1
 
 
 def plain_bytes(text: str | None) -> bytes:
@@ -60,99 +64,88 @@ def plain_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def keys_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each text and its end: that byte and the six before it in one number, a hash of
-    its word as far as it had come (words end with bytes up to the space); and where each text begins."""
-    buffer = np.frombuffer(b"".join(END * 6 + r + END for r in raws), np.uint8)
-    n = len(buffer)
-    key = np.zeros(n - 6 if n else 0, U)
-    for j in range(7):
-        key |= buffer[6 - j : n - j].astype(U) << U(8 * j)
-    size = np.array([len(r) + 1 for r in raws], np.int64)
-    begin = np.cumsum(size) - size
-    inside = np.repeat(np.arange(len(raws)) * 6, size) + np.arange(int(size.sum()))
-    powers.reach(n + 1)
-    total = np.r_[U(0), np.cumsum(byte_values[buffer] * powers.up[:n])] if n else np.zeros(1, U)
-    start = np.maximum.accumulate(np.where((buffer <= 0x20) | (buffer == 0xFF), np.arange(1, n + 1), 0)) if n else np.zeros(0, np.int64)
-    at = inside + 6  # the place of each byte; its word has come as far as the byte before
-    since = start[at - 1] if n else start
-    word = mix((total[at] - total[since]) * powers.down[since])
-    return key[inside], word, begin
+def joined(raws: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """Texts one after another, each with BEFORE ends before it, so that the first of them ends the text before; and their lengths."""
+    return b"".join(END * BEFORE + r for r in raws) + END, np.array([len(r) for r in raws], np.int64)
+
+
+def byte_mask(n: np.ndarray | int) -> np.ndarray:
+    """The lowest n bytes, n up to 7."""
+    return (U(1) << (np.asarray(n).astype(U) * U(8))) - U(1)
 
 
-def distinct(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for each byte with all that it is predicted from."""
-    return key * U(0x9E3779B97F4A7C15) + word * U(0xC2B2AE3D27D4EB4F)
+def steps_of(blob: bytes, sizes: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of joined texts, a bounded number of bytes at a time: the texts that have bytes there (their ends count as such),
+    how many each has, and the key of each byte: itself and all bytes before it that some context reads, latest lowest."""
+    start = np.cumsum(sizes + BEFORE) - sizes
+    for x in range(BEFORE, len(blob), STEP_BYTES):
+        y = min(x + STEP_BYTES, len(blob))
+        first, last = np.searchsorted(start + sizes, x), np.searchsorted(start, y)
+        low, high = np.maximum(start[first:last], x), np.minimum(start[first:last] + sizes[first:last] + 1, y)
+        n = np.maximum(high - low, 0)
+        if not n.sum():
+            continue
+        own = np.frombuffer(blob, np.uint8, y - x + BEFORE, x - BEFORE)
+        turned = np.r_[own[::-1], np.zeros(BEFORE, np.uint8)]
+        key = np.ndarray((len(own),), "<u8", turned.tobytes(), strides=(1,))[::-1]
+        at = np.repeat(low - x + BEFORE - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.arange(len(own), dtype=np.int32)
+        word = np.maximum.accumulate(np.where((own <= 0x20) | (own == 0xFF), place + 1, 0))  # where the word at a place begins
+        length = np.clip(at - word[at - 1], settings.orders[-1], BEFORE)
+        keep = np.r_[byte_mask(np.arange(BEFORE) + 1), ~U(0)]  # the byte itself and `length` bytes before it
+        yield np.arange(first, last), n, key[at] & keep[length]
+
+
+def contexts(key: np.ndarray, settings: Settings) -> list[np.ndarray]:
+    """The contexts of each key's byte, shortest first: so many bytes before it, and its word, of BEFORE bytes at most (but
+    LAST at least, beyond the word's beginning)."""
+    before = key >> U(8)
+    out = [before & byte_mask(o) for o in settings.orders]
+    length, inside = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+    for i in range(BEFORE):
+        byte = (before >> U(8 * i)) & U(255)
+        inside &= (byte > U(0x20)) & (byte != U(255))
+        length += inside
+    return [*out, before & byte_mask(np.maximum(length, LAST))]
+
+
+def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix((key >> U(8)) & byte_mask(LAST), 3) % U(n_buckets)).astype(np.int64)
 
 
 def group(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of one of each distinct value, and the number of each value's group; by hashing, not by sorting."""
-    number, distinct_values = pd.factorize(values)
-    one = np.empty(len(distinct_values), np.int64)
-    one[number] = np.arange(len(values))
-    return one, number
-
-
-class Slots:
-    """Places of (context, bits so far) in the tables, one after another."""
-
-    def __init__(self, settings: Settings):
-        self.orders, self.bits = settings.orders, settings.bits
-        sizes = [1 << b for b in self.bits]
-        self.base = np.cumsum([0, *sizes[:-1]])
-        self.total = sum(sizes)
-
-    def contexts(self, key: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for o in self.orders:
-            # a word of one letter or none goes with the two bytes before, as all contexts do
-            c = ((key >> U(8)) & U((1 << (8 * o)) - 1)) if o else word + ((key >> U(8)) & U(0xFFFF)) * U(0x9E3779B97F4A7C13)
-            if o != 1:
-                c = (c + U(o)) * U(0x9E3779B97F4A7C15)
-                c ^= c >> U(32)
-            out.append(c)
-        return out
-
-    def at(self, context: np.ndarray, which: int, node: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """spread: of the nodes, from spread_of, for all contexts alike."""
-        if self.orders[which] == 1:
-            place = context << U(8)
-            place |= node
-        else:
-            place = context ^ spread
-            place *= U(0xD6E8FEB86659FD93)
-            place >>= U(64 - self.bits[which])
-        place = place.view(np.int64)
-        place += self.base[which]
-        return place
+    """The distinct values, and the number of each value's; by hashing, not by sorting."""
+    number, found = pd.factorize(values)
+    return np.asarray(found), number
 
 
-def spread_of(node: np.ndarray) -> np.ndarray:
-    return node * U(0xC2B2AE3D27D4EB4F)
+def packed_bytes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def steps(key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each of the eight bits of the last byte: its place, the bits before it as a node of the tree, and the bit."""
-    byte = key & U(255)
-    for t in range(8):
-        yield t, U(1 << t) | (byte >> U(8 - t)), ((byte >> U(7 - t)) & U(1)).astype(np.int64)
-
-
-def add_counts(table: np.ndarray, slots: Slots, raws: list[bytes]) -> None:
-    key, word, _ = keys_of(raws)
-    one, number = group(distinct(key, word))
-    times = np.bincount(number).astype(table.dtype)
-    key, word = key[one], word[one]
-    for a in range(0, len(key), PART):
-        part = key[a : a + PART]
-        contexts = slots.contexts(part, word[a : a + PART])
-        for _, node, bit in steps(part):
-            spread = spread_of(node)
-            for which, c in enumerate(contexts):
-                at = slots.at(c, which, node, spread)
-                at <<= 1
-                at += bit
-                np.add.at(table, at, times[a : a + PART])
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a part's texts by bucket and then rising, how often its texts make them by the weights
+    often and once of each text, and where buckets begin."""
+    keys, counts = [], ([], [])
+    for texts, n, key in steps_of(blob, sizes, settings):
+        found, number = group(key)
+        keys.append(found)
+        for held, weight in zip(counts, (often, once), strict=True):
+            held.append(np.bincount(number, np.repeat(weight[texts].astype(np.float64), n), len(found)))
+    if not keys:
+        return np.zeros(0, U), np.zeros(0), np.zeros(0), np.zeros(n_buckets + 1, np.int64)
+    key, number = group(np.concatenate(keys))
+    bucket = bucket_of(key, n_buckets)
+    order = np.lexsort((key, bucket))
+    first, second = (np.bincount(number, np.concatenate(held), len(key))[order] for held in counts)
+    return key[order], first, second, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
 
 def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -165,26 +158,41 @@ def trust(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array([1, 4, 32]), n, side="right").astype(np.uint8)
 
 
+def steps(byte: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each of the eight bits of a byte: its place, the bits before it as a node of the tree, and the bit."""
+    for t in range(8):
+        yield t, (1 << t) | (byte >> (8 - t)), (byte >> (7 - t)) & 1
+
+
 @dataclass
 class Mixer:
     """Weights of each gate, and the map that refines the mixture by node and by its logit."""
 
     settings: Settings
-    weights: np.ndarray = field(default=None)
-    refined: np.ndarray = field(default=None)
+    weights: np.ndarray
+    refined: np.ndarray
 
-    def gates(self, t: int, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return (t * 4 + last.astype(np.int64)) * 4 + before
+    @staticmethod
+    def new(settings: Settings) -> Mixer:
+        """Equal weights, and a map that changes nothing."""
+        weights = np.full((8 * 16, settings.n + 1), 0.3, np.float32)
+        weights[:, -1] = 0
+        middle = 1 / (1 + np.exp(-(np.arange(settings.map_steps) * (24 / (settings.map_steps - 1)) - 12)))
+        return Mixer(settings, weights, np.tile(middle, 257).astype(np.float32))
 
     def cell(self, node: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of the map on either side of a logit (the lower one), and the share of the upper."""
         n = self.settings.map_steps
         x = (np.clip(logit, -11.99, 11.99) + 12) * ((n - 1) / 24)
         low = x.astype(np.int64)
-        return node.astype(np.int64) * n + low, (x - low).astype(np.float32)
+        return node * n + low, (x - low).astype(np.float32)
 
-    def logit(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", inputs, self.weights[gate])
+    def logit(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """The weighted sum of the inputs and a bias."""
+        total = self.weights[:, -1][gate]
+        for i, x in enumerate(inputs):
+            total += self.weights[:, i][gate] * x
+        return total
 
     def cost(self, logit: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each bit: the mean of the mixture and its refinement."""
@@ -194,316 +202,184 @@ class Mixer:
         return np.log(np.where(bit == 1, p, 1 - p))
 
 
-def learn_mixer(counts: np.ndarray, raws: list[bytes], settings: Settings, batch: int = 2048) -> Mixer:
-    """Online, one small batch of bits after another; each bit's own occurrence is taken out of the counts."""
-    slots, n = Slots(settings), len(settings.orders)
-    mixer = Mixer(settings, np.full((8 * 16, n + 1), 0.3, np.float32))
-    mixer.weights[:, n] = 0
-    n_map = settings.map_steps
-    middle = 1 / (1 + np.exp(-(np.arange(n_map) * (24 / (n_map - 1)) - 12)))
-    mixer.refined = np.tile(middle, 257).astype(np.float32)
-    ones, seen = np.tile(middle * 30, 257), np.full(257 * n_map, 30.0)
-    rng = np.random.default_rng(5)
-    for begin in range(0, len(raws), 20):
-        key, word, _ = keys_of(raws[begin : begin + 20])
-        mixed = rng.permutation(len(key))
-        key = key[mixed]
-        contexts = slots.contexts(key, word[mixed])
-        features = []
-        for t, node, bit in steps(key):
-            inputs = np.ones((len(key), n + 1), np.float32)
-            total, spread = [], spread_of(node)
-            for which, c in enumerate(contexts):
-                at = slots.at(c, which, node, spread) * 2
-                n0, n1 = counts[at].astype(np.int64) - (bit == 0), counts[at + 1].astype(np.int64) - (bit == 1)
-                n0, n1 = np.maximum(n0, 0), np.maximum(n1, 0)
-                inputs[:, which] = stretch(n0, n1)
-                total.append(n0 + n1)
-            features.append((inputs, mixer.gates(t, trust(total[-1]), trust(total[-2])), node, bit))
-        for a in range(0, len(key), batch):
-            for inputs, gate, node, bit in features:
-                x, g, y, nd = inputs[a : a + batch], gate[a : a + batch], bit[a : a + batch], node[a : a + batch]
-                logit = mixer.logit(x, g)
-                error = (y - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))).astype(np.float32)
-                step = np.zeros_like(mixer.weights)
-                np.add.at(step, g, error[:, None] * x)
-                hits = np.bincount(g, minlength=len(step))[:, None]
-                mixer.weights += settings.rate * step / np.sqrt(np.maximum(hits, 1)) * 0.5
-                low, share = mixer.cell(nd, logit)
-                near = np.where(share > 0.5, low + 1, low)
-                np.add.at(ones, near, y)
-                np.add.at(seen, near, 1)
-        mixer.refined = (ones / seen).astype(np.float32)
-    return mixer
-
-
-class Scorer:
-    """Log-probabilities of bytes after the six before them; those found last are kept in a table of fixed size."""
-
-    def __init__(self, counts: np.ndarray, mixer: Mixer, cache_bits: int = 21):
-        self.slots, self.mixer = Slots(mixer.settings), mixer
-        self.logits = stretch(counts[0::2].astype(np.float32), counts[1::2].astype(np.float32))
-        self.seen = trust(counts[0::2].astype(np.int64) + counts[1::2])
-        self.shift = U(64 - cache_bits)
-        self.keys, self.values = np.full(1 << cache_bits, 2**63, U), np.zeros(1 << cache_bits, np.float32)
-
-    def find(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
-        contexts, n = self.slots.contexts(key, word), len(self.slots.orders)
-        out = np.zeros(len(key))
-        inputs = np.ones((len(key), n + 1), np.float32)
-        for t, node, bit in steps(key):
-            spread = spread_of(node)
-            for which, c in enumerate(contexts):
-                at = self.slots.at(c, which, node, spread)
-                inputs[:, which] = self.logits[at]
-                if which == n - 2:
-                    before = self.seen[at]
-                elif which == n - 1:
-                    last = self.seen[at]
-            out += self.mixer.cost(self.mixer.logit(inputs, self.mixer.gates(t, last, before)), node, bit)
-        return out
-
-    def score(self, raws: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text."""
-        key, word, begin = keys_of(raws)
-        whole = distinct(key, word)
-        place = (whole >> self.shift).astype(np.int64)
-        value, hit = self.values[place], self.keys[place] == whole
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            one, number = group(whole[missed])
-            one = missed[one]
-            new = whole[one]
-            found = np.concatenate([self.find(key[one[a : a + PART]], word[one[a : a + PART]]) for a in range(0, len(one), PART)])
-            value[missed] = found[number]
-            place = (new >> self.shift).astype(np.int64)
-            self.keys[place] = new
-            stays = self.keys[place] == new  # of those with one place, the last
-            self.values[place[stays]] = found[stays]
-        return np.add.reduceat(value.astype(np.float64), begin) / np.log(10) if len(begin) else np.zeros(0)
-
-
-#: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
-PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 32 << 20
-
-
-def packed_bytes(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
-
-
-def unpacked(blob: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def own_bytes(settings: Settings) -> np.uint64:
-    """The bytes of a key that some context reads."""
-    if any(o == 1 for o in settings.orders):
-        raise ValueError("contexts have two bytes at least: their last two say where they are counted")
-    return U((1 << (8 * (max(settings.orders) + 1))) - 1)
-
-
-def part_rows(raws: list[bytes], copies: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """The distinct predictions (key, word) of a part's texts by bucket, that of their last two bytes; how often training
-    texts make them, and different training texts; where buckets begin; and for each step of the work
-    the prediction of each byte and where texts begin."""
-    keys, words, often, once, places, begin = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0)], [np.zeros(0)], [], 0
-    while begin < len(raws):
-        end, size = begin + 1, len(raws[begin])
-        while end < len(raws) and size + len(raws[end]) <= STEP_BYTES:
-            size, end = size + len(raws[end]), end + 1
-        key, word, at = keys_of(raws[begin:end])
-        key &= own_bytes(settings)
-        one, number = group(distinct(key, word))
-        times = np.repeat(copies[begin:end].astype(np.float64), np.diff(np.r_[at, len(key)]))
-        keys.append(key[one])
-        words.append(word[one])
-        often.append(np.bincount(number, times))
-        once.append(np.bincount(number, times > 0))
-        places.append((number.astype(np.int32), at))
-        begin = end
-    key, word = np.concatenate(keys), np.concatenate(words)
-    one, number = group(distinct(key, word))
-    bucket = (mix((key[one] >> U(8)) & U(0xFFFF), 3) % U(n_buckets)).astype(np.int64)
-    order = np.lexsort((key[one], word[one], bucket))  # words repeat in runs: they pack well
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    number, one, done = rank[number], one[order], 0
-    for i, (near, at) in enumerate(places):
-        n = len(keys[i + 1])
-        places[i] = (number[done : done + n][near], at)
-        done += n
-    total = [np.bincount(number, np.concatenate(t), len(one)) for t in (often, once)]
-    return key[one], word[one], *total, np.searchsorted(bucket[order], np.arange(n_buckets + 1)), places
-
-
 class Bucket:
-    """Predictions whose contexts end alike, with the counts of all their contexts: none of them is counted elsewhere."""
-
-    def __init__(self, key: np.ndarray, word: np.ndarray, often: np.ndarray, settings: Settings):
-        self.key, self.often, self.settings, self.sorted = key, often, settings, []
-        byte = (key & U(255)).astype(np.uint8)
-        for c in Slots(settings).contexts(key, word):
-            order = np.lexsort((byte, c)).astype(np.int32)
-            self.sorted.append((order, np.r_[True, c[order][1:] != c[order][:-1]], byte[order]))
-
-    def features(self, without_own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Inputs, gates, nodes and bits of each of the eight bits of all predictions."""
-        n, size = len(self.settings.orders), len(self.key)
-        for t, node, bit in steps(self.key):
-            inputs, total = np.ones((size, n + 1), np.float32), []
-            for which, (order, new, byte) in enumerate(self.sorted):
-                prefix = byte.astype(np.int64) >> (8 - t)
-                number = np.cumsum(new | np.r_[True, prefix[1:] != prefix[:-1]]) - 1
-                times = self.often[order]
-                counts = []
-                for b in (0, 1):
-                    c = np.empty(size)
-                    c[order] = np.bincount(number, times * (bit[order] == b))[number]
-                    counts.append(np.maximum(c - (bit == b), 0) if without_own else c)
-                inputs[:, which] = stretch(*counts)
-                total.append(counts[0] + counts[1])
-            yield inputs, np.asarray((t * 4 + trust(total[-1]).astype(np.int64)) * 4 + trust(total[-2])), node, bit
-
-
-def learn_bucket(bucket: Bucket, once: np.ndarray, mixer: Mixer, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's weights, what each gate has seen, and ones and all of each cell of the map, by the predictions of all
-    different training texts, from the weights of the mixer on; each prediction's own occurrence is taken out."""
+    """Keys whose contexts end alike, with the counts of all their contexts: none of them is counted elsewhere."""
+
+    def __init__(self, key: np.ndarray, often: np.ndarray, settings: Settings):
+        self.byte, self.counted = (key & U(255)).astype(np.int64), []
+        for c in contexts(key, settings):
+            # few (context, byte) for many keys: what their nodes have seen is summed up there
+            pair, number = np.unique((c << U(8)) | (key & U(255)), return_inverse=True)
+            self.counted.append((pair, number.astype(np.int32), np.bincount(number, often, len(pair))))
+
+    def features(self, without_own: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """Inputs, gates, nodes and bits of each of the eight bits of all keys."""
+        for t, node, bit in steps(self.byte):
+            inputs, seen = [], []
+            for pair, number, count in self.counted:
+                prefix = pair >> U(8 - t)
+                of = np.cumsum(np.r_[False, prefix[1:] != prefix[:-1]])
+                one = ((pair >> U(7 - t)) & U(1)).astype(np.float64)
+                n = np.bincount(of, count)[of]
+                n1 = np.bincount(of, count * one)[of]
+                n0 = n - n1
+                if without_own:
+                    n1, n0 = np.maximum(n1 - one, 0), np.maximum(n0 - (1 - one), 0)
+                inputs.append(stretch(n0, n1)[number])
+                seen.append(trust(n0 + n1)[number].astype(np.int64))
+            yield inputs, (t * 4 + seen[-1]) * 4 + seen[-2], node, bit
+
+
+def learn_bucket(bucket: Bucket, once: np.ndarray, mixer: Mixer, batch: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's weights, what each gate has seen, and ones and all of each cell of the map, from the weights of the
+    mixer on; once: how often training texts make each key. Each key's own occurrence is taken out."""
     own = Mixer(mixer.settings, mixer.weights.copy(), mixer.refined)
-    weight, cells = np.zeros(len(own.weights)), 257 * mixer.settings.map_steps
-    ones, seen = np.zeros(cells), np.zeros(cells)
+    gates, cells = len(own.weights), 257 * mixer.settings.map_steps
+    weight, ones, seen = np.zeros(gates), np.zeros(cells), np.zeros(cells)
     used = np.random.default_rng(5).permutation(np.flatnonzero(once))
     for inputs, gate, node, bit in bucket.features(without_own=True):
         for a in range(0, len(used), batch):
             rows = used[a : a + batch]
-            x, g, y, m = inputs[rows], gate[rows], bit[rows], once[rows]
+            x, g, y, m = [v[rows] for v in inputs], gate[rows], bit[rows], once[rows]
             logit = own.logit(x, g)
             share = m / m.mean()
-            error = (share * (y - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))).astype(np.float32)
-            step = np.zeros_like(own.weights)
-            np.add.at(step, g, error[:, None] * x)
-            step /= np.sqrt(np.maximum(np.bincount(g, share, len(step)), 1))[:, None]
-            own.weights += np.clip(mixer.settings.rate * 0.5 * step, -0.05, 0.05)
-            weight += np.bincount(g, m, len(weight))
+            error = share * (y - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+            step = np.stack([np.bincount(g, error * v, gates) for v in [*x, 1.0]], axis=1)
+            step /= np.sqrt(np.maximum(np.bincount(g, share, gates), 1))[:, None]
+            own.weights += np.clip(mixer.settings.rate * 0.5 * step, -0.05, 0.05).astype(np.float32)
+            weight += np.bincount(g, m, gates)
             low, upper = own.cell(node[rows], logit)
-            near = np.where(upper > 0.5, low + 1, low)
+            near = low + (upper > 0.5)
             ones += np.bincount(near, m * y, cells)
             seen += np.bincount(near, m, cells)
     return own.weights, weight, ones, seen
 
 
 def find_bucket(bucket: Bucket, mixer: Mixer) -> np.ndarray:
-    """Natural logarithm of the probability of each prediction's byte."""
-    out = np.zeros(len(bucket.key))
+    """Natural logarithm of the probability of each key's byte."""
+    out = np.zeros(len(bucket.byte))
     for inputs, gate, node, bit in bucket.features(without_own=False):
         out += mixer.cost(mixer.logit(inputs, gate), node, bit)
     return out
 
 
-def score_texts(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(digest, score) of different texts (digest, text, copies: how many training documents have it).
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
-    Parts of the texts send their distinct predictions to buckets, where all that is known of a context comes
-    together; weights and map are learned there in rounds; the values go back to the parts.
-    """
-    spark = texts.sparkSession
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+def _parts(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, held_out, text) some at a time: part, doc_ids, held_out, sizes, n_bytes and their joined bytes, compressed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-        def row() -> pa.RecordBatch:
-            columns = [pa.array([part])]
-            columns += [pa.array([[x for b in held for x in b.column(i).to_pylist()]], pa.list_(t)) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "digests", "texts", "copies"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = TaskContext.get().partitionId() << 20, [], 0
 
-        for batch in batches:
-            for piece in pieces([batch], "text", STEP_BYTES):
-                held.append(piece)
-                size += piece.nbytes
-                if size >= PART_BYTES:
-                    yield row()
-                    part, held, size = part + 1, [], 0
+        def row() -> pa.RecordBatch:
+            raws = [plain_bytes(t) for b in held for t in b.column(2).to_pylist()]
+            blob, sizes = joined(raws)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(raws)], pa.int32()), pa.concat_arrays([b.column(i) for b in held])) for i in (0, 1)]
+            blobs = [pa.array([b], pa.binary()) for b in (packed_bytes(sizes), packed_bytes(np.frombuffer(blob, np.uint8)))]
+            return pa.RecordBatch.from_arrays([pa.array([part]), *lists, blobs[0], pa.array([int(sizes.sum())]), blobs[1]], names=["part", "doc_ids", "held_out", "sizes", "n_bytes", "bytes"])
+
+        for piece in pieces(batches, "text", STEP_BYTES):
+            held.append(piece)
+            size += (pa.compute.sum(pa.compute.binary_length(piece.column(2))).as_py() or 0) + 16 * piece.num_rows
+            if size >= PART_BYTES:
+                yield row()
+                part, held, size = part + 1, [], 0
         if held:
             yield row()
 
-    packed = materialize(texts.select("digest", "text", "copies").mapInArrow(pack, "part bigint, digests array<string>, texts array<string>, copies array<bigint>"), "parts")
-    total = packed.select(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
+    return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"part bigint, doc_ids array<{kind}>, held_out array<boolean>, sizes binary, n_bytes bigint, bytes binary"), "parts")
+
+
+def _buckets(parts: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, key, often, once, parts, back): the distinct keys of all parts, how often training documents make them, and
+    which of them each part has. Of a text's copies in one part, `once` has one."""
+    total = parts.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(64, -(-total // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part, _, plain, copies = (batch.column(j)[i].as_py() for j in range(4))
-                key, word, often, once, begins, _ = part_rows([plain_bytes(t) for t in plain], np.array(copies), n_buckets, settings)
-                rows = [(b, x, y) for b, (x, y) in enumerate(zip(begins[:-1], begins[1:], strict=True)) if y > x]
-                blobs = [pa.array([packed_bytes(v[x:y]) for _, x, y in rows], pa.binary()) for v in (key, word, often.astype(np.uint32), once.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), *blobs], names=["bucket", "part", "key", "word", "often", "once"])
+        for row in _rows(batches):
+            sizes, blob = unpacked(row["sizes"], np.int64), unpacked(row["bytes"], np.uint8).tobytes()
+            often = ~np.array(row["held_out"], bool)
+            begin = np.cumsum(sizes + BEFORE) - sizes
+            text = [hash(blob[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            once = often & ~pd.Series(text, dtype="int64").where(often, np.arange(len(text)) - 2**62).duplicated().to_numpy()
+            key, *counts, border = part_counts(blob, sizes, often, once, n_buckets, settings)
+            found = np.flatnonzero(np.diff(border))
+            blobs = [pa.array([packed_bytes(v[border[b] : border[b + 1]]) for b in found], pa.binary()) for v in (key, *(c.astype(np.uint32) for c in counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), row["part"])), *blobs], names=["bucket", "part", "key", "often", "once"])
 
     def merge(given: pd.DataFrame) -> pd.DataFrame:
         given = given.sort_values("part")
-        parts = [unpacked(b, U) for b in given.key]
-        key, word = np.concatenate(parts), np.concatenate([unpacked(b, U) for b in given.word])
-        one, number = group(distinct(key, word))
-        times = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]))) for c in ("often", "once")]
-        sizes = np.cumsum([len(k) for k in parts])[:-1]
-        back = [packed_bytes(x) for x in np.split(number.astype(np.int32), sizes)]
-        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [packed_bytes(key[one])], "word": [packed_bytes(word[one])], "often": times[:1], "once": times[1:], "parts": [list(given.part)], "back": [back]})
-
-    sent = packed.mapInArrow(send, "bucket int, part bigint, key binary, word binary, often binary, once binary")
-    merged = materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, word binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets")
-
-    def opened(row: dict) -> tuple[Bucket, np.ndarray]:
-        often, once = (unpacked(row[c], np.float64) for c in ("often", "once"))
-        return Bucket(unpacked(row["key"], U), unpacked(row["word"], U), often, settings), once
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+        own = [unpacked(b, U) for b in given.key]
+        key, number = np.unique(np.concatenate(own), return_inverse=True)
+        counts = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]), len(key))) for c in ("often", "once")]
+        back = [packed_bytes(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(number, np.cumsum([len(k) for k in own])[:-1])]  # rising, as a part's keys are
+        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [packed_bytes(key)], "often": counts[:1], "once": counts[1:], "parts": [list(given.part)], "back": [back]})
+
+    sent = parts.select("part", "held_out", "sizes", "bytes").mapInArrow(send, "bucket int, part bigint, key binary, often binary, once binary")
+    return materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets")
+
+
+def _opened(row: dict, settings: Settings) -> Bucket:
+    return Bucket(unpacked(row["key"], U), unpacked(row["often"], np.float64), settings)
 
-    n_map, n = settings.map_steps, len(settings.orders)
-    mixer = learn_mixer(np.zeros(Slots(settings).total * 2, np.uint32), [], settings)
-    start = mixer.refined.astype(np.float64)
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(mixer)
+
+def learn_mixer(buckets: DataFrame, settings: Settings) -> Mixer:
+    """Weights and map: learned online in each bucket from the same beginning, and averaged by what each gate and cell has seen."""
+    mixer = Mixer.new(settings)
+    start, gates = mixer.refined.astype(np.float64), len(mixer.weights)
+    shapes = [gates * (settings.n + 1), gates, len(start), len(start)]
+    for _ in range(settings.rounds):
+        shared = buckets.sparkSession.sparkContext.broadcast(mixer)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros((8 * 16, n + 1)), np.zeros(8 * 16), np.zeros(257 * n_map), np.zeros(257 * n_map)]
-            for row in rows_of(batches):
-                w, seen, *cells = learn_bucket(*opened(row), shared.value)
-                for total, x in zip(sums, (w * seen[:, None], seen, *cells), strict=True):
-                    total += x
-            flat = np.concatenate([x.ravel() for x in sums])
+            flat = np.zeros(sum(shapes))
+            for row in _rows(batches):
+                w, seen, *cells = learn_bucket(_opened(row, settings), unpacked(row["once"], np.float64), shared.value)
+                flat += np.concatenate([(w * seen[:, None]).ravel(), seen, *cells])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
 
-        flat = np.zeros(8 * 16 * (n + 2) + 2 * 257 * n_map)
-        for row in merged.select("key", "word", "often", "once").mapInArrow(learn, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            flat[row["at"]] = row["x"]
-        sums = np.split(flat, np.cumsum([8 * 16 * (n + 1), 8 * 16, 257 * n_map]))
-        seen = sums[1][:, None]
-        mean = sums[0].reshape(-1, n + 1) / np.maximum(seen, 1)
-        mixer = Mixer(settings, np.where(seen > 0, mean, mixer.weights).astype(np.float32), ((start * 30 + sums[2]) / (30 + sums[3])).astype(np.float32))
-    final = spark.sparkContext.broadcast(mixer)
+        sums = buckets.select("key", "often", "once").mapInArrow(learn, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        flat = np.zeros(sum(shapes))
+        flat[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
+        weights, seen, ones, all_ = np.split(flat, np.cumsum(shapes)[:-1])
+        mean = weights.reshape(gates, -1) / np.maximum(seen, 1)[:, None]
+        mixer = Mixer(settings, np.where(seen[:, None] > 0, mean, mixer.weights).astype(np.float32), ((start * 30 + ones) / (30 + all_)).astype(np.float32))
+    return mixer
+
+
+def _values(buckets: DataFrame, mixer: Mixer) -> DataFrame:
+    """(part, v): of each part the keys of its texts and their natural log-probabilities, by bucket."""
+    shared = buckets.sparkSession.sparkContext.broadcast(mixer)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            value = find_bucket(opened(row)[0], final.value).astype(np.float32)
-            blobs = [packed_bytes(value[unpacked(b, np.int32)]) for b in row["back"]]
-            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(blobs), pa.int32()), pa.array(row["parts"], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "value"])
+        for row in _rows(batches):
+            key, value = unpacked(row["key"], U), find_bucket(_opened(row, shared.value.settings), shared.value).astype(np.float32)
+            for part, back in zip(row["parts"], row["back"], strict=True):
+                at = np.cumsum(unpacked(back, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([packed_bytes(key[at])], pa.binary()), pa.array([packed_bytes(value[at])], pa.binary())], names=["part", "key", "value"])
 
-    values = merged.mapInArrow(answer, "bucket int, part bigint, value binary").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("v")).select("part", F.col("v.value").alias("v"))
+    found = buckets.select("key", "often", "parts", "back").mapInArrow(answer, "part bigint, key binary, value binary")
+    return found.groupBy("part").agg(F.collect_list(F.struct("key", "value")).alias("v"))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            *_, places = part_rows([plain_bytes(t) for t in row["texts"]], np.array(row["copies"]), n_buckets, settings)
-            value = np.concatenate([unpacked(b, np.float32) for b in row["v"]]).astype(np.float64)
-            score = np.concatenate([np.add.reduceat(value[near], at) for near, at in places]) / np.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(row["digests"], pa.string()), pa.array(score)], names=["digest", "score"])
 
-    return packed.join(values, "part").select("part", "digests", "texts", "copies", "v").mapInArrow(add, "digest string, score double")
+def part_scores(blob: bytes, sizes: np.ndarray, key: np.ndarray, value: np.ndarray, settings: Settings) -> np.ndarray:
+    """Log10 probability of each text of a part; key, value: the log-probabilities of all keys of its texts."""
+    order = np.argsort(key)
+    key, value = key[order], value[order].astype(np.float64)
+    out = np.zeros(len(sizes))
+    for texts, n, own in steps_of(blob, sizes, settings):
+        found, number = group(own)
+        of = value[np.searchsorted(key, found)][number]
+        some = np.flatnonzero(n)
+        out[texts[some]] += np.add.reduceat(of, (np.cumsum(n) - n)[some])
+    return out / np.log(10)
 
 
 def gather_words(train: DataFrame) -> DataFrame:
@@ -549,10 +425,10 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     documents all bits are even guesses and base_score is 0; extra columns aren't read.
     """
     spark = docs.sparkSession
-    plain = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("digest", F.sha2("text", 256))
-    train = plain.where(~F.col("held_out"))
-    words = materialize(gather_words(train), "words")
-    ends = train.count()
+    plain = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    parts = _parts(plain)
+    words = materialize(gather_words(plain.where(~F.col("held_out"))), "words")
+    ends = parts.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     by_count = words.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c"))
     total, distinct, room, least = ends, int(ends > 0), settings.head, None
     for row in by_count.toLocalIterator():
@@ -564,45 +440,49 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     least = least if least is not None else 2**62
     below = total + 0.5 * (distinct + 1)
     head = words.where(F.col("c") >= least).toArrow()
-    # copies of a text are one: it's learned from once, counted as often as it occurs and scored once
-    texts = plain.groupBy("digest").agg(F.first("text").alias("text"), F.count_if(~F.col("held_out")).alias("copies"))
-    scores = score_texts(texts, settings)
     shared = spark.sparkContext.broadcast(([w.encode() for w in head.column("word").to_pylist()], np.log10((head.column("c").to_numpy() + 0.5) / below)))
     end_score = float(np.log10((ends + 0.5) / below))
-    key = uuid.uuid4().hex
     del head
+    buckets = _buckets(parts, settings)
+    values = _values(buckets, learn_mixer(buckets, settings))
+    key_of_words = uuid.uuid4().hex
     kind = plain.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "digest", "word", "times"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, logs = known_words(key, shared)
-        get, task, done = number.get, TaskContext.get().partitionId() << 40, 0
-        for batch in pieces(batches, "text", 1 << 20):
-            raws = [plain_bytes(t) for t in batch.column(1).to_pylist()]
-            n_tokens, n_known, base, row, word, times = [], [], [], [], [], []
-            for i, raw in enumerate(raws):
-                own = raw.split()
-                at = np.array([get(w, -1) for w in own], np.int64)
-                found = at[at >= 0]
-                n_tokens.append(len(own) + 1)
-                n_known.append(len(found) + (ends > 0))
-                base.append(float(logs[found].sum()) + end_score)
-                if len(found) < len(own):
-                    for w, n in Counter(own[j] for j in np.flatnonzero(at < 0).tolist()).items():
-                        row.append(task + done + i)
-                        word.append(w)
-                        times.append(n)
-            n = len(raws)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + task + done), batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), batch.column(3), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
-            if row:
+        number, logs = known_words(key_of_words, shared)
+        get = number.get
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes, blob = unpacked(batch.column(3)[i].as_py(), np.int64), unpacked(batch.column(4)[i].as_py(), np.uint8).tobytes()
+                pairs = batch.column(5)[i].as_py()
+                score = part_scores(blob, sizes, np.concatenate([unpacked(p["key"], U) for p in pairs]), np.concatenate([unpacked(p["value"], np.float32) for p in pairs]), settings)
+                del pairs
+                begin = np.cumsum(sizes + BEFORE) - sizes
+                rows = (batch.column(0)[i].as_py() << 24) + np.arange(len(sizes))
+                n_tokens, n_known, base, row, word, times = [], [], [], [], [], []
+                for r, a, n in zip(rows.tolist(), begin.tolist(), sizes.tolist(), strict=True):
+                    own = blob[a : a + n].split()
+                    at = np.array([get(w, -1) for w in own], np.int64)
+                    found = at[at >= 0]
+                    n_tokens.append(len(own) + 1)
+                    n_known.append(len(found) + (ends > 0))
+                    base.append(float(logs[found].sum()) + end_score)
+                    if len(found) < len(own):
+                        for w, k in Counter(own[j] for j in np.flatnonzero(at < 0).tolist()).items():
+                            row.append(r)
+                            word.append(w)
+                            times.append(k)
+                n, ids = len(rows), batch.column(1)[i].values
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, batch.column(2)[i].values, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
                 n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.string())], pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=names)
-            done += len(raws)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(n, ids.type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=names)
 
-    rows = materialize(plain.select("doc_id", "text", "held_out", "digest").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, digest string, word string, times bigint"), "scores")
+    joined_parts = parts.join(values, "part").select("part", "doc_ids", "held_out", "sizes", "bytes", "v")
+    rows = materialize(joined_parts.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, word string, times bigint"), "scores")
     rest = rows.where("word IS NOT NULL").select("row", "word", "times").join(words.where(F.col("c") < least), "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(below))
     rest = rest.groupBy("row").agg(F.sum(log * F.col("times")).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = rows.where("word IS NULL").join(rest, "row", "left").join(scores, "digest")
-    none = F.lit(0.0)
-    return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", none)).alias("base_score"), "score")
+    out = rows.where("word IS NULL").join(rest, "row", "left")
+    return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

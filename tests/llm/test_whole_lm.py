@@ -1,5 +1,6 @@
-"""Language-model scoring: exact contexts, and weights and map from all training texts."""
+"""Language-model scoring against a plain model: one bit after another, counts in a dictionary."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -10,39 +11,98 @@ from bidscreen.llm import lm
 from bidscreen.llm.common import crc_of_id
 
 S = lm.Settings()
-
-
-def scores(docs, settings):
-    return {r.doc_id: r.score for r in lm.score_documents(docs, crc_of_id("doc_id") % 5 == 1, settings).collect()}
-
-
-def test_counts_are_of_one_context_each():
-    raws = [b"the cat sat on the mat", b"a dog sat on a log", b"the cat sat on the mat"] * 3
-    key, word, often, once, begins, _ = lm.part_rows(raws, np.array([1] * 3 + [0] * 3 + [2] * 3), 1, S)
-    want = Counter()
-    for raw, n in zip(raws, [1] * 3 + [0] * 3 + [2] * 3, strict=True):
-        k, w, _ = lm.keys_of([raw])
-        for which, c in enumerate(lm.Slots(S).contexts(k, w)):
-            for t, node, bit in lm.steps(k):
-                for x, nd, b in zip(c.tolist(), node.tolist(), bit.tolist(), strict=True):
-                    want[which, x, t, nd, b] += n
-    contexts = lm.Slots(S).contexts(key, word)
-    for (inputs, _, node, _), t in zip(lm.Bucket(key, word, often, S).features(without_own=False), range(8), strict=True):
-        for which, c in enumerate(contexts):
-            n = np.array([[want[which, x, t, nd, b] for b in (0, 1)] for x, nd in zip(c.tolist(), node.tolist(), strict=True)])
-            assert np.allclose(inputs[:, which], lm.stretch(n[:, 0], n[:, 1]), atol=1e-5)
-    assert begins.tolist() == [0, len(key)] and once.max() <= 6
-
-
-def test_work_in_parts_and_buckets_changes_no_count(monkeypatch):
-    raws = [f"text {i} of some words {i % 3}".encode() for i in range(30)]
-    whole = lm.part_rows(raws, np.ones(30), 7, S)
+SPACE = {0xFF, *range(0x21)}
+
+
+def plain_contexts(text, settings):
+    """Of each byte and the end: the byte and its contexts as byte strings."""
+    padded = b"\xff" * 7 + text + b"\xff"
+    for p in range(7, len(padded)):
+        before, n = padded[p - 7 : p], 0
+        while n < 7 and before[6 - n] not in SPACE:
+            n += 1
+        yield padded[p], [*(before[7 - o :] for o in settings.orders), before[7 - max(n, 3) :]]
+
+
+def plain_counts(texts, settings):
+    out = Counter()
+    for text in texts:
+        for byte, found in plain_contexts(text, settings):
+            for which, c in enumerate(found):
+                for t in range(8):
+                    out[which, c, t, byte >> (8 - t), byte >> (7 - t) & 1] += 1
+    return out
+
+
+def plain_score(text, counts, mixer):
+    s, total = mixer.settings, 0.0
+    for byte, found in plain_contexts(text, s):
+        for t in range(8):
+            prefix, bit = byte >> (8 - t), byte >> (7 - t) & 1
+            n = [[counts[which, c, t, prefix, b] for b in (0, 1)] for which, c in enumerate(found)]
+            seen = [sum(x >= e for e in (1, 4, 32)) for x in map(sum, n)]
+            w = mixer.weights[(t * 4 + seen[-1]) * 4 + seen[-2]]
+            logit = float(sum(a * math.log((n1 + 0.04) / (n0 + 0.04)) for a, (n0, n1) in zip(w, n, strict=False)) + w[-1])
+            x = (min(max(logit, -11.99), 11.99) + 12) * (s.map_steps - 1) / 24
+            node = (1 << t | prefix) * s.map_steps + int(x)
+            refined = mixer.refined[node] * (1 - x % 1) + mixer.refined[node + 1] * (x % 1)
+            p = min(max(0.5 / (1 + math.exp(-logit)) + 0.5 * refined, 1e-5), 1 - 1e-5)
+            total += math.log10(p if bit else 1 - p)
+    return total
+
+
+TEXTS = ["The cat sat on the mat.", "the cat SAT on the mat.", "", None, "a dog sat on a log\nand extraordinarily extraordinarily", "aaaa aaaaaaaaaaaaa", "ünï\x00code \ufffd", "the cat sat on the mat."]
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_scores(spark, monkeypatch, rounds):
+    """The whole operator, in small parts and steps, against the plain model with the same weights and map."""
+    monkeypatch.setattr(lm, "PART_BYTES", 60)
+    settings, made = lm.Settings(rounds=rounds), []
+    own = lm.learn_mixer
+    monkeypatch.setattr(lm, "learn_mixer", lambda b, s: made.append(own(b, s)) or made[0])
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, "a repeated id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.score): r for r in lm.score_documents(df, F.col("doc_id").isin(1, 4), settings).collect()}
+    counts = plain_counts([lm.plain_bytes(t) for i, t in rows if i not in (1, 4)], settings)
+    want = sorted((i, plain_score(lm.plain_bytes(t), counts, made[0])) for i, t in rows)
+    assert np.allclose(sorted(got), want, rtol=1e-4)
+    assert rounds == 0 or not np.allclose(made[0].weights, lm.Mixer.new(settings).weights)
+
+
+def test_steps_change_nothing(monkeypatch):
+    raws = [b"", b"x" * 90, *(f"text {i} of some words {i % 3}".encode() for i in range(30)), b""]
+    blob, sizes = lm.joined(raws)
+    ones = np.ones(len(raws))
+    whole = lm.part_counts(blob, sizes, ones, ones, 7, S)
     monkeypatch.setattr(lm, "STEP_BYTES", 50)
-    steps = lm.part_rows(raws, np.ones(30), 7, S)
-    rows = lambda r: sorted(zip(*(x.tolist() for x in r[:4]), strict=True))
-    assert rows(whole) == rows(steps)
-    for r in (whole, steps):
-        assert np.array_equal(np.concatenate([r[0][near] for near, _ in r[5]]), lm.keys_of(raws)[0] & lm.own_bytes(S))
+    for a, b in zip(whole, lm.part_counts(blob, sizes, ones, ones, 7, S), strict=True):
+        assert np.array_equal(a, b)
+    assert whole[1].sum() == sum(len(r) + 1 for r in raws)
+    value = np.arange(len(whole[0]), dtype=float)
+    at = {k: v for k, v in zip(whole[0].tolist(), value.tolist(), strict=True)}
+    keys = {i: [] for i in range(len(raws))}
+    for texts, n, key in lm.steps_of(blob, sizes, S):
+        for i, k in zip(np.repeat(texts, n).tolist(), key.tolist(), strict=True):
+            keys[i].append(k)
+    assert [len(keys[i]) for i in range(len(raws))] == [len(r) + 1 for r in raws]
+    assert np.allclose(lm.part_scores(blob, sizes, whole[0], value, S) * np.log(10), [sum(at[k] for k in keys[i]) for i in range(len(raws))])
+
+
+def test_a_distribution():
+    """After any bytes the probabilities of all next bytes sum to one, and a text seen before is likelier."""
+    raws = [b"the cat sat on the mat", b"the dog sat on the log"] * 5
+    blob, sizes = lm.joined(raws)
+    key, often, once, _ = lm.part_counts(blob, sizes, np.ones(10), np.ones(10), 1, S)
+    bucket = lm.Bucket(key, often, S)
+    w, seen, ones, all_ = lm.learn_bucket(bucket, once, lm.Mixer.new(S))
+    mixer = lm.Mixer(S, w, ((lm.Mixer.new(S).refined * 30 + ones) / (30 + all_)).astype(np.float32))
+    for one in (key[5], key[20]):
+        every = (one & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+        both = np.concatenate([key[~np.isin(key, every)], every])
+        count = dict(zip(key.tolist(), often.tolist(), strict=True))
+        bucket = lm.Bucket(both, np.array([count.get(k, 0.0) for k in both.tolist()]), S)
+        assert np.exp(lm.find_bucket(bucket, mixer)[-256:]).sum() == pytest.approx(1, abs=1e-3)
 
 
 @pytest.fixture(scope="module")
@@ -50,17 +110,16 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def test_neither_table_size_nor_sample_decides(docs):
-    one = scores(docs, lm.Settings(bits=(6, 6, 6, 6, 6), sample=1, sample_bytes=100))
-    assert one == pytest.approx(scores(docs, lm.Settings()), rel=1e-6)
+def test_partitions_do_not_decide(docs):
+    score = lambda df: {r.doc_id: r.score for r in lm.score_documents(df, crc_of_id("doc_id") % 5 == 1).collect()}
+    one, other = score(docs.coalesce(1)), score(docs.repartition(5))
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 0.02 * abs(one[i]) for i in one)
 
 
-def test_copies_of_a_text_do_not_fill_the_weights(spark, docs):
-    texts = docs.dropDuplicates(["text"])
-    settings = lm.Settings()
-    s = lambda copies: {r.digest: r.score for r in lm.score_texts(texts.select(F.sha2("text", 256).alias("digest"), "text", F.lit(copies).cast("bigint").alias("copies")), settings).collect()}
-    once = {d: x for d, x in s(1).items()}
-    assert len(once) == texts.where("text IS NOT NULL").count() and all(x < 0 for x in once.values())
-    first = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("digest"), "text", F.when(F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("doc_id")) == 1, 1000).otherwise(1).cast("bigint").alias("copies"))
-    hot = {r.digest: r.score for r in lm.score_texts(first, settings).collect()}
-    assert sum(hot.values()) == pytest.approx(sum(once.values()), rel=0.25)
+def test_copies_do_not_fill_the_weights(spark, docs):
+    texts = docs.where("text IS NOT NULL").dropDuplicates(["text"])
+    once = {r.doc_id: r.score for r in lm.score_documents(texts, F.lit(False)).collect()}
+    hot = texts.orderBy("doc_id").limit(1)
+    copies = hot.select((F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 2000)))).alias("doc_id"), "text")
+    more = {r.doc_id: r.score for r in lm.score_documents(texts.unionByName(copies), F.lit(False)).collect()}
+    assert sum(more[i] for i in once) == pytest.approx(sum(once.values()), rel=0.25)
