@@ -113,10 +113,17 @@ def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mix((key >> U(8)) & byte_mask(LAST), 3) % U(n_buckets)).astype(np.int64)
 
 
-def group(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and the number of each value's; by hashing, not by sorting."""
-    number, found = pd.factorize(values)
-    return np.asarray(found), number
+def counted(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct values, rising, and the sum of each weight; of no weights, how often each value comes."""
+    if weights:
+        order = np.argsort(values)
+        values, weights = values[order], [w[order] for w in weights]
+    else:
+        values = np.sort(values)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    if not weights:
+        return values[first], np.diff(np.r_[first, len(values)])
+    return values[first], *(np.add.reduceat(w, first) if len(first) else w for w in weights)
 
 
 def packed_bytes(values: np.ndarray) -> bytes:
@@ -131,21 +138,19 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
 
 
 def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a part's texts by bucket and then rising, how often its texts make them by the weights
-    often and once of each text, and where buckets begin."""
-    keys, counts = [], ([], [])
+    """The distinct keys of a part's texts by bucket and then rising, how many of its texts' bytes make them where
+    the texts' marks often and once hold, and where buckets begin."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    kind = often + 2 * once
     for texts, n, key in steps_of(blob, sizes, settings):
-        found, number = group(key)
-        keys.append(found)
-        for held, weight in zip(counts, (often, once), strict=True):
-            held.append(np.bincount(number, np.repeat(weight[texts].astype(np.float64), n), len(found)))
-    if not keys:
-        return np.zeros(0, U), np.zeros(0), np.zeros(0), np.zeros(n_buckets + 1, np.int64)
-    key, number = group(np.concatenate(keys))
+        own = np.repeat(kind[texts], n)
+        for k in np.unique(kind[texts]).tolist():
+            found, times = counted(key[own == k])
+            held.append((found, times * (k % 2), times * (k // 2)))
+    key, first, second = counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
     bucket = bucket_of(key, n_buckets)
-    order = np.lexsort((key, bucket))
-    first, second = (np.bincount(number, np.concatenate(held), len(key))[order] for held in counts)
-    return key[order], first, second, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    order = np.argsort(bucket, kind="stable")
+    return key[order], first[order], second[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
 
 def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -304,10 +309,11 @@ def _buckets(parts: DataFrame, settings: Settings) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             sizes, blob = unpacked(row["sizes"], np.int64), unpacked(row["bytes"], np.uint8).tobytes()
-            often = ~np.array(row["held_out"], bool)
+            often = 1 - np.array(row["held_out"], np.int64)
             begin = np.cumsum(sizes + BEFORE) - sizes
             text = [hash(blob[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
-            once = often & ~pd.Series(text, dtype="int64").where(often, np.arange(len(text)) - 2**62).duplicated().to_numpy()
+            once = np.zeros_like(often)
+            once[np.flatnonzero(often)[np.unique(np.array(text, np.int64)[often == 1], return_index=True)[1]]] = 1
             key, *counts, border = part_counts(blob, sizes, often, once, n_buckets, settings)
             found = np.flatnonzero(np.diff(border))
             blobs = [pa.array([packed_bytes(v[border[b] : border[b + 1]]) for b in found], pa.binary()) for v in (key, *(c.astype(np.uint32) for c in counts))]
@@ -375,8 +381,11 @@ def part_scores(blob: bytes, sizes: np.ndarray, key: np.ndarray, value: np.ndarr
     key, value = key[order], value[order].astype(np.float64)
     out = np.zeros(len(sizes))
     for texts, n, own in steps_of(blob, sizes, settings):
-        found, number = group(own)
-        of = value[np.searchsorted(key, found)][number]
+        order = np.argsort(own)
+        rising = own[order]
+        new = np.r_[True, rising[1:] != rising[:-1]]
+        of = np.empty(len(own))
+        of[order] = value[np.searchsorted(key, rising[new])][np.cumsum(new) - 1]
         some = np.flatnonzero(n)
         out[texts[some]] += np.add.reduceat(of, (np.cumsum(n) - n)[some])
     return out / np.log(10)

@@ -73,7 +73,7 @@ def test_scores(spark, monkeypatch, rounds):
 def test_steps_change_nothing(monkeypatch):
     raws = [b"", b"x" * 90, *(f"text {i} of some words {i % 3}".encode() for i in range(30)), b""]
     blob, sizes = lm.joined(raws)
-    ones = np.ones(len(raws))
+    ones = np.ones(len(raws), int)
     whole = lm.part_counts(blob, sizes, ones, ones, 7, S)
     monkeypatch.setattr(lm, "STEP_BYTES", 50)
     for a, b in zip(whole, lm.part_counts(blob, sizes, ones, ones, 7, S), strict=True):
@@ -93,7 +93,7 @@ def test_a_distribution():
     """After any bytes the probabilities of all next bytes sum to one, and a text seen before is likelier."""
     raws = [b"the cat sat on the mat", b"the dog sat on the log"] * 5
     blob, sizes = lm.joined(raws)
-    key, often, once, _ = lm.part_counts(blob, sizes, np.ones(10), np.ones(10), 1, S)
+    key, often, once, _ = lm.part_counts(blob, sizes, np.ones(10, int), np.ones(10, int), 1, S)
     bucket = lm.Bucket(key, often, S)
     w, seen, ones, all_ = lm.learn_bucket(bucket, once, lm.Mixer.new(S))
     mixer = lm.Mixer(S, w, ((lm.Mixer.new(S).refined * 30 + ones) / (30 + all_)).astype(np.float32))
