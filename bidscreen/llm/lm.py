@@ -35,7 +35,7 @@ END = b"\xff"
 #: Bytes before a byte that all contexts have: they say in which bucket contexts are counted. Bytes that a key has before its own.
 LAST, BEFORE = 3, 7
 #: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
-PART_BYTES, STEP_BYTES, BUCKET_BYTES = 24 << 20, 1 << 20, 16 << 20
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -140,14 +140,21 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
 def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of a part's texts by bucket and then rising, how many of its texts' bytes make them where
     the texts' marks often and once hold, and where buckets begin."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32))]
     kind = often + 2 * once
+
+    def together() -> None:
+        held[:] = [counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+
     for texts, n, key in steps_of(blob, sizes, settings):
         own = np.repeat(kind[texts], n)
         for k in np.unique(kind[texts]).tolist():
             found, times = counted(key[own == k])
-            held.append((found, times * (k % 2), times * (k // 2)))
-    key, first, second = counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.append((found, (times * (k % 2)).astype(np.int32), (times * (k // 2)).astype(np.int32)))
+        if sum(len(h[0]) for h in held[1:]) > max(500_000, len(held[0][0])):
+            together()
+    together()
+    key, first, second = held[0]
     bucket = bucket_of(key, n_buckets)
     order = np.argsort(bucket, kind="stable")
     return key[order], first[order], second[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
