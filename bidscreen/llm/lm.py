@@ -35,7 +35,7 @@ END = b"\xff"
 #: Bytes before a byte that all contexts have: they say in which bucket contexts are counted. Bytes that a key has before its own.
 LAST, BEFORE = 3, 7
 #: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
-PART_BYTES, STEP_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 16 << 20
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 16 << 20, 1 << 19, 16 << 20
 
 
 @dataclass(frozen=True)
