@@ -108,7 +108,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[bucket])], names=["lang", "bucket", "n"])
             held.clear()
 
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text"):
             lang = np.array([number[x] for x in batch.column(1).to_pylist()])
             for one in np.unique(lang).tolist():
                 total = held.setdefault(one, np.zeros(settings.buckets, np.int64))
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def score(text: pa.Array) -> pa.Array:
         lang, value = [], []
-        for piece in pieces([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 1 << 20):
+        for piece in pieces([pa.RecordBatch.from_arrays([text], names=["text"])], "text"):
             found = shared.value.score([t or "" for t in piece.column(0).to_pylist()])
             lang += found[0]
             value.append(found[1])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers
+from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers, release
 
 U = np.uint64
 #: Sets of a tile that give all pairs at once, rows worked on at a time, and sets of a block of a large tile.
@@ -130,7 +130,7 @@ def _describe(docs: DataFrame, words: int, often: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
             held += sets
             size += sum(map(len, sets))
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield frequent()
                 size = 0
         if held:
@@ -207,6 +207,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1, least: int = 0) -> I
             held, size = [], 0
     if held:
         yield [np.concatenate(c) for c in zip(*held, strict=True)], False
+    del held
+    release()
 
 
 def _shared(rows: DataFrame, most: int) -> np.ndarray:
@@ -354,8 +356,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for i in range(batch.num_rows):  # no copies: a batch of long arrays is large enough as it is
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int64) for k in (2, 3))
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((merged[1:] == merged[:-1]).sum())
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
