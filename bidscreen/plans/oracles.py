@@ -19,6 +19,22 @@ def _type(text: str) -> str:
       WHEN {_hits(text, LATIN.price_words)} >= 2 THEN 'price_param' WHEN {_hits(text, LATIN.tech_words)} >= 2 THEN 'tech_spec' ELSE 'normal' END"""
 
 
+def _blocks(name: str, pairs: str, places: str) -> str:
+    """Ratcliff and Obershelp's matching blocks, the longest first and then those on either side of it, as rows (pid, size) of
+    `name`; pairs: pid, na, nb, the lengths of two sequences; places: pid, i, j, where they have the same element."""
+    key = "pid, alo, ahi, blo, bhi"
+    return f"""{name}({key}, size) AS (
+   SELECT pid, 0::BIGINT, na::BIGINT, 0::BIGINT, nb::BIGINT, 0::BIGINT FROM {pairs}
+   UNION ALL
+   SELECT pid, side.alo, side.ahi, side.blo, side.bhi, side.size FROM (
+      SELECT pid, unnest([{{'alo': alo, 'ahi': bi, 'blo': blo, 'bhi': bj, 'size': size}}, {{'alo': bi + size, 'ahi': ahi, 'blo': bj + size, 'bhi': bhi, 'size': 0}}]) AS side FROM (
+         SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY size DESC, bi, bj) AS nth FROM (
+            SELECT {key}, min(i) AS bi, min(j) AS bj, count(*) AS size FROM (
+               SELECT r.pid, alo, ahi, blo, bhi, i, j, i - row_number() OVER (PARTITION BY r.pid, alo, ahi, blo, bhi, i - j ORDER BY i) AS island
+               FROM {name} r JOIN {places} m ON m.pid = r.pid AND i >= alo AND i < ahi AND j >= blo AND j < bhi)
+            GROUP BY {key}, i - j, island)) WHERE nth = 1))"""
+
+
 PARAGRAPHS = f"""
 split_up AS (SELECT source AS task_id, doc_id, string_split_regex(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n+') AS parts FROM documents),
 raw AS (SELECT task_id, doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS pos FROM split_up),
@@ -53,6 +69,16 @@ OVERLAPS = f"""{FIELDS},
 shared_fields AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field_type, a.value FROM fields a JOIN fields b ON a.task_id = b.task_id AND a.field_type = b.field_type AND a.value = b.value AND a.doc_id < b.doc_id
    WHERE a.field_type <> 'project')"""
 
+FUZZY = f"""{OVERLAPS},
+field_values AS (SELECT DISTINCT task_id, field_type, value FROM fields WHERE field_type IN ('phone', 'person', 'company', 'team_member')),
+value_pairs AS (SELECT DISTINCT a.value AS value_a, b.value AS value_b, a.value || chr(1) || b.value AS pid, length(a.value) AS na, length(b.value) AS nb FROM field_values a JOIN field_values b ON a.task_id = b.task_id AND a.field_type = b.field_type AND a.value <> b.value
+   WHERE 2 * least(length(a.value), length(b.value)) >= {LATIN.fuzzy} * (length(a.value) + length(b.value)) - 1e-9),
+value_places AS (SELECT pid, i, j FROM (SELECT pid, value_a, value_b, i, unnest(range(nb)) AS j FROM (SELECT *, unnest(range(na)) AS i FROM value_pairs)) WHERE substr(value_a, i + 1, 1) = substr(value_b, j + 1, 1)),
+{_blocks("value_blocks", "value_pairs", "value_places")},
+alike_values AS (SELECT value_a, value_b FROM value_pairs JOIN value_blocks USING (pid) GROUP BY value_a, value_b, na, nb HAVING 2 * sum(size) / (na + nb) >= {LATIN.fuzzy}),
+fuzzy AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field_type, a.value AS value_a, b.value AS value_b FROM alike_values v JOIN fields a ON a.value = v.value_a JOIN fields b ON b.value = v.value_b AND a.task_id = b.task_id AND a.field_type = b.field_type AND a.doc_id < b.doc_id
+   WHERE a.field_type IN ('phone', 'person', 'company', 'team_member'))"""
+
 RARE = f"""
 words AS (SELECT source AS task_id, doc_id, regexp_extract_all(lower(text), '{LATIN.gram_run}') AS w FROM documents),
 places AS (SELECT task_id, doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3),
@@ -80,9 +106,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id, chunk_id ORDER BY
 keywords AS (SELECT task_id, chunk_id, list(term ORDER BY term) AS keywords FROM ranked WHERE rank <= 20 AND term NOT IN ({_stop}) GROUP BY ALL)"""
 
 CANDIDATES = f"""{WEIGHTS},
-kept AS (SELECT * FROM weights WHERE df <= 20),
-lengths AS (SELECT task_id, chunk_id, sqrt(sum(weight * weight)) AS length FROM kept GROUP BY ALL),
-units AS (SELECT task_id, doc_id, chunk_id, term, weight / length AS w FROM kept JOIN lengths USING (task_id, chunk_id)),
+lengths AS (SELECT task_id, chunk_id, sqrt(sum(weight * weight)) AS length FROM weights GROUP BY ALL),
+units AS (SELECT task_id, doc_id, chunk_id, term, weight / length AS w FROM weights JOIN lengths USING (task_id, chunk_id)),
 half AS (SELECT a.task_id, a.chunk_id AS q, b.chunk_id AS h, round(sum(a.w * b.w), 9) AS similarity FROM units a JOIN units b ON a.task_id = b.task_id AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.55),
 near AS (SELECT * FROM half UNION ALL SELECT task_id, h, q, similarity FROM half),
 ends AS (SELECT task_id, max(doc_id) AS last_doc, count(DISTINCT doc_id) AS n_docs FROM chunks GROUP BY ALL),
@@ -109,16 +134,34 @@ firsts AS (SELECT task_id, arg_min(n_chunks, doc_id) AS n_chunks FROM counts GRO
 rates AS (SELECT task_id, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, coalesce(n_pairs, 0) AS n_pairs, CASE WHEN n_chunks > 0 THEN coalesce(covered, 0) / n_chunks ELSE 0.0 END AS rate, CASE WHEN n_pairs > 0 THEN n_high / n_pairs ELSE 0.0 END AS share FROM firsts LEFT JOIN by_task USING (task_id)),
 text_risk AS (SELECT task_id, n_high, n_medium, n_low, n_pairs, CASE WHEN rate >= 0.3 OR share >= 0.05 THEN 'high' WHEN rate >= 0.15 OR (n_high >= 1 AND n_medium >= 3) THEN 'medium' ELSE 'low' END AS text_level, round(rate, 4) AS text_rate FROM rates)"""
 
-COMPOSITE = f"""{TEXT_RISK}, {OVERLAPS}, {RARE.replace("words AS", "rwords AS").replace("FROM words", "FROM rwords").replace("tokens AS", "rtokens AS").replace("FROM tokens a JOIN tokens b", "FROM rtokens a JOIN rtokens b")},
+_titles = """
+titles AS (SELECT DISTINCT task_id, doc_id, body AS title FROM paras),
+sizes AS (SELECT task_id, doc_id, count(*) AS n FROM titles GROUP BY ALL),
+shared AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM titles a JOIN titles b ON a.task_id = b.task_id AND a.title = b.title AND a.doc_id < b.doc_id GROUP BY ALL)"""
+TITLES = f"{PARAGRAPHS},{_titles}"
+
+_structure = f"""
+seq AS (SELECT task_id, doc_id, body AS title, row_number() OVER (PARTITION BY task_id, doc_id ORDER BY pos) - 1 AS i FROM paras),
+lens AS (SELECT task_id, doc_id, count(*) AS n FROM seq GROUP BY ALL),
+title_pairs AS (SELECT s.*, concat_ws(':', s.task_id, doc_a, doc_b) AS pid, a.n AS na, b.n AS nb, da.n AS set_a, db.n AS set_b FROM shared s JOIN lens a ON a.task_id = s.task_id AND a.doc_id = doc_a JOIN lens b ON b.task_id = s.task_id AND b.doc_id = doc_b
+   JOIN sizes da ON da.task_id = s.task_id AND da.doc_id = doc_a JOIN sizes db ON db.task_id = s.task_id AND db.doc_id = doc_b),
+title_places AS (SELECT concat_ws(':', a.task_id, a.doc_id, b.doc_id) AS pid, a.i, b.i AS j FROM seq a JOIN seq b ON a.task_id = b.task_id AND a.title = b.title AND a.doc_id < b.doc_id),
+{_blocks("title_blocks", "title_pairs", "title_places")},
+structure AS (SELECT task_id, doc_a, doc_b, common / (set_a + set_b - common) AS jaccard, 2 * sum(size) / (na + nb) AS ratio, sum(size)::INT AS n_matched FROM title_pairs JOIN title_blocks USING (pid) GROUP BY task_id, doc_a, doc_b, common, set_a, set_b, na, nb),
+structured AS (SELECT *, round((jaccard * 0.5::DOUBLE + ratio * 0.5::DOUBLE) * 100, 2) AS overall_score FROM structure)"""
+
+COMPOSITE = f"""{TEXT_RISK}, {FUZZY}, {_titles}, {_structure}, {RARE.replace("words AS", "rwords AS").replace("FROM words", "FROM rwords").replace("tokens AS", "rtokens AS").replace("FROM tokens a JOIN tokens b", "FROM rtokens a JOIN rtokens b")},
 pair_text AS (SELECT a.task_id, least(doc_id_a, doc_id_b) AS doc_a, greatest(doc_id_a, doc_id_b) AS doc_b, count(DISTINCT CASE WHEN risk_level <> 'none' THEN chunk_a END) AS covered, count(*) FILTER (risk_level = 'high') AS n_high, count(*) FILTER (risk_level = 'medium') AS n_medium, count(*) AS n FROM above a GROUP BY ALL),
 pair_rate AS (SELECT p.*, CASE WHEN n_chunks > 0 THEN covered / n_chunks ELSE 0.0 END AS rate, n_high / n AS share FROM pair_text p LEFT JOIN counts c ON c.task_id = p.task_id AND c.doc_id = p.doc_a),
 text_signal AS (SELECT task_id, doc_a, doc_b, CASE WHEN rate >= 0.3 OR share >= 0.05 THEN 'high' WHEN rate >= 0.15 OR (n_high >= 1 AND n_medium >= 3) THEN 'medium' ELSE 'low' END AS text_level, round(rate, 4) AS text_rate FROM pair_rate),
 field_signal AS (SELECT task_id, doc_a, doc_b, count(*) FILTER (field_type IN ('phone', 'email')) AS contacts, count(*) FILTER (field_type IN ('person', 'team_member')) AS people FROM shared_fields GROUP BY ALL),
 rare_signal AS (SELECT task_id, doc_a, doc_b, count(*) AS matches FROM rare GROUP BY ALL),
-all_pairs AS (SELECT task_id, doc_a, doc_b FROM text_signal UNION SELECT task_id, doc_a, doc_b FROM field_signal UNION SELECT task_id, doc_a, doc_b FROM rare_signal),
-signals AS (SELECT p.*, coalesce(text_level, 'low') AS text_level, coalesce(text_rate, 0.0) AS text_rate, coalesce(contacts, 0) AS contacts, coalesce(people, 0) AS people, coalesce(matches, 0) AS matches
-   FROM all_pairs p LEFT JOIN text_signal USING (task_id, doc_a, doc_b) LEFT JOIN field_signal USING (task_id, doc_a, doc_b) LEFT JOIN rare_signal USING (task_id, doc_a, doc_b)),
-composite AS (SELECT *, CASE WHEN contacts > 0 OR people > 0 OR matches >= 2 THEN 'high' WHEN matches = 1 THEN CASE WHEN text_level = 'high' THEN 'high' ELSE 'medium' END ELSE text_level END AS final_level FROM signals)"""
+fuzzy_signal AS (SELECT task_id, doc_a, doc_b, count(*) AS resemblances FROM fuzzy GROUP BY ALL),
+all_pairs AS (SELECT task_id, doc_a, doc_b FROM text_signal UNION SELECT task_id, doc_a, doc_b FROM field_signal UNION SELECT task_id, doc_a, doc_b FROM rare_signal UNION SELECT task_id, doc_a, doc_b FROM fuzzy_signal UNION SELECT task_id, doc_a, doc_b FROM structured),
+signals AS (SELECT p.*, coalesce(text_level, 'low') AS text_level, coalesce(text_rate, 0.0) AS text_rate, coalesce(contacts, 0) AS contacts, coalesce(people, 0) AS people, coalesce(matches, 0) AS matches,
+   coalesce(overall_score >= 70 AND text_rate >= 0.3, FALSE) AS strong, coalesce(overall_score >= 50 AND resemblances > 0 AND NOT (overall_score >= 70 AND coalesce(text_rate, 0.0) >= 0.3), FALSE) AS alike
+   FROM all_pairs p LEFT JOIN text_signal USING (task_id, doc_a, doc_b) LEFT JOIN field_signal USING (task_id, doc_a, doc_b) LEFT JOIN rare_signal USING (task_id, doc_a, doc_b) LEFT JOIN fuzzy_signal USING (task_id, doc_a, doc_b) LEFT JOIN structured USING (task_id, doc_a, doc_b)),
+composite AS (SELECT *, CASE WHEN contacts > 0 OR people > 0 OR matches >= 2 OR strong THEN 'high' WHEN matches = 1 OR alike THEN CASE WHEN text_level = 'high' THEN 'high' ELSE 'medium' END ELSE text_level END AS final_level FROM signals)"""
 
 META = """
 files AS (SELECT event_type AS task_id, event_id AS doc_id, cast(user_id AS VARCHAR) AS author, ts FROM events),
@@ -131,11 +174,6 @@ pages AS (SELECT * FROM kept WHERE text <> ''),
 page_map AS (SELECT doc_id, page_num, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM pages),
 whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM pages GROUP BY ALL)"""
 
-TITLES = f"""{PARAGRAPHS},
-titles AS (SELECT DISTINCT task_id, doc_id, body AS title FROM paras),
-sizes AS (SELECT task_id, doc_id, count(*) AS n FROM titles GROUP BY ALL),
-shared AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM titles a JOIN titles b ON a.task_id = b.task_id AND a.title = b.title AND a.doc_id < b.doc_id GROUP BY ALL)"""
-
 ORACLES = {
     "paragraphs": f"WITH {PARAGRAPHS} SELECT task_id, doc_id, pos, length(body) AS n_chars, section, chunk_type FROM paras",
     "chunks": f"WITH {CHUNKS} SELECT task_id, doc_id, chunk_id, chunk_index, md5(text) AS text_md5, section_title, chunk_type, char_count, is_whitelisted FROM chunks",
@@ -143,6 +181,8 @@ ORACLES = {
     "key_fields": f"WITH {FIELDS} SELECT * FROM fields",
     "key_fields_wide": f"WITH {FIELDS} SELECT task_id, doc_id, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'phone'), '') AS phones, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'email'), '') AS emails, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'company'), '') AS companies FROM fields GROUP BY ALL",
     "exact_overlaps": f"WITH {OVERLAPS} SELECT task_id, doc_a, doc_b, field_type, value AS value_a FROM shared_fields",
+    "all_overlaps": f"""WITH RECURSIVE {FUZZY} SELECT task_id, doc_a, doc_b, field_type, value AS value_a, value AS value_b, 'exact' AS overlap_type, field_type || ': both name ' || value AS risk_note FROM shared_fields
+       UNION ALL SELECT *, 'fuzzy', field_type || ': ' || value_a || ' resembles ' || value_b FROM fuzzy""",
     "rare_matches": f"WITH {RARE} SELECT * FROM rare",
     "rare_signal": f"WITH {RARE} SELECT task_id, doc_a, doc_b, count(*) AS total_match_count, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS rare_level, md5(string_agg(token, '|' ORDER BY token_type, token)) AS tokens_md5, coalesce(string_agg(token, '|' ORDER BY token) FILTER (token_type = 'number_unit'), '') AS numbers FROM rare GROUP BY ALL",
     "price_totals": f"WITH {BIDS} SELECT * FROM totals",
@@ -172,17 +212,19 @@ ORACLES = {
        SELECT cast(doc_id AS VARCHAR) AS pair_id, CASE WHEN ok THEN 70.0 + step ELSE 70.0 END::DOUBLE AS final_score, CASE WHEN NOT ok OR 70 + step BETWEEN 65 AND 84 THEN 'medium' WHEN 70 + step >= 85 THEN 'high' ELSE 'low' END AS risk_level, CASE WHEN ok THEN kind ELSE 'normal_overlap' END AS risk_type,
        CASE WHEN ok THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN ok THEN step ELSE 0 END::DOUBLE AS llm_adjustment, CASE WHEN ok THEN 'the passages agree in wording and order' ELSE 'no valid verdict: the result rests on the similarity score alone' END AS reason_zh FROM d""",
     "text_risk": f"WITH {TEXT_RISK} SELECT * FROM text_risk",
-    "composite_risk": f"""WITH {COMPOSITE} SELECT task_id, doc_a, doc_b, text_level, text_rate, contacts AS exact_phone_email_count, matches AS total_match_count, final_level, (contacts + people + (matches > 0)::INT)::INT AS n_signals FROM composite""",
-    "task_report": f"""WITH {COMPOSITE}, docs AS (SELECT task_id, count(*) AS n_documents FROM counts GROUP BY ALL), comp AS (SELECT task_id, count(*) AS n_composite FROM composite GROUP BY ALL)
+    "composite_risk": f"""WITH RECURSIVE {COMPOSITE} SELECT task_id, doc_a, doc_b, text_level, text_rate, contacts AS exact_phone_email_count, matches AS total_match_count, final_level, (contacts + people + (matches > 0)::INT + strong::INT + alike::INT)::INT AS n_signals FROM composite""",
+    "task_report": f"""WITH RECURSIVE {COMPOSITE}, docs AS (SELECT task_id, count(*) AS n_documents FROM counts GROUP BY ALL), comp AS (SELECT task_id, count(*) AS n_composite FROM composite GROUP BY ALL)
        SELECT task_id, n_high AS high_risk_count, n_medium AS medium_risk_count, n_low AS low_risk_count, n_pairs AS total_pairs, (n_high + n_medium + n_low)::INT AS n_risk_pairs, n_documents::INT AS n_documents, coalesce(n_composite, 0)::INT AS n_composite FROM text_risk LEFT JOIN docs USING (task_id) LEFT JOIN comp USING (task_id)""",
     "task_history": "SELECT o_orderkey AS task_id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
-    "task_results": f"""WITH {COMPOSITE}, ranks AS (SELECT task_id, max(CASE final_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS r FROM composite GROUP BY ALL), n AS (SELECT source AS task_id, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY ALL),
+    "task_results": f"""WITH RECURSIVE {COMPOSITE}, ranks AS (SELECT task_id, max(CASE final_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS r FROM composite GROUP BY ALL), n AS (SELECT source AS task_id, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY ALL),
        b AS (SELECT n.task_id, n_docs, text_rate, greatest(coalesce(r, 1), CASE text_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS best FROM n LEFT JOIN ranks USING (task_id) LEFT JOIN text_risk USING (task_id))
        SELECT task_id, CASE WHEN n_docs < 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN n_docs < 2 THEN 'fewer than two documents' END AS error_message, CASE WHEN n_docs >= 2 THEN CASE best WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS overall_risk_level, CASE WHEN n_docs >= 2 THEN coalesce(text_rate, 0.0) END AS similarity_rate FROM b""".replace(", n AS (SELECT source", ", nn AS (SELECT source").replace("SELECT n.task_id, n_docs", "SELECT nn.task_id, n_docs").replace("FROM n LEFT JOIN ranks", "FROM nn LEFT JOIN ranks"),
     "documents_of_task": "SELECT source AS task_id, doc_id, length(text) AS n_chars FROM documents WHERE source = 'src0'",
     "pairs_of_task": f"WITH {SCORED} SELECT pair_id, risk_level, base_risk_score AS final_score, length(substr(text_a, 1, 200)) AS n_a, section_a AS doc_a_section, '' AS reason_zh FROM above WHERE task_id = 'src0' AND risk_level = 'high'",
-    "evaluation": f"""WITH {COMPOSITE}, q AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY ALL), x AS (SELECT c.final_level AS actual, CASE WHEN a.quality = 0 AND b.quality = 0 THEN 'high' ELSE 'low' END AS expected FROM composite c JOIN q a ON a.doc_id = doc_a JOIN q b ON b.doc_id = doc_b)
+    "evaluation": f"""WITH RECURSIVE {COMPOSITE}, q AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY ALL), x AS (SELECT c.final_level AS actual, CASE WHEN a.quality = 0 AND b.quality = 0 THEN 'high' ELSE 'low' END AS expected FROM composite c JOIN q a ON a.doc_id = doc_a JOIN q b ON b.doc_id = doc_b)
        SELECT expected, count(*) FILTER (actual = 'high') AS actual_high, count(*) FILTER (actual = 'medium') AS actual_medium, count(*) FILTER (actual = 'low') AS actual_low, round(avg((actual = expected)::INT), 4) AS hit_rate, count(*) AS n_pairs FROM x GROUP BY ALL""",
     "upserts": "WITH r AS (SELECT user_id AS task_id, event_type AS chunk_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT task_id, chunk_id, event_id FROM r WHERE n = 1 AND task_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)",
+    "structure_signal": f"""WITH RECURSIVE {TITLES}, {_structure} SELECT task_id, doc_a, doc_b, round(jaccard, 4) AS title_jaccard, round(ratio, 4) AS sequence_similarity, n_matched, overall_score,
+       CASE WHEN overall_score >= 70 THEN 'high' WHEN overall_score >= 50 THEN 'medium' WHEN overall_score >= 30 THEN 'low' ELSE 'none' END AS structure_level FROM structured""",
     "heading_structure": f"WITH {TITLES} SELECT s.task_id, doc_a, doc_b, round(common / (a.n + b.n - common), 6) AS jaccard FROM shared s JOIN sizes a ON a.task_id = s.task_id AND a.doc_id = doc_a JOIN sizes b ON b.task_id = s.task_id AND b.doc_id = doc_b",
 }

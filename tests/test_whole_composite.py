@@ -2,10 +2,11 @@
 
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 
 from bidscreen.plans import base
-from bidscreen.plans.catalog import composite_risk
+from bidscreen.plans.catalog import ORACLES, QUERIES, composite_risk
 
 OPENINGS = ["Opening remarks", "Second heading", "Third heading", "Closing words"]
 
@@ -45,3 +46,14 @@ def test_alike_rule_fires_in_the_flagship(spark, sf):
     assert r.n_signals >= 1 and r.final_level in ("medium", "high")
     c = base.composite(spark, sf[0]).where("doc_a = 1 AND doc_b = 2").first()
     assert any(s.startswith("structure") for s in c.triggered_signals)
+
+
+@pytest.mark.parametrize("name", ["all_overlaps", "structure_signal", "composite_risk"])
+def test_sql_with_fuzzy_fields_and_structure(spark, sf, name):
+    """On documents that do share similar phones and headings: the given tables have no such phones."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf[0]}/documents.parquet/*.parquet')")
+    found = con.execute(ORACLES[name])
+    columns = [d[0] for d in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in QUERIES[name](spark, sf[0]).collect()), key=repr) == want and want
