@@ -32,10 +32,16 @@ ZH_TEAM = (
     r"(?:数据库工程师|数据架构师)[：:\s]\s*([一-龥]{2,4})",
 )
 ZH_QUANTITY = r"\d+(?:\.\d+)?\s*(?:小时|分钟|天|日|年|月|家|个|项|套|台|件|次|人|%|％|万|亿|千|百)(?:响应|解决|处理|维修|上门|供应商|合作|服务|案例|经验|保障|运维|测试|支持)?"
-#: Of the stop list for grams of four characters only one entry has four, so only it can match.
-ZH_STOP_GRAMS = ("严格按照",)
+#: Stop lists as they are given. Of the grams only those of four characters can match.
+ZH_STOP_GRAMS = (
+    "本公司承诺", "严格按照", "相关法律法", "法律法规的", "律法规的规", "规的规定执",
+    "的规定执行", "符合招标文", "招标文件要", "文件要求的", "我公司将严", "公司将严格",
+    "将严格按照", "提供优质的", "优质的服务", "质量保证期", "量保证期内", "保证期内免",
+    "证期内免费", "期内免费维", "内免费维修", "免费维修更", "费维修更换",
+    "的技术支持", "技术支持和", "本次投标的", "次投标的产",
+)
 ZH_STOP_WORDS = (
-    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一",
+    "的", "了", "和", "是", "在", "我", "有", "就", "不", "人", "都", "一",
     "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着",
     "没有", "看", "好", "自己", "这", "那", "这个", "那个", "但", "与",
     "及", "或", "等", "对", "以", "为", "因", "所", "如", "其", "而",
@@ -78,6 +84,7 @@ class Profile:
     header_mark: str = "[表格标题]"
     no_section: str = "未知章节"
     cut_mark: str = "…（已截断）"
+    # Lengths and thresholds that decide results.
     max_chars: int = 800
     min_chars: int = 20
     min_chars_refs: int = 10

@@ -105,6 +105,9 @@ def test_sources(spark):
     assert [r.line for r in lines.orderBy("row_idx").collect()] == ["§H§[表格标题] 姓名 | 岗位 | 年限", "[表格] 姓名:张三 | 岗位:项目经理 | 年限:10年", "[表格] 合并"]
     blocks = spark.createDataFrame([("d", 0, "p", "Heading 1", "总则"), ("d", 1, "tbl", None, None), ("d", 2, "p", None, " ")], "doc_id string, block_idx int, kind string, style string, text string")
     assert ingest.flatten_blocks(blocks, lines, ZH).first().text.startswith("§H§总则\n\n§H§[表格标题]")
+    apart = [("e", 1, 0, [cell(1, "甲"), cell(2, "乙"), cell(1, "甲"), cell(None, "丙"), cell(None, "丁")])]
+    t = spark.createDataFrame(apart, "doc_id string, table_id int, row_idx int, cells array<struct<id:int,text:string>>")
+    assert ingest.render_table_rows(t, ZH).first().line == "§H§[表格标题] 甲 | 乙 | 丙 | 丁"
 
 
 def test_text_files(spark, tmp_path):
