@@ -24,11 +24,6 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """A quotient that is 0 where the denominator is 0."""
-    return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)
-
-
 def level(score: Column, high: float, medium: float, low: float | None = None) -> Column:
     out = F.when(score >= high, "high").when(score >= medium, "medium")
     return (out if low is None else out.when(score >= low, "low")).otherwise("none")

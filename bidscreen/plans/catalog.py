@@ -185,8 +185,18 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("pair_id", "final_score", "risk_level", "risk_type", "confidence", "llm_adjustment", "reason_zh")
 
 
+def reviewed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7-G13 end to end: queue, verdicts (a pair gets the reply of its first document), adjusted scores, final order."""
+    pairs = base.scored_pairs(spark, sf_dir)
+    replies = verdicts_of(spark, sf_dir).groupBy(F.col("pair_id").cast("bigint").alias("doc_id_a")).agg(F.min("content").alias("content"))
+    given = pairs.join(replies, "doc_id_a").select("task_id", "pair_id", "content")
+    done = scoring.in_order(scoring.review(pairs, given), by="final_score")
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("final_score"), "doc_ord_a", "chunk_index_a", "pair_id"))
+    return done.select("task_id", "pair_id", place.alias("place"), "final_score", "risk_level", "risk_type", "llm_adjustment")
+
+
 def text_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text risk of tasks."""
+    """Text risk of tasks."""
     c = base.chunks(spark, sf_dir)
     pairs = scoring.candidates_above(base.scored_pairs(spark, sf_dir, c))
     return scoring.text_risk(pairs, base.chunk_counts(c)).select("task_id", "n_high", "n_medium", "n_low", "n_pairs", "text_level", "text_rate")
@@ -264,7 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, price_totals, price_items, price_signal,
-        meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, text_risk,
+        meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, reviewed_pairs, text_risk,
         composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, evaluation, upserts, heading_structure, structure_signal,
     )
 }

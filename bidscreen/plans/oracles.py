@@ -211,6 +211,14 @@ ORACLES = {
        d AS (SELECT doc_id, bool_and(ok) AS ok, min(step) AS step, min(kind) AS kind FROM v GROUP BY ALL)
        SELECT cast(doc_id AS VARCHAR) AS pair_id, CASE WHEN ok THEN 70.0 + step ELSE 70.0 END::DOUBLE AS final_score, CASE WHEN NOT ok OR 70 + step BETWEEN 65 AND 84 THEN 'medium' WHEN 70 + step >= 85 THEN 'high' ELSE 'low' END AS risk_level, CASE WHEN ok THEN kind ELSE 'normal_overlap' END AS risk_type,
        CASE WHEN ok THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN ok THEN step ELSE 0 END::DOUBLE AS llm_adjustment, CASE WHEN ok THEN 'the passages agree in wording and order' ELSE 'no valid verdict: the result rests on the similarity score alone' END AS reason_zh FROM d""",
+    "reviewed_pairs": f"""WITH {SCORED}, gate AS (SELECT task_id FROM scored GROUP BY task_id HAVING max(base_risk_score) >= 65),
+       queue AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY base_risk_score DESC, doc_id_a, index_a, pair_id) AS nth FROM above WHERE task_id IN (SELECT task_id FROM gate)),
+       v AS (SELECT doc_id, doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS ok, (doc_id % 31 - 15)::DOUBLE AS step, CASE WHEN toxic = 1 THEN 'verbatim_copy' ELSE 'template_reuse' END AS kind FROM labels),
+       done AS (SELECT task_id, pair_id, doc_id_a, index_a, risk_level AS old_level, coalesce(ok, FALSE) AS ok, CASE WHEN ok THEN round(base_risk_score + step, 2) ELSE base_risk_score END AS final_score, CASE WHEN ok THEN kind ELSE 'normal_overlap' END AS risk_type, CASE WHEN ok THEN step ELSE 0.0 END::DOUBLE AS llm_adjustment
+          FROM queue LEFT JOIN v ON v.doc_id = doc_id_a WHERE nth <= 20
+          UNION ALL SELECT task_id, pair_id, doc_id_a, index_a, risk_level, FALSE, base_risk_score, NULL, NULL FROM above WHERE task_id NOT IN (SELECT task_id FROM gate))
+       SELECT task_id, pair_id, row_number() OVER (PARTITION BY task_id ORDER BY final_score DESC, doc_id_a, index_a, pair_id)::INT AS place, final_score,
+       CASE WHEN NOT ok THEN old_level WHEN final_score >= 85 THEN 'high' WHEN final_score >= 65 THEN 'medium' WHEN final_score >= 45 THEN 'low' ELSE 'none' END AS risk_level, risk_type, llm_adjustment FROM done""",
     "text_risk": f"WITH {TEXT_RISK} SELECT * FROM text_risk",
     "composite_risk": f"""WITH RECURSIVE {COMPOSITE} SELECT task_id, doc_a, doc_b, text_level, text_rate, contacts AS exact_phone_email_count, matches AS total_match_count, final_level, (contacts + people + (matches > 0)::INT + strong::INT + alike::INT)::INT AS n_signals FROM composite""",
     "task_report": f"""WITH RECURSIVE {COMPOSITE}, docs AS (SELECT task_id, count(*) AS n_documents FROM counts GROUP BY ALL), comp AS (SELECT task_id, count(*) AS n_composite FROM composite GROUP BY ALL)
