@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidscreen.llm.common import materialize, mix, pieces
+from bidscreen.llm.common import materialize, mix, pieces, release
 
 U = np.uint64
 END = b"\xff"
@@ -279,6 +279,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+            release()
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -474,6 +475,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
                 pairs = batch.column(5)[i].as_py()
                 score = part_scores(blob, sizes, np.concatenate([unpacked(p["key"], U) for p in pairs]), np.concatenate([unpacked(p["value"], np.float32) for p in pairs]), settings)
                 del pairs
+                release()
                 begin = np.cumsum(sizes + BEFORE) - sizes
                 rows = (batch.column(0)[i].as_py() << 24) + np.arange(len(sizes))
                 n_tokens, n_known, base, row, word, times = [], [], [], [], [], []
