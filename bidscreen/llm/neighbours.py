@@ -3,9 +3,9 @@
 Vectors get one more coordinate that gives all the same length; then the largest inner product is the
 smallest distance. Gaussian projections to a few dimensions keep distances stable: the projected square
 distance over the true one is chi-square distributed. A kd-tree over the projections of a bounded sample
-deals all rows into cells, and each shard of a cell has a kd-tree of its own, whose leaves a query visits
-by rising projected distance. It stops when a vector that is nearer than its k-th best so far would, with
-the asked probability, have been projected nearer than all that is left.
+deals all rows into cells, and each shard of a cell has a kd-tree of its own, whose leaves hand a query their
+vectors. It verifies them by rising projected distance, vector by vector, and stops when one that is nearer
+than its k-th best so far would, with the asked probability, have been projected nearer than all that is left.
 
 Queries travel to shards, never to a copy of the data: each vector is shuffled once, and a query once for
 each shard whose cell the same test cannot rule out from the bound that the sample gives.
@@ -29,8 +29,8 @@ class Settings:
     of a leaf; shard: vectors of a shard, about; sample: vectors that fit cells and first bounds; max_cells bounds
     the tree that is broadcast."""
 
-    dims: int = 12
-    found: float = 0.98
+    dims: int = 20
+    found: float = 0.9
     leaf: int = 128
     shard: int = 16_384
     sample: int = 4_096
@@ -173,39 +173,42 @@ class _Shard:
         leaves = split_leaves(points, model.settings.leaf)
         perm = np.concatenate(leaves)
         self.ids = [ids[by_vector[place[i] - n : place[i]][: k + 1]] for i, n in zip(perm.tolist(), np.bincount(inverse)[perm].tolist(), strict=True)]
-        self.x = x[perm]
+        self.x, self.points = x[perm], points[perm]
         self.border = np.r_[0, np.cumsum([len(leaf) for leaf in leaves])]
         self.low, self.high = np.array([points[leaf].min(0) for leaf in leaves]), np.array([points[leaf].max(0) for leaf in leaves])
 
-    def search(self, model: Model, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[list, list, list]:
-        """Query id, vector id and score of the k best of each query, its own id excepted."""
+    def projected(self, asked: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Square distances of projected queries to projected vectors, leaf by leaf; infinite in leaves beyond a query's limit."""
+        out = np.full((len(asked), len(self.points)), np.inf)
+        opens = box_distance(asked, self.low, self.high) <= limit[:, None]
+        for leaf in np.flatnonzero(opens.any(0)).tolist():
+            who, own = np.flatnonzero(opens[:, leaf]), self.points[self.border[leaf] : self.border[leaf + 1]]
+            out[who, self.border[leaf] : self.border[leaf + 1]] = (asked[who] ** 2).sum(1)[:, None] - 2 * asked[who] @ own.T + (own**2).sum(1)[None, :]
+        return out
+
+    def search(self, model: Model, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[list, list, list, np.ndarray]:
+        """Query id, vector id and score of the k best of each query, its own id excepted; and how many vectors each query verified."""
         keep = k + 9  # the query's own vector, and more for the last digits of the fast product
-        n, leaves = len(q), len(self.low)
-        distance = box_distance(model.lift_query(q), self.low, self.high)
-        order = np.argsort(distance, axis=1, kind="stable")
-        near = np.take_along_axis(distance, order, 1)
+        n, total = len(q), len(self.x)
+        near = self.projected(model.lift_query(q), bound * factor)
+        order = np.argsort(near, axis=1)
+        near = np.take_along_axis(near, order, 1)
         best, row = np.full((n, keep), -np.inf), np.full((n, keep), -1, np.int64)
-        active, at, step = np.arange(n), 0, 2
-        while len(active) and at < leaves:
-            chosen = order[active, at : at + step]
-            pairs_leaf, pairs_query = chosen.ravel(), np.repeat(active, chosen.shape[1])
-            by_leaf = np.argsort(pairs_leaf, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(pairs_leaf[by_leaf]) != 0, True]) if len(by_leaf) else [0]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                leaf, who = int(pairs_leaf[by_leaf[a]]), pairs_query[by_leaf[a:b]]
-                x, y = self.border[leaf], self.border[leaf + 1]
-                scores = np.c_[best[who], q[who] @ self.x[x:y].T]
-                rows = np.c_[row[who], np.broadcast_to(np.arange(x, y), (len(who), y - x))]
-                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if scores.shape[1] > keep else np.broadcast_to(np.arange(keep), (len(who), keep))
-                best[who], row[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(rows, top, 1)
-            at += step
-            step *= 2
-            if at >= leaves:
-                break
+        verified, reach = np.zeros(n, np.int64), bound.copy()
+        active, at, step = np.arange(n), 0, 2 * keep
+        while at < total and len(active := active[np.isfinite(near[active, at]) & (near[active, at] <= reach[active] * factor)]):
+            rows = order[active, at : at + step]
+            shown = np.isfinite(near[active, at : at + step])
+            scores = np.c_[best[active], np.where(shown, (self.x[rows] @ q[active][:, :, None])[:, :, 0], -np.inf)]
+            rows = np.c_[row[active], np.where(shown, rows, -1)]
+            top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            best[active], row[active] = np.take_along_axis(scores, top, 1), np.take_along_axis(rows, top, 1)
+            verified[active] += shown.sum(1)
             # the k-th best without the query itself; copies of a vector count once, which only delays the stop
             kth = -np.partition(-best[active], k, axis=1)[:, k]
-            reach = np.minimum(bound[active], np.where(np.isfinite(kth), model.square_distance(q[active], np.where(np.isfinite(kth), kth, 0)), np.inf))
-            active = active[near[active, at] <= reach * factor]
+            fine = np.isfinite(kth)
+            reach[active[fine]] = np.minimum(reach[active[fine]], model.square_distance(q[active[fine]], kth[fine]))
+            at, step = at + step, min(2 * step, 256)
         out: tuple[list, list, list] = ([], [], [])
         for i in range(n):
             rows = row[i][row[i] >= 0]
@@ -214,15 +217,13 @@ class _Shard:
             out[0].extend([query_ids[i]] * len(found))
             out[1].extend(v for _, v in found)
             out[2].extend(-s for s, _ in found)
-        return out
+        return *out, verified
 
 
-def fit(vectors: DataFrame, settings: Settings) -> Model | None:
-    """From the longest vector, the number of rows, and a sample: the rows of the smallest id hashes. None without rows."""
+def fit(vectors: DataFrame, settings: Settings) -> Model:
+    """From the longest vector, the number of rows (at least one), and a sample: the rows of the smallest id hashes."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     total = vectors.agg(F.count("*").alias("n"), F.max(length).alias("longest")).first()
-    if not total["n"]:
-        return None
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toArrow().combine_chunks()
     ids = sample.column("vec_id").to_numpy()
     x = np.array(sample.column("vector").to_pylist(), np.float64)
@@ -237,18 +238,25 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, settings: Settin
 
     Returns query_id, rank (from 1), vec_id, score (double precision, on the vectors as they are); ties go
     to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    rows without an id or of another length than most. Of rows that repeat an id, each counts as a
-    candidate once at its best, and rows of the query's own id never. Extra columns aren't read.
+    rows without an id. Vectors of different lengths have no inner product: a query's candidates are those of
+    its length, and each length is searched by itself. Of rows that repeat an id, each counts as a candidate
+    once at its best, and rows of the query's own id never; a repeated query asks with its shortest, then
+    smallest vector. Extra columns aren't read.
     """
     spark = embeddings.sparkSession
     plain = embeddings.select(embeddings[id_col].cast("bigint").alias("vec_id"), embeddings[vector_col].alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     plain = plain.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sizes = plain.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return empty
-    dim = sizes["dim"]
-    plain = plain.where(F.size("vector") == dim)
+    asked = plain.where("asks").groupBy("vec_id").agg(F.min(F.struct(F.size("vector").alias("dim"), "vector")).alias("v")).select("vec_id", "v.*")
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for r in asked.select("dim").distinct().orderBy("dim").toLocalIterator():
+        own = F.size("vector") == r["dim"]
+        out = out.unionByName(_search_length(plain.where(own), asked.where(own), r["dim"], k, settings))
+    return out
+
+
+def _search_length(plain: DataFrame, asked: DataFrame, dim: int, k: int, settings: Settings) -> DataFrame:
+    """search among vectors of one length: rows of `plain`, queries of `asked`."""
+    spark = plain.sparkSession
     model = fit(plain, settings)
     factor = chi_square_quantile(settings.found, settings.dims)
     number = spark.sparkContext.broadcast(model)
@@ -296,7 +304,7 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, settings: Settin
                     take = pa.array(rows[a : a + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(shards[a : a + 4096]), pa.array(np.ones(len(take), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(bound[rows[a : a + 4096]])], names=["shard", "asks", "vec_id", "vector", "bound"])
 
-    asked = plain.where("asks").select("vec_id", "vector").dropDuplicates(["vec_id"]).mapInArrow(route, f"shard bigint, asks boolean, vec_id bigint, vector {kind}, bound double")
+    asked = asked.select("vec_id", "vector").mapInArrow(route, f"shard bigint, asks boolean, vec_id bigint, vector {kind}, bound double")
     ordered = data.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +325,8 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, settings: Settin
                 if tree is None and held:
                     tree = _Shard(m, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k)
                     held = []
-                for c in range(a, b if tree else a, 1024):
-                    d = min(b, c + 1024)
+                for c in range(a, b if tree else a, 64):
+                    d = min(b, c + 64)
                     found = tree.search(m, ids[c:d], x[c:d], bounds[c:d], k, factor)
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 

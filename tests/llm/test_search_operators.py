@@ -53,6 +53,35 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.search(df, F.lit(False)).count() == 0
 
 
+def test_neighbours_of_two_lengths(spark):
+    """Each length is searched by itself; a repeated query asks with its shortest, then smallest vector."""
+    df = vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0, 0.0]), (3, [2.0, 1.0, 0.0]), (20, [0.0, 1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.0, 2.0, 0.0]), (40, [0.0, 1.0, 0.0])])
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=2).collect()}
+    assert got == {(0, 1, 1, 1.0), (0, 2, 20, 1.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (40, 1, 3, 1.0), (40, 2, 20, 1.0)}
+
+
+def test_neighbours_stop(capsys):
+    """At the registered settings the stopping test spares vectors: their share and recall against brute force."""
+    settings, k, n, dim = neighbours.Settings(), 20, 8000, 64
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((n, dim)) + 1.5 * rng.standard_normal((40, dim))[rng.integers(0, 40, n)]
+    ids, asked = np.arange(n), np.arange(0, n, 80)
+    longest = float(np.sqrt((x * x).sum(1).max()))
+    matrix = np.random.default_rng(settings.seed).standard_normal((dim + 1, settings.dims))
+    model = neighbours.Model(settings, longest, matrix, None, None, ids, x)
+    tree = neighbours._Shard(model, ids, x, k)
+    query, vector, _, verified = tree.search(model, asked, x[asked], np.full(len(asked), np.inf), k, neighbours.chi_square_quantile(settings.found, settings.dims))
+    hits = 0
+    for i in asked.tolist():
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(set(np.argsort(-score)[:k].tolist()) & {v for q, v in zip(query, vector, strict=True) if q == i})
+    share, recall = verified.mean() / n, hits / k / len(asked)
+    with capsys.disabled():
+        print(f"share verified {share:.2f}, recall {recall:.3f}")
+    assert share < 0.6 and recall >= 0.9
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
     assert neighbours.chi_square_quantile(0.9, 12) == pytest.approx(18.549, abs=1e-3)
