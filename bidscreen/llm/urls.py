@@ -10,7 +10,8 @@ the table to be judged is neither joined nor shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
+from functools import reduce
+from math import ceil, exp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,26 +91,24 @@ def build_level(keys: DataFrame, number: int, count: int, bits_per_key: int, has
     return Level(number, words * 64, hashes, materialize(dense.agg(ordered.alias("words")), "bloom"))
 
 
-def cascade(universe: DataFrame, bits_per_key: int = 12, hashes: int = 6, max_bits: int = 1 << 27) -> list[Level] | None:
-    """The levels for universe(key, listed): one row for each key of the corpus.
-
-    All levels are broadcast with the plan; where they would take more than max_bits, None is
-    returned and the caller has to join.
-    """
+def cascade(universe: DataFrame, bits_per_key: int = 12, hashes: int = 6) -> list[Level]:
+    """The levels for universe(key, listed): one row for each key of the corpus."""
     levels: list[Level] = []
     inside, outside = universe.where("listed"), universe.where("NOT listed")
-    total = 0
-    while True:
-        n = inside.count()
-        if not n:
-            return levels
-        total += n * bits_per_key
-        if total > max_bits:
-            return None
+    while n := inside.count():
         level = build_level(inside, len(levels), n, bits_per_key, hashes)
         levels.append(level)
         mistaken = materialize(outside.where(level.holds(F.col("key"))), "mistaken")
         inside, outside = mistaken, inside
+    return levels
+
+
+def group_count(universe: DataFrame, max_bits: int, bits_per_key: int = 12, hashes: int = 6) -> int:
+    """Into how many groups of keys a cascade has to be parted, so that one group's levels take about max_bits at most."""
+    n = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
+    wrong = (1 - exp(-hashes / bits_per_key)) ** hashes
+    first, second = n.get(True, 0), n.get(False, 0) * wrong
+    return max(1, ceil(bits_per_key * (first + second) / (1 - wrong) / max_bits)) if first else 1
 
 
 def listed(levels: list[Level], key: Column) -> Column:
@@ -127,18 +126,25 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: list[UrlRule],
     blocked and all others allowed. A url that is null or lacks :// has an empty host and path,
     which no rule fits and which is never listed. Repeated rows are judged alike; listed hosts
     that are null, empty, repeated or absent from pages have no effect. The cascade is exact since
-    its universe is every host of pages. Beyond max_bits a left join on host takes its place.
+    its universe is every host of pages. Hosts are parted by hash into as many groups as keep one
+    group's levels at about max_bits; more than one group are judged one after another, each by a
+    cascade of its own, and written, so that no task ever holds more than one group's levels.
     """
     parted = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     hosts = parted.where("host != ''").groupBy(F.col("host").alias("key")).agg(F.lit(0).alias("_"))
     marks = listed_hosts.select(F.col("host").alias("key")).where("key IS NOT NULL").distinct().withColumn("m", F.lit(True))
     universe = materialize(hosts.join(marks, "key", "left").select("key", F.coalesce("m", F.lit(False)).alias("listed")), "hosts")
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    levels = cascade(universe, max_bits=max_bits)
-    if levels is None:
-        mark = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed"))
-        parted = parted.join(mark, "host", "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
-    else:
-        parted = parted.withColumn("_listed", (F.col("host") != "") & listed(levels, F.col("host")))
-    method = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return parted.withColumns({"rule": text, "verdict": F.coalesce(verdict, method)}).drop("_listed")
+    groups = group_count(universe, max_bits)
+
+    def judged(part: DataFrame, levels: list[Level]) -> DataFrame:
+        method = F.when((F.col("host") != "") & listed(levels, F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
+        return part.withColumns({"rule": text, "verdict": F.coalesce(verdict, method)})
+
+    if groups == 1:
+        return judged(parted, cascade(universe))
+    parts = []
+    for g in range(groups):
+        own = {c: F.pmod(F.xxhash64(F.col(c), F.lit("group")), F.lit(groups)) == g for c in ("host", "key")}
+        parts.append(materialize(judged(parted.where(own["host"]), cascade(universe.where(own["key"]))), "judged"))
+    return reduce(DataFrame.unionByName, parts)
