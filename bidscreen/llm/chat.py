@@ -77,7 +77,10 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
     from the first change on).
 
     Prefixes are rendered from the segment's first turn on: a conversation of more than
-    segment_turns turns is formatted in segments of so many, one after another.
+    segment_turns turns is formatted in segments of so many, one after another. Each two neighbouring
+    segments are also rendered together; where that isn't what they give one by one (a header of the
+    conversation, numbered turns, history rewritten across the border), segments can't be formatted
+    apart and a ValueError asks for more segment_turns, so a template never has another result by size.
     """
     c = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = c.schema["conv_id"].dataType.simpleString()
@@ -86,15 +89,18 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         turns: Turns = []
+        earlier: Turns = []  # the segment before, of the same conversation
         conv, position, base = None, 0, 0
 
         def flush() -> None:
-            nonlocal position, base, turns
+            nonlocal position, base, turns, earlier
+            if earlier and template(earlier + turns) != template(earlier) + template(turns):
+                raise ValueError(f"conversation {conv!r} has more than {segment_turns} turns and its template doesn't treat turns {position - len(earlier)} to {position + len(turns) - 1} alike when parted at {position}; raise segment_turns")
             last = 0
             for begin, added, rewritten in spans(template, turns):
                 rows.append((conv, position, base + begin, added, rewritten))
                 position, last = position + 1, begin + len(added)
-            base, turns = base + last, []
+            base, turns, earlier = base + last, [], turns
 
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["conv_id", "position", "begin", "formatted", "rewritten"])
@@ -108,7 +114,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
                 if turns and key != conv or len(turns) >= segment_turns:
                     flush()
                 if key != conv:
-                    position, base = 0, 0
+                    position, base, earlier = 0, 0, []
                 conv = key
                 turns.append((role, text))
                 if len(rows) >= 2000:

@@ -286,3 +286,17 @@ def test_chat_segments(spark):
     one, many = (sorted(map(tuple, chat.format_conversations(c, segment_turns=n).collect())) for n in (512, 4))
     assert one == many
     assert json.dumps(one)
+
+
+@pytest.mark.parametrize("name", ["header", "numbered", "last_marked"])
+def test_chat_segments_refuse_templates_that_look_back(spark, name):
+    """What a border between segments would change is an error, never another result."""
+    templates = {
+        "header": lambda ts: "# chat\n" + chat.instruct_template(ts),
+        "numbered": lambda ts: "".join(f"{i} {t}\n" for i, (_, t) in enumerate(ts)),
+        "last_marked": lambda ts: "".join(t for _, t in ts[:-1]) + f"<{ts[-1][1]}>",
+    }
+    c = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(9)], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(c, templates[name]).count() == 9
+    with pytest.raises(Exception, match="raise segment_turns"):
+        chat.format_conversations(c, templates[name], segment_turns=4).collect()
