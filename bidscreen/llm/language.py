@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from bidscreen.llm.common import pieces
 
 UNKNOWN = "und"
+#: Draws of training documents go by a hash modulo this, fine enough for tables of 10^12 rows.
+DRAW = 1 << 52
 _letter = regex.compile(r"\p{L}")
 
 
@@ -96,8 +98,8 @@ def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "tex
     if not languages:
         return Model([], np.zeros(0), np.zeros((settings.buckets, 0)), settings)
     number = {lang: i for i, lang in enumerate(languages)}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, settings.max_train_docs / r["count"]) * 1_000_000)))])
-    take = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")]
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, settings.max_train_docs / r["count"]) * DRAW)))])
+    take = F.pmod(F.xxhash64("id", "text"), F.lit(DRAW)) < share[F.col("lang")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
