@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from bidscreen.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash digits (of base 16) that one round of sums tells apart, and those that a hash has.
-_DIGITS, _HASH = 3, 30
+#: Digits (of base 16) that a hash has.
+_HASH = 32
 
 
 def targets(sizes: Mapping[str | None, int], total: Fraction, weights: Sequence[int], max_repeats: int) -> dict[str | None, Fraction]:
@@ -101,6 +101,11 @@ def route(sizes: Mapping[str, int], members: Mapping[str, Sequence], quotas: Map
     return given
 
 
+def _digits(times: float) -> int:
+    """Digits that a round of sums tells apart: up to three, but no more than the cells are to get smaller by."""
+    return 1 + (times > 16) + (times > 256)
+
+
 _PLAN = "pattern bigint, source_sizes array<bigint>, targets array<double>, full bigint, `left` bigint, cell string"
 
 
@@ -156,13 +161,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = F
     left = {p: given[p] - full[p] * size[p] for p in size}
     cell, rows = dict.fromkeys(size, ""), {r.pattern: r["rows"] for r in patterns}
     spark = docs.sparkSession
-    for digits in range(0, _HASH, _DIGITS):
-        cut = [(p, left[p], cell[p]) for p in size if left[p] > 0 and rows[p] > cell_rows and len(cell[p]) == digits]
-        if not cut:
-            break
-        ends = F.broadcast(spark.createDataFrame(cut, "pattern bigint, `left` bigint, cell string"))
-        within = sized.where("size > 0").join(ends, "pattern").where(F.substring("key", 1, digits) == F.col("cell"))
-        cells = within.groupBy("pattern", "left", F.substring("key", digits + 1, _DIGITS).alias("digit")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    while cut := [(p, left[p], cell[p], _digits(rows[p] / cell_rows)) for p in size if left[p] > 0 and rows[p] > cell_rows and len(cell[p]) < _HASH]:
+        ends = F.broadcast(spark.createDataFrame(cut, "pattern bigint, `left` bigint, cell string, take int"))
+        within = sized.where("size > 0").join(ends, "pattern").where("substring(key, 1, length(cell)) = cell")
+        cells = within.groupBy("pattern", "left", F.expr("substring(key, length(cell) + 1, take)").alias("digit")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
         cells = cells.withColumn("before", F.sum("size").over(Window.partitionBy("pattern").orderBy("digit")) - F.col("size"))
         for r in cells.where("before <= left AND left < before + size").collect():
             left[r.pattern], cell[r.pattern], rows[r.pattern] = r["left"] - r.before, cell[r.pattern] + r.digit, r["rows"]
