@@ -218,7 +218,7 @@ def test_route_is_a_cheapest_largest_flow():
         assert cost(got) == min(cost(w) for w in able if sum(w.values()) == most)
 
 
-@pytest.mark.parametrize(("cell_rows", "off"), [(4, None), (1024, 0.01)])
+@pytest.mark.parametrize(("cell_rows", "off"), [(4, None), (1024, 0.02)])
 def test_mix(spark, sf_dir, cell_rows, off):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"size": F.lit("clash"), "left": F.lit(1), "pattern": F.lit(2)})
     rows = mixing.mix(docs, cell_rows=cell_rows).collect()
