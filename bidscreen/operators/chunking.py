@@ -6,6 +6,10 @@ work within a document, so everything after the split needs one shuffle by (task
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +124,74 @@ def chunk_documents(docs: DataFrame, profile: Profile, page_map: DataFrame | Non
     return look_up_pages(c, docs, page_map)
 
 
+#: Characters of a chunk that are looked for. Fixed value.
+PREFIX = 30
+#: An odd base; windows are compared by polynomials in it modulo 2**64, and matches by their characters.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def first_places(text: str, prefixes: list[str], block: int = 1 << 18) -> list[int]:
+    """The first place of each prefix in the text, -1 where it doesn't occur.
+
+    All windows of a prefix's length are hashed from running sums, a block of places at a time, and looked up among the
+    prefixes of that length: the text is gone through once for each length that occurs, however many prefixes there are.
+    """
+    code = _codes(text)
+    places = {p: 0 if not p else -1 for p in prefixes}
+    for n in {len(p) for p in places if 0 < len(p) <= len(code)}:
+        up = np.cumprod(np.r_[np.uint64(1), np.full(block + n, _BASE, np.uint64)])
+        back = np.cumprod(np.r_[np.uint64(1), np.full(block, pow(_BASE, -1, 2**64), np.uint64)])
+        by_key: dict[int, list[str]] = {}
+        for p in (p for p in places if len(p) == n):
+            by_key.setdefault(int(_window_hashes(_codes(p), n, up, back)[0]), []).append(p)
+        keys = np.array(sorted(by_key), np.uint64)
+        for at in range(0, len(code) - n + 1, block):
+            window = _window_hashes(code[at : at + block + n - 1], n, up, back)
+            k = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
+            met = np.flatnonzero(keys[k] == window)
+            for key, first in zip(*np.unique(k[met], return_index=True), strict=True):
+                for p in by_key[int(keys[key])]:
+                    if places[p] < 0:
+                        places[p] = text.find(p, at + int(met[first]), at + block + n - 1)
+            if len(met) and all(places[p] >= 0 for of in by_key.values() for p in of):
+                break
+    return [places[p] for p in prefixes]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _window_hashes(code: np.ndarray, n: int, up: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of n characters; up and back: powers of the base and of its inverse."""
+    sums = np.r_[np.uint64(0), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)])]
+    return (sums[n:] - sums[:-n]) * back[: len(code) - n + 1]
+
+
 def look_up_pages(chunks: DataFrame, docs: DataFrame, page_map: DataFrame) -> DataFrame:
-    """As-of lookup: the page with the largest offset up to the first place of a chunk's first 30 characters."""
-    pages = page_map.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", "page_num"))).alias("pages"))
-    c = chunks.join(docs.select("task_id", "doc_id", F.col("text").alias("whole")), ["task_id", "doc_id"]).join(pages, "doc_id", "left")
-    place = F.call_function("locate", F.substring("text", 1, 30), F.col("whole"))
-    upto = F.filter("pages", lambda p: p["offset"] <= place - 1)
-    page = F.when((place > 0) & (F.size(upto) > 0), F.get(upto, F.size(upto) - 1)["page_num"])
-    return c.withColumn("page_num", F.coalesce(page, F.lit(0))).select(*chunks.columns, "page_num")
+    """As-of lookup: the page with the largest offset up to the first place of a chunk's first 30 characters; 0 where
+    that isn't found or no page begins before it.
+
+    A document's text is read once, beside the different beginnings of its chunks; from there on only places are
+    carried. Pages and chunks of a document are then brought in order of place, and each takes the last page before it.
+    """
+    key = ["task_id", "doc_id"]
+    c = chunks.withColumn("_prefix", F.substring("text", 1, PREFIX))
+    wanted = c.groupBy(*key).agg(F.collect_set("_prefix").alias("prefixes"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text, prefixes = batch.column(2)[row].as_py(), batch.column(3)[row].as_py()
+                place = first_places(text, prefixes) if text is not None else [-1] * len(prefixes)
+                same = [pa.repeat(batch.column(i)[row], len(prefixes)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(prefixes, pa.string()), pa.array(place, pa.int64())], ["task_id", "doc_id", "_prefix", "_place"])
+
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    places = docs.select(*key, "text").join(wanted, key).mapInArrow(search, f"task_id {kind['task_id']}, doc_id {kind['doc_id']}, _prefix string, _place bigint")
+    placed = c.join(places.groupBy(*key, "_prefix").agg(F.min("_place").alias("_place")), [*key, "_prefix"], "left").drop("_prefix")
+    pages = page_map.select("doc_id", F.col("offset").cast("bigint").alias("_place"), F.col("page_num").alias("_page")).where("_place IS NOT NULL")
+    both = placed.withColumn("_chunk", F.lit(True)).unionByName(pages, allowMissingColumns=True)
+    upto = Window.partitionBy("doc_id").orderBy("_place", F.col("_chunk").asc_nulls_first(), "_page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = F.when(F.col("_place") >= 0, F.last("_page", ignorenulls=True).over(upto))
+    return both.withColumn("page_num", F.coalesce(page, F.lit(0))).where("_chunk").select(*chunks.columns, "page_num")

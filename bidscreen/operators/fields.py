@@ -99,11 +99,27 @@ def fuzzy_overlaps(fields: DataFrame, profile: Profile) -> DataFrame:
     return both.select(*PAIR, "field_type", "value_a", "value_b", F.lit("fuzzy").alias("overlap_type"))
 
 
+#: What an overlap of a type says, exact and fuzzy; {} stands for the value, or for both.
+NOTES = {
+    ("phone", "exact"): "the same phone number {}: possibly one bidder",
+    ("phone", "fuzzy"): "phone numbers that differ little, {}: possibly related bidders",
+    ("email", "exact"): "the same e-mail address {}: possibly one bidder",
+    ("person", "exact"): "the same contact person {}",
+    ("person", "fuzzy"): "contact persons with similar names, {}",
+    ("company", "exact"): "the same company {}",
+    ("company", "fuzzy"): "companies with similar names, {}: possibly related",
+    ("team_member", "exact"): "the same team member {}: possibly shared staff",
+    ("team_member", "fuzzy"): "team members with similar names, {}",
+}
+
+
 def overlaps(fields: DataFrame, profile: Profile) -> DataFrame:
-    """Exact and fuzzy overlaps with a note that says what is alike."""
+    """Exact and fuzzy overlaps with a note of their type that names what is alike."""
     both = exact_overlaps(fields).unionByName(fuzzy_overlaps(fields, profile))
-    how = F.when(F.col("overlap_type") == "exact", F.concat(F.lit("both name "), F.col("value_a"))).otherwise(F.concat(F.col("value_a"), F.lit(" resembles "), F.col("value_b")))
-    return both.withColumn("risk_note", F.concat(F.col("field_type"), F.lit(": "), how))
+    named = F.when(F.col("overlap_type") == "exact", F.col("value_a")).otherwise(F.concat_ws(" / ", "value_a", "value_b"))
+    notes = F.create_map(*[F.lit(x) for (kind, how), note in NOTES.items() for x in (f"{kind} {how}", note)])
+    before_after = F.split(notes[F.concat_ws(" ", "field_type", "overlap_type")], r"\{\}")
+    return both.withColumn("risk_note", F.concat(before_after[0], named, before_after[1]))
 
 
 def sequence_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,6 +87,14 @@ def chunk_counts(c: DataFrame) -> DataFrame:
     return c.groupBy("task_id", "doc_id", "doc_ord").agg(F.count("*").alias("n_chunks"))
 
 
+def pair_text(pairs: DataFrame, c: DataFrame) -> DataFrame:
+    """The text signal of pairs of documents that have scored pairs of chunks; the smaller id is A."""
+    by = ("task_id", "doc_id_a", "doc_id_b")
+    ordered = pairs.withColumns({"doc_id_a": F.least("doc_id_a", "doc_id_b"), "doc_id_b": F.greatest("doc_id_a", "doc_id_b")})
+    text = scoring.text_risk(ordered, chunk_counts(c), by)
+    return text.select("task_id", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), F.col("doc_id_a").alias("ord_a"), F.col("doc_id_b").alias("ord_b"), "text_level", "text_rate")
+
+
 def signals(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Every pair of documents of a task with any text, structure, field or rare-token evidence.
 
@@ -94,12 +102,9 @@ def signals(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs:
     """
     c = c if c is not None else chunks(spark, sf_dir)
     pairs = scoring.candidates_above(pairs if pairs is not None else scored_pairs(spark, sf_dir, c))
-    by = ("task_id", "doc_id_a", "doc_id_b")
-    ordered = pairs.withColumns({"doc_id_a": F.least("doc_id_a", "doc_id_b"), "doc_id_b": F.greatest("doc_id_a", "doc_id_b")})
-    text = scoring.text_risk(ordered, chunk_counts(c), by).select("task_id", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), F.col("doc_id_a").alias("ord_a"), F.col("doc_id_b").alias("ord_b"), "text_level", "text_rate")
     found = written(fields.overlaps(written(key_fields(spark, sf_dir), "fields"), LATIN), "overlaps")
     alike = written(structure.compare(written(titles(spark, sf_dir), "titles")), "structure")
-    return synthesis.assemble(text=text, structure=alike, overlaps=found, rare=written(rare.signal(rare_matches(spark, sf_dir)), "rare"))
+    return synthesis.assemble(text=pair_text(pairs, c), structure=alike, overlaps=found, rare=written(rare.signal(rare_matches(spark, sf_dir)), "rare"))
 
 
 def composite(spark: SparkSession, sf_dir: str, c: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidscreen.operators import chunking, fields, prices, rare, report, scoring, similarity, structure, whitelist
-from bidscreen.plans import base, oracles, tenders
+from bidscreen.plans import base, bids, oracles, tenders
 from bidscreen.plans.base import table
 from bidscreen.profile import LATIN, ZH
 from bidscreen.sources import ingest, sinks
@@ -276,5 +276,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, reviewed_pairs, text_risk,
         composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, evaluation, upserts, heading_structure, structure_signal,
     )
-} | tenders.QUERIES
-ORACLES = oracles.ORACLES | tenders.ORACLES
+} | tenders.QUERIES | bids.QUERIES
+ORACLES = oracles.ORACLES | tenders.ORACLES | bids.ORACLES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bidscreen.operators.fields import NOTES
 from bidscreen.profile import AMOUNT, LATIN, ZH
 
 
@@ -19,6 +20,12 @@ def _type(text: str) -> str:
       WHEN {_hits(text, LATIN.price_words)} >= 2 THEN 'price_param' WHEN {_hits(text, LATIN.tech_words)} >= 2 THEN 'tech_spec' ELSE 'normal' END"""
 
 
+def note(kind: str, how: str, value: str) -> str:
+    """What an overlap says."""
+    cases = " ".join(f"WHEN {kind} = '{k}' AND {how} = '{h}' THEN replace('{text}', '{{}}', {value})" for (k, h), text in NOTES.items())
+    return f"CASE {cases} END"
+
+
 def _blocks(name: str, pairs: str, places: str) -> str:
     """Ratcliff and Obershelp's matching blocks, the longest first and then those on either side of it, as rows (pid, size) of
     `name`; pairs: pid, na, nb, the lengths of two sequences; places: pid, i, j, where they have the same element."""
@@ -181,8 +188,8 @@ ORACLES = {
     "key_fields": f"WITH {FIELDS} SELECT * FROM fields",
     "key_fields_wide": f"WITH {FIELDS} SELECT task_id, doc_id, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'phone'), '') AS phones, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'email'), '') AS emails, coalesce(string_agg(value, '|' ORDER BY value) FILTER (field_type = 'company'), '') AS companies FROM fields GROUP BY ALL",
     "exact_overlaps": f"WITH {OVERLAPS} SELECT task_id, doc_a, doc_b, field_type, value AS value_a FROM shared_fields",
-    "all_overlaps": f"""WITH RECURSIVE {FUZZY} SELECT task_id, doc_a, doc_b, field_type, value AS value_a, value AS value_b, 'exact' AS overlap_type, field_type || ': both name ' || value AS risk_note FROM shared_fields
-       UNION ALL SELECT *, 'fuzzy', field_type || ': ' || value_a || ' resembles ' || value_b FROM fuzzy""",
+    "all_overlaps": f"""WITH RECURSIVE {FUZZY} SELECT task_id, doc_a, doc_b, field_type, value AS value_a, value AS value_b, 'exact' AS overlap_type, {note("field_type", "'exact'", "value")} AS risk_note FROM shared_fields
+       UNION ALL SELECT *, 'fuzzy', {note("field_type", "'fuzzy'", "value_a || ' / ' || value_b")} FROM fuzzy""",
     "rare_matches": f"WITH {RARE} SELECT * FROM rare",
     "rare_signal": f"WITH {RARE} SELECT task_id, doc_a, doc_b, count(*) AS total_match_count, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS rare_level, md5(string_agg(token, '|' ORDER BY token_type, token)) AS tokens_md5, coalesce(string_agg(token, '|' ORDER BY token) FILTER (token_type = 'number_unit'), '') AS numbers FROM rare GROUP BY ALL",
     "price_totals": f"WITH {BIDS} SELECT * FROM totals",

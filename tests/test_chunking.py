@@ -1,6 +1,8 @@
 """Chunking: paragraphs, sections, types, merging and packing."""
 
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from bidscreen.operators import chunking
@@ -83,3 +85,30 @@ def test_result_does_not_depend_on_partitions(spark):
     one = chunking.chunk_documents(d.repartition(1), LATIN).collect()
     many = chunking.chunk_documents(d.repartition(7), LATIN).collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_first_places():
+    rng = random.Random(4)
+    text = "".join(rng.choices("ab ü日😀", k=3000)) + "the end"
+    prefixes = ["", "the end", "no such", text[:30], text[700:730], text[699:729], text[2999:], text, text + "x", "ab", "😀", text[10:40], text[10:40]] + [text[i : i + rng.randrange(1, 30)] for i in range(0, 2900, 37)]
+    for block in (1, 7, 1000, 1 << 18):
+        assert chunking.first_places(text, prefixes, block) == [text.find(p) for p in prefixes]
+    assert chunking.first_places("", ["", "a"]) == [0, -1]
+
+
+def test_pages_of_a_long_document(spark):
+    """5 MB and 10,000 chunks: no text beside a chunk but its own."""
+    lines = [f"{i:06d} " + "word " * 100 for i in range(10_000)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([("t", "long", text), ("t", "null", None), ("u", "long", "other")], "task_id string, doc_id string, text string")
+    chunks = spark.createDataFrame([("t", "long", i, line[:50]) for i, line in enumerate(lines)] + [("t", "null", 0, "x"), ("t", "gone", 0, "y"), ("t", "long", -1, "not there"), ("u", "long", 0, "other")], "task_id string, doc_id string, n int, text string")
+    pages = spark.createDataFrame([("long", i * 50_700, i + 1) for i in range(100)], "doc_id string, offset int, page_num int")
+    found = chunking.look_up_pages(chunks, docs, pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "locate" not in plan and found.columns == ["task_id", "doc_id", "n", "text", "page_num"]
+    at, place = {}, 0
+    for i, line in enumerate(lines):
+        at[i] = place // 50_700 + 1
+        place += len(line) + 1
+    got = {(r.task_id, r.doc_id, r.n): r.page_num for r in found.collect()}
+    assert len(text) > 5_000_000 and got == {("t", "long", i): min(p, 100) for i, p in at.items()} | {("t", "null", 0): 0, ("t", "gone", 0): 0, ("t", "long", -1): 0, ("u", "long", 0): 1}
