@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscreen.functions.text import all_matches
+from bidscreen.functions.vectors import dot
 from bidscreen.profile import Profile
 from bidscreen.sources.shared import written
 
@@ -129,30 +130,91 @@ def text_pairs(weights: DataFrame, at_least: float, max_df: int | None = None, t
     return near.join(h, ["task_id", "b"]).join(q, ["task_id", "a"]).where("doc_q <> doc_h").select("task_id", "chunk_q", "chunk_h", "similarity")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def vector_cells(vectors: DataFrame, block: int = 2048, max_pivots: int = 1024, seed: int = 7) -> DataFrame:
+    """vectors with pivot and cell: each goes to the nearest of its task's pivots, and a pivot's vectors to cells of about `block`.
+
+    A task has one pivot for each `block` vectors, max_pivots at most, chosen by hash; tasks of one block have none to
+    choose from. Vectors of a task are dealt to parts, each of which gets the task's pivots beside it: no group grows
+    with the task.
+    """
+    key, vector = ["task_id", "chunk_id"], F.col("embedding").cast("array<double>")
+    n = vectors.groupBy("task_id").agg(F.count("*").alias("n")).withColumn("pivots", F.least(F.ceil(F.col("n") / block), F.lit(max_pivots)).cast("int"))
+    v = vectors.join(n, "task_id").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / (8 * block))).cast("int"))
+    few = v.where("pivots > 1").where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.col("n")) < 4 * F.col("pivots"))
+    nth = F.row_number().over(Window.partitionBy("task_id").orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id"))
+    chosen = few.withColumn("pivot", nth - 1).where("pivot < pivots").select(F.col("task_id").alias("task_p"), "pivot", vector.alias("vector"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / (8 * block)).cast("int") - 1)).alias("part_p"))
+    kinds = dict(vectors.dtypes)
+
+    def nearest(_: tuple, own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame()
+        x, p = (_unit(np.array(d.tolist(), np.float64)) for d in (own.vector, pivots.vector)) if len(pivots) else (None, None)
+        place = np.zeros(len(own), np.int32) if x is None else pivots["pivot"].to_numpy()[np.argmax(x @ p.T, axis=1)]
+        return pd.DataFrame({"task_id": own.task_id.tolist(), "chunk_id": own.chunk_id.tolist(), "pivot": place})
+
+    own = v.select(*key, "part", vector.alias("vector"))
+    near = own.groupBy("task_id", "part").cogroup(chosen.groupBy("task_p", "part_p")).applyInPandas(nearest, f"task_id {kinds['task_id']}, chunk_id {kinds['chunk_id']}, pivot int")
+    near = near.join(near.groupBy("task_id", "pivot").agg(F.ceil(F.count("*") / block).alias("cells")), ["task_id", "pivot"])
+    cell = F.concat_ws(":", "pivot", F.pmod(F.xxhash64("chunk_id"), F.col("cells")).cast("string"))
+    return vectors.join(near.select(*key, "pivot", cell.alias("cell")), key)
+
+
+def cell_bounds(celled: DataFrame) -> DataFrame:
+    """task_id, cell, centre (the direction of the mean), radius (the largest angle to it) and norm (the largest length)."""
+    kinds = dict(celled.dtypes)
+
+    def bound(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(own.embedding.tolist(), np.float64)
+        u = _unit(x)
+        centre = _unit(u.mean(axis=0, keepdims=True))[0]
+        radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) if np.linalg.norm(centre) > 0.5 else np.pi
+        return pd.DataFrame({"task_id": [key[0]], "cell": [key[1]], "centre": [centre.tolist()], "radius": [radius], "norm": [float(np.linalg.norm(x, axis=1).max())]})
+
+    return celled.select("task_id", "cell", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("task_id", "cell").applyInPandas(bound, f"task_id {kinds['task_id']}, cell string, centre array<double>, radius double, norm double")
+
+
+def cell_pairs(bounds: DataFrame, at_least: float) -> DataFrame:
+    """(task_id, cell_a, cell_b, met): pairs of a task's cells, each with itself too; met is false where the angle between the
+    centres less both radii proves that no inner product of the two reaches at_least."""
+    a, b = (bounds.select("task_id", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "centre", "radius", "norm")]) for s in "ab")
+    both = a.join(b, "task_id").where("cell_a <= cell_b")
+    gap = F.greatest(F.acos(F.greatest(F.least(dot(F.col("centre_a"), F.col("centre_b")), F.lit(1.0)), F.lit(-1.0))) - F.col("radius_a") - F.col("radius_b"), F.lit(0.0))
+    most = F.greatest(F.cos(gap), F.lit(0.0)) * F.col("norm_a") * F.col("norm_b")
+    return both.select("task_id", "cell_a", "cell_b", ((F.col("cell_a") == F.col("cell_b")) | (most >= at_least - 1e-9) | F.lit(at_least <= 0)).alias("met"))
+
+
 def vector_pairs(vectors: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
-    """The same by inner product of unit vectors (task_id, doc_id, chunk_id, embedding) within a task.
+    """The same by inner product of vectors (task_id, doc_id, chunk_id, embedding) within a task.
 
-    A task's vectors are dealt into blocks of about `block`; each two blocks meet in one group of bounded
-    size, where a matrix product finds the pairs: only those that reach the threshold are emitted.
+    A task's vectors fall into cells of about `block` around pivots. Cells too far apart to hold a pair are skipped, each
+    two others meet in one group of bounded size, where a matrix product finds the pairs: only those that reach the
+    threshold are emitted. Nothing is lost by the bound; vectors without structure are as far from each other as from
+    any pivot, and then all cells meet. Vectors that are null or hold nulls take no part.
     """
-    n = vectors.groupBy("task_id").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    v = vectors.join(n, "task_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("n_blocks")).cast("int"))
+    whole = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    v = written(vector_cells(whole, block), "cells")
+    pairs = written(cell_pairs(cell_bounds(v), at_least).where("met"), "cell-pairs").drop("met")
     columns = ["task_id", "doc_id", "chunk_id", "embedding"]
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in columns]
-    q = v.select(*side("q"), F.col("block").alias("i_q"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j_q"))
-    h = v.select(*side("h"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i_h"), F.col("block").alias("j_h"))
+    q = v.withColumnRenamed("cell", "cell_a").join(pairs, ["task_id", "cell_a"]).select(*side("q"), F.col("cell_a").alias("i_q"), F.col("cell_b").alias("j_q"))
+    h = v.withColumnRenamed("cell", "cell_b").join(pairs, ["task_id", "cell_b"]).select(*side("h"), F.col("cell_a").alias("i_h"), F.col("cell_b").alias("j_h"))
 
     def multiply(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"task_id": [], "chunk_q": [], "chunk_h": [], "similarity": []}
-        if len(a) and len(b):
-            x, y = (np.array(d.tolist(), np.float64) for d in (a.embedding_q, b.embedding_h))
-            scores = x @ y.T
-            ok = (scores >= at_least) & (a.doc_id_q.to_numpy()[:, None] != b.doc_id_h.to_numpy()[None, :])
-            if key[1] == key[2]:
-                ok &= a.chunk_id_q.to_numpy()[:, None] < b.chunk_id_h.to_numpy()[None, :]
-            i, j = np.nonzero(ok)
-            out = {"task_id": [key[0]] * len(i), "chunk_q": a.chunk_id_q.to_numpy()[i], "chunk_h": b.chunk_id_h.to_numpy()[j], "similarity": scores[i, j]}
-        return pd.DataFrame(out)
+        if a.empty or b.empty:
+            return pd.DataFrame()
+        x, y = (np.array(d.tolist(), np.float64) for d in (a.embedding_q, b.embedding_h))
+        scores = x @ y.T
+        ok = (scores >= at_least) & (a.doc_id_q.to_numpy()[:, None] != b.doc_id_h.to_numpy()[None, :])
+        if key[1] == key[2]:
+            ok &= a.chunk_id_q.to_numpy()[:, None] < b.chunk_id_h.to_numpy()[None, :]
+        i, j = np.nonzero(ok)
+        if not len(i):
+            return pd.DataFrame()
+        return pd.DataFrame({"task_id": [key[0]] * len(i), "chunk_q": a.chunk_id_q.to_numpy()[i], "chunk_h": b.chunk_id_h.to_numpy()[j], "similarity": scores[i, j]})
 
     fields = dict(vectors.dtypes)
     near = q.groupBy("task_id_q", "i_q", "j_q").cogroup(h.groupBy("task_id_h", "i_h", "j_h")).applyInPandas(multiply, f"task_id {fields['task_id']}, chunk_q {fields['chunk_id']}, chunk_h {fields['chunk_id']}, similarity double")

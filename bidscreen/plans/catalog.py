@@ -66,6 +66,14 @@ def rare_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("task_id", "doc_a", "doc_b", "total_match_count", "rare_level", F.md5(F.array_join(tokens, "|").cast("binary")).alias("tokens_md5"), F.array_join("number_unit_matches", "|").alias("numbers"))
 
 
+def rare_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4, R6 in rows that grow with documents: classes of documents with the same tokens, their members, and links between classes."""
+    tokens = written(rare.all_tokens(base.documents(spark, sf_dir), LATIN), "tokens")
+    members = written(rare.classes(tokens), "members")
+    links = rare.class_links(tokens, members).select("task_id", F.lit("link").alias("part"), F.col("class_a").alias("a"), F.col("class_b").alias("b"), "total_match_count", "rare_level")
+    return members.select("task_id", F.lit("member").alias("part"), F.col("class").alias("a"), F.col("doc_id").alias("b"), F.col("n_tokens").alias("total_match_count"), F.lit("none").alias("rare_level")).unionByName(links)
+
+
 def price_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared totals of bids."""
     return prices.totals(base.bids(spark, sf_dir), ZH).select("task_id", "doc_id", "total")
@@ -272,7 +280,7 @@ def structure_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, price_totals, price_items, price_signal,
+        paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, rare_classes, price_totals, price_items, price_signal,
         meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, reviewed_pairs, text_risk,
         composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, evaluation, upserts, heading_structure, structure_signal,
     )

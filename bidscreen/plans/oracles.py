@@ -88,8 +88,9 @@ fuzzy AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field_type,
 
 RARE = f"""
 words AS (SELECT source AS task_id, doc_id, regexp_extract_all(lower(text), '{LATIN.gram_run}') AS w FROM documents),
-places AS (SELECT task_id, doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3),
-grams AS (SELECT task_id, doc_id, array_to_string(w[i:i + 2], ' ') AS token, count(*) AS freq FROM places GROUP BY ALL HAVING count(*) <= {LATIN.rare_count}),
+places AS (SELECT task_id, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+shingles AS (SELECT task_id, doc_id, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS token FROM places WINDOW p AS (PARTITION BY task_id, doc_id ORDER BY i)),
+grams AS (SELECT task_id, doc_id, token, count(*) AS freq FROM shingles WHERE token IS NOT NULL GROUP BY ALL HAVING count(*) <= {LATIN.rare_count}),
 numbers AS (SELECT task_id, doc_id, token, count(*) AS freq FROM (SELECT source AS task_id, doc_id, unnest(regexp_extract_all(text, '{LATIN.quantity}')) AS token FROM documents) GROUP BY ALL),
 tokens AS (SELECT *, '4gram' AS token_type FROM grams UNION ALL SELECT *, 'number_unit' FROM numbers),
 rare AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.token, a.freq AS freq_in_a, b.freq AS freq_in_b, a.token_type FROM tokens a JOIN tokens b ON a.task_id = b.task_id AND a.token = b.token AND a.token_type = b.token_type AND a.doc_id < b.doc_id)"""
@@ -192,6 +193,11 @@ ORACLES = {
        UNION ALL SELECT *, 'fuzzy', {note("field_type", "'fuzzy'", "value_a || ' / ' || value_b")} FROM fuzzy""",
     "rare_matches": f"WITH {RARE} SELECT * FROM rare",
     "rare_signal": f"WITH {RARE} SELECT task_id, doc_a, doc_b, count(*) AS total_match_count, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS rare_level, md5(string_agg(token, '|' ORDER BY token_type, token)) AS tokens_md5, coalesce(string_agg(token, '|' ORDER BY token) FILTER (token_type = 'number_unit'), '') AS numbers FROM rare GROUP BY ALL",
+    "rare_classes": f"""WITH {RARE}, sets AS (SELECT task_id, doc_id, string_agg(token_type || ':' || token, '|' ORDER BY token_type, token) AS s, count(*) AS n FROM tokens GROUP BY ALL),
+       members AS (SELECT task_id, doc_id, n, min(doc_id) OVER (PARTITION BY task_id, s) AS class, count(*) OVER (PARTITION BY task_id, s) AS size FROM sets)
+       SELECT task_id, 'member' AS part, class AS a, doc_id AS b, n AS total_match_count, 'none' AS rare_level FROM members
+       UNION ALL SELECT task_id, 'link', class, class, n, CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END FROM members WHERE size > 1 AND class = doc_id
+       UNION ALL SELECT r.task_id, 'link', doc_a, doc_b, count(*), CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END FROM rare r JOIN members x ON x.task_id = r.task_id AND x.doc_id = doc_a AND x.class = doc_a JOIN members y ON y.task_id = r.task_id AND y.doc_id = doc_b AND y.class = doc_b GROUP BY r.task_id, doc_a, doc_b""",
     "price_totals": f"WITH {BIDS} SELECT * FROM totals",
     "price_items": f"WITH {BIDS} SELECT task_id, doc_id, substr(text, 1, 40) AS label, amount, count(*) AS n FROM amounts GROUP BY ALL",
     "price_signal": f"""WITH {BIDS}, pairs AS (SELECT a.task_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.total AS total_a, b.total AS total_b, abs(a.total - b.total) / greatest(a.total, b.total) AS p FROM totals a JOIN totals b ON a.task_id = b.task_id AND a.doc_id < b.doc_id)
