@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidscreen.functions import sequences
 from bidscreen.functions.text import all_matches
 from bidscreen.profile import Profile
 
@@ -63,7 +64,7 @@ def match_ratio(a: str, b: str) -> Column:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, v, w).ratio() for v, w in zip(x, y, strict=True)], dtype=float)
+        return pd.Series(sequences.ratios(list(zip(x, y, strict=True))))
 
     return ratio(a, b)
 
@@ -125,9 +126,12 @@ def overlaps(fields: DataFrame, profile: Profile) -> DataFrame:
 def sequence_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For structure comparison: ratio and matched pairs of two lists of titles."""
     for batch in batches:
-        found = []
-        for x, y in zip(batch.titles_a, batch.titles_b, strict=True):
-            m = SequenceMatcher(None, list(x), list(y))
-            found.append((m.ratio(), [{"a": x[i + k], "b": y[j + k]} for i, j, n in m.get_matching_blocks() for k in range(n)]))
-        out = batch.drop(columns=["titles_a", "titles_b"])
-        yield out.assign(ratio=[f[0] for f in found], matched=[f[1] for f in found])
+        pairs = list(zip(batch.titles_a, batch.titles_b, strict=True))
+        matched: list[list[dict]] = [[] for _ in pairs]
+        for begin, _, blocks in sequences.in_steps(pairs):
+            for pair, i, j, size in blocks.tolist():
+                x, y = pairs[begin + pair]
+                matched[begin + pair] += [{"a": x[i + k], "b": y[j + k]} for k in range(size)]
+        n = np.array([len(x) + len(y) for x, y in pairs], np.float64)
+        ratio = np.where(n > 0, 2.0 * np.array([len(m) for m in matched], np.float64) / np.maximum(n, 1), 1.0)
+        yield batch.drop(columns=["titles_a", "titles_b"]).assign(ratio=ratio, matched=matched)

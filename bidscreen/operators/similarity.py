@@ -28,8 +28,10 @@ def tokens(text: Column, profile: Profile) -> Column:
 
 
 def term_weights(chunks: DataFrame, profile: Profile) -> DataFrame:
-    """TF-IDF rows (keys, term, weight): term counts of a chunk times the smoothed logarithm of its rarity in the task."""
-    tf = chunks.select(*KEY, F.explode(tokens(F.col("text"), profile)).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
+    """TF-IDF rows (keys, term, weight): term counts of a chunk times the smoothed logarithm of its rarity in the task.
+    Chunks that have been cut bring their terms."""
+    found = F.col("terms") if "terms" in chunks.columns else tokens(F.col("text"), profile)
+    tf = chunks.select(*KEY, F.explode(found).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("task_id", "term").agg(F.count("*").alias("df"))
     n = chunks.groupBy("task_id").agg(F.count("*").alias("n_chunks"))
     return tf.join(df, ["task_id", "term"]).join(n, "task_id").withColumn("weight", F.col("tf") * (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)).drop("tf", "n_chunks")
