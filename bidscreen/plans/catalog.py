@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,8 @@ from bidscreen.plans import base, bids, oracles, tenders
 from bidscreen.plans.base import table
 from bidscreen.profile import LATIN, ZH
 from bidscreen.sources import ingest, sinks
-from bidscreen.sources.shared import written
+from bidscreen.sources.shared import shared_folder, written
+from bidscreen.sources.versions import Store
 
 FLAGSHIP = "composite_risk"
 
@@ -249,6 +251,22 @@ def pairs_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_rows(p).select("pair_id", "risk_level", "final_score", F.length("doc_a_text").alias("n_a"), "doc_a_section", "reason_zh")
 
 
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: pairs as flat rows."""
+    rows = report.flat_pairs(scoring.candidates_above(base.scored_pairs(spark, sf_dir)))
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+    return rows.select("task_id", "pair_id", "doc_id_a", "doc_id_b", "chunk_a", "chunk_b", digest("text_a"), digest("text_b"), "section_title_a", "section_title_b", "page_num_a", F.round("vector_similarity", 6).alias("vector_similarity"), "base_risk_score", "final_score", "risk_level")
+
+
+def pairs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as CSV and read back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(scoring.candidates_above(base.scored_pairs(spark, sf_dir)), path)
+    rows = sinks.read_csv(spark, path)
+    digest = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary")).alias(f"{c}_md5")
+    return rows.select("pair_id", "risk_level", "risk_type", F.col("final_score").cast("double").alias("final_score"), digest("doc_a_text"), digest("doc_b_text"), F.col("doc_b_page").cast("int").alias("doc_b_page"))
+
+
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite levels against labels: pairs of documents of low quality are expected to be high."""
     low = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -267,6 +285,16 @@ def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.without_tasks(merged, gone).select("task_id", "chunk_id", "event_id")
 
 
+def versioned_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by three commits to a versioned store, each of which rewrites the buckets it touches."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("chunk_id"), F.struct("ts", "event_id").alias("version"), "event_id")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", {"events": ("task_id", "chunk_id")}, buckets=16)
+    store.commit({"events": e.where("event_id % 2 = 0")})
+    store.commit({"events": e.where("event_id % 2 = 1")})
+    store.commit(deleted=table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("task_id")))
+    return store.read("events").select("task_id", "chunk_id", "event_id")
+
+
 def heading_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title sets of sources' documents; a document's first line is taken for its title, the lines before the last for headings."""
     return structure.title_jaccard(base.titles(spark, sf_dir)).select("task_id", "doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
@@ -282,7 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, rare_classes, price_totals, price_items, price_signal,
         meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, reviewed_pairs, text_risk,
-        composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, evaluation, upserts, heading_structure, structure_signal,
+        composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, pair_rows, pairs_csv, evaluation, upserts, versioned_upserts, heading_structure, structure_signal,
     )
 } | tenders.QUERIES | bids.QUERIES
 ORACLES = oracles.ORACLES | tenders.ORACLES | bids.ORACLES

@@ -242,6 +242,8 @@ ORACLES = {
        SELECT task_id, CASE WHEN n_docs < 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN n_docs < 2 THEN 'fewer than two documents' END AS error_message, CASE WHEN n_docs >= 2 THEN CASE best WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS overall_risk_level, CASE WHEN n_docs >= 2 THEN coalesce(text_rate, 0.0) END AS similarity_rate FROM b""".replace(", n AS (SELECT source", ", nn AS (SELECT source").replace("SELECT n.task_id, n_docs", "SELECT nn.task_id, n_docs").replace("FROM n LEFT JOIN ranks", "FROM nn LEFT JOIN ranks"),
     "documents_of_task": "SELECT source AS task_id, doc_id, length(text) AS n_chars FROM documents WHERE source = 'src0'",
     "pairs_of_task": f"WITH {SCORED} SELECT pair_id, risk_level, base_risk_score AS final_score, length(substr(text_a, 1, 200)) AS n_a, section_a AS doc_a_section, '' AS reason_zh FROM above WHERE task_id = 'src0' AND risk_level = 'high'",
+    "pair_rows": f"WITH {SCORED} SELECT task_id, pair_id, doc_id_a, doc_id_b, chunk_a, chunk_b, md5(text_a) AS text_a_md5, md5(text_b) AS text_b_md5, section_a AS section_title_a, section_b AS section_title_b, 0 AS page_num_a, round(similarity, 6) AS vector_similarity, base_risk_score, base_risk_score AS final_score, risk_level FROM above",
+    "pairs_csv": f"WITH {SCORED} SELECT pair_id, risk_level, 'normal_overlap' AS risk_type, base_risk_score AS final_score, md5(substr(text_a, 1, 200)) AS doc_a_text_md5, md5(substr(text_b, 1, 200)) AS doc_b_text_md5, 0 AS doc_b_page FROM above WHERE risk_level <> 'none'",
     "evaluation": f"""WITH RECURSIVE {COMPOSITE}, q AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY ALL), x AS (SELECT c.final_level AS actual, CASE WHEN a.quality = 0 AND b.quality = 0 THEN 'high' ELSE 'low' END AS expected FROM composite c JOIN q a ON a.doc_id = doc_a JOIN q b ON b.doc_id = doc_b)
        SELECT expected, count(*) FILTER (actual = 'high') AS actual_high, count(*) FILTER (actual = 'medium') AS actual_medium, count(*) FILTER (actual = 'low') AS actual_low, round(avg((actual = expected)::INT), 4) AS hit_rate, count(*) AS n_pairs FROM x GROUP BY ALL""",
     "upserts": "WITH r AS (SELECT user_id AS task_id, event_type AS chunk_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT task_id, chunk_id, event_id FROM r WHERE n = 1 AND task_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)",
@@ -249,3 +251,4 @@ ORACLES = {
        CASE WHEN overall_score >= 70 THEN 'high' WHEN overall_score >= 50 THEN 'medium' WHEN overall_score >= 30 THEN 'low' ELSE 'none' END AS structure_level FROM structured""",
     "heading_structure": f"WITH {TITLES} SELECT s.task_id, doc_a, doc_b, round(common / (a.n + b.n - common), 6) AS jaccard FROM shared s JOIN sizes a ON a.task_id = s.task_id AND a.doc_id = doc_a JOIN sizes b ON b.task_id = s.task_id AND b.doc_id = doc_b",
 }
+ORACLES["versioned_upserts"] = ORACLES["upserts"]

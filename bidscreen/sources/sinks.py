@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,4 +40,9 @@ def csv_rows(pairs: DataFrame) -> DataFrame:
 
 
 def write_csv(pairs: DataFrame, path: str) -> None:
-    csv_rows(pairs).write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
+    csv_rows(pairs).write.mode("overwrite").option("header", "true").options(quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv has written; texts may hold quotes and line breaks."""
+    return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)

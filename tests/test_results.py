@@ -113,11 +113,12 @@ def test_sources(spark):
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("质量".encode())
     (tmp_path / "b.txt").write_bytes("质量".encode("gb18030"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        assert [r.text for r in ingest.read_texts(spark, f"file://{tmp_path}").collect()] == ["质量", "质量"]
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    for setting in ("true", "false"):  # what a file is read as doesn't depend on the session
+        spark.conf.set("spark.sql.legacy.javaCharsets", setting)
+        try:
+            assert sorted((r.encoding, r.text) for r in ingest.read_texts(spark, f"file://{tmp_path}").collect()) == [("gb18030", "质量"), ("utf-8", "质量")]
+        finally:
+            spark.conf.unset("spark.sql.legacy.javaCharsets")
     (tmp_path / "p.list").write_text("# c\n\nGB\\s*\\d+\n[\n")
     assert ingest.read_patterns(spark, f"file://{tmp_path}/p.list") == ["GB\\s*\\d+"]
 
@@ -139,3 +140,33 @@ def test_report_counts_and_evaluation(spark):
     e = spark.createDataFrame([("t", "a", "b", "high"), ("t", "a", "c", "high"), ("t", "b", "c", "low")], "task_id string, doc_a string, doc_b string, expected string")
     found = {r.expected: r for r in report.evaluate(c, e).collect()}
     assert found["high"].hit_rate == 0.5 and found["low"].hit_rate == 1.0 and found["high"].actual_low == 1
+
+
+def test_encodings():
+    text = "投标文件 No. 12, 质量保证\n价格：100元"
+    for name in ("utf-8", "utf-8-sig", "gb18030", "utf-16"):
+        assert ingest.decode(text.encode(name))[1] == text
+    for name in ("utf-16-le", "utf-16-be"):
+        assert ingest.decode("plain text, 质量 once in a long line".encode(name)) == (name, "plain text, 质量 once in a long line")
+    assert ingest.decode("标".encode() + b"\xff\xff") == ("utf-8", "标\ufffd\ufffd") and ingest.decode(b"") == ("utf-8", "")
+    assert ingest.decode("𠀀㐀é".encode("gb18030")) == ("gb18030", "𠀀㐀é")
+
+
+def test_metadata_and_phrases(spark):
+    meta = spark.createDataFrame([("a.docx", None, "M", None, 1), ("b.PDF", "x", None, None, 1), ("c.DOCX", "y", None, "C", 1)], "path string, author string, last_modified_by string, company string, doc_id int")
+    assert sorted((r.path, r.author, r.last_modified_by, r.company) for r in ingest.clean_metadata(meta).collect()) == [("a.docx", "", "M", ""), ("c.DOCX", "y", "", "C")]
+    assert ingest.clean_metadata(meta.drop("path")).count() == 3
+    lines = spark.createDataFrame([(0, "# comment"), (1, " one phrase "), (2, ""), (3, "another"), (4, "without vector")], "n int, value string")
+    vectors = spark.createDataFrame([("one phrase", [1.0]), ("another", [2.0])], "text string, embedding array<double>")
+    assert sorted(tuple(r) for r in ingest.read_phrases(lines, vectors).select("phrase_id", "text", "embedding").collect()) == [("wl_000001", "one phrase", [1.0]), ("wl_000003", "another", [2.0])]
+
+
+def test_csv_and_json_come_back(spark, tmp_path):
+    odd = ' a "quoted", line\nand \\ more'
+    pair = spark.createDataFrame([("p", "high", 80.5, 0.9, 0.5, "s", 1, odd, None, 2, "x" * 300)], "pair_id string, risk_level string, final_score double, similarity double, keyword_overlap double, section_title_a string, page_num_a int, text_a string, section_title_b string, page_num_b int, text_b string")
+    sinks.write_csv(pair, f"file://{tmp_path}/csv")
+    (row,) = sinks.read_csv(spark, f"file://{tmp_path}/csv").collect()
+    assert len(row) == 15 and (row.doc_a_text, row.doc_b_text, row.doc_b_section, row.final_score, row.doc_b_page) == (odd, "x" * 200, None, "80.5", "2")
+    sinks.write_json(spark.createDataFrame([("t", odd, None)], "task_id string, a string, b string"), f"file://{tmp_path}/json")
+    (back,) = spark.read.json(f"file://{tmp_path}/json").select("task_id", "a").collect()
+    assert tuple(back) == ("t", odd)

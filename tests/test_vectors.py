@@ -48,3 +48,17 @@ def test_few_or_no_vectors(spark):
     assert not similarity.vector_pairs(rows(spark, clustered(1, 1, 0.1, 1)), 0.5).collect()
     zeros = np.zeros((20, 4))
     assert not similarity.vector_pairs(rows(spark, zeros), 0.5, 4).collect()
+
+
+def test_phrases(spark):
+    x, p = np.split(clustered(503, 8, 0.05, 5).astype(np.float32), [500])
+    df = rows(spark, x, more=[("t", 1, 9000, None), ("t", 1, 9001, [None] * 16), ("t", 1, 9002, [1.0] * 3), ("t", 1, 9003, [])])
+    phrases = spark.createDataFrame([([float(c) for c in v],) for v in p] + [(None,)], "embedding array<float>")
+    got = {r.chunk_id for r in whitelist.close_to_phrases(df, phrases, 0.7).collect()}
+    assert got == set(np.flatnonzero((x.astype(float) @ p.astype(float).T).max(axis=1) >= 0.7).tolist()) and 0 < len(got) < 500
+    size = lambda n: len(whitelist.close_to_phrases(df, phrases.limit(n), 0.7)._jdf.queryExecution().toString())
+    assert abs(size(1) - size(3)) < 100  # the plan doesn't hold the phrases
+    assert not whitelist.close_to_phrases(df, phrases.limit(0), 0.7).collect() and not whitelist.close_to_phrases(df.limit(0), phrases, 0.7).collect()
+    for kw in ({"max_phrases": 2}, {"max_bytes": 100}):
+        with pytest.raises(ValueError, match="more than"):
+            whitelist.close_to_phrases(df, phrases, 0.7, **kw)
