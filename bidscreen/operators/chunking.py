@@ -139,8 +139,9 @@ def first_places(text: str, prefixes: list[str], block: int = 1 << 18) -> list[i
     code = _codes(text)
     places = {p: 0 if not p else -1 for p in prefixes}
     for n in {len(p) for p in places if 0 < len(p) <= len(code)}:
-        up = np.cumprod(np.r_[np.uint64(1), np.full(block + n, _BASE, np.uint64)])
-        back = np.cumprod(np.r_[np.uint64(1), np.full(block, pow(_BASE, -1, 2**64), np.uint64)])
+        step = min(block, len(code))
+        up = np.cumprod(np.r_[np.uint64(1), np.full(step + n, _BASE, np.uint64)])
+        back = np.cumprod(np.r_[np.uint64(1), np.full(step, pow(_BASE, -1, 2**64), np.uint64)])
         by_key: dict[int, list[str]] = {}
         for p in (p for p in places if len(p) == n):
             by_key.setdefault(int(_window_hashes(_codes(p), n, up, back)[0]), []).append(p)
