@@ -64,13 +64,20 @@ class Model:
     log_prob: np.ndarray  # buckets x languages
     settings: Settings
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior probability; texts without a letter have none."""
+    def levels(self) -> np.ndarray:
+        """What an n-gram of a language's own texts has on average as its log probability."""
+        return (np.exp(self.log_prob) * self.log_prob).sum(0)
+
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its posterior probability, and how far the text's n-grams lie on average
+        above (or below, if negative) the level of that language; texts without a letter have none."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         total = np.tile(self.log_prior, (len(texts), 1))
+        grams = np.zeros(len(texts), np.int64)
         step = max(1, (1 << 21) // len(self.languages))
         for bucket, count in batch_buckets(texts, self.settings):
+            grams += count
             some = np.flatnonzero(count)
             end = np.cumsum(count[some])
             for x in range(0, len(bucket), step):
@@ -80,8 +87,9 @@ class Model:
                 total[some[first : last + 1]] += np.add.reduceat(self.log_prob[bucket[x:y]], border, axis=0)
         best = total.argmax(1)
         score = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(1)
+        fit = (total[np.arange(len(texts)), best] - self.log_prior[best]) / np.maximum(grams, 1) - self.levels()[best]
         known = np.array([bool(_letter.search(t)) for t in texts], bool)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0), np.where(known, fit, 0.0)
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -129,27 +137,40 @@ def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "tex
     return Model(languages, np.log(prior / prior.sum()), np.log(total / total.sum(0)), settings)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score appended (columns of these names are replaced).
-
-    A null text and one without a letter get `und` and score 0; ties go to the language first in
-    order. Whole texts are scored; repeated rows alike. Only the text takes part.
-    """
+def _found(docs: DataFrame, model: Model, text_col: str) -> Column:
+    """lang_pred, score and fit of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, fit: double>")
     def score(text: pa.Array) -> pa.Array:
-        lang, value = [], []
+        lang, value, fit = [], [], []
         for piece in pieces([pa.RecordBatch.from_arrays([text], names=["text"])], "text"):
             found = shared.value.score([t or "" for t in piece.column(0).to_pylist()])
             lang += found[0]
             value.append(found[1])
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(value) if value else [], pa.float64())], names=["lang_pred", "score"])
+            fit.append(found[2])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), *(pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (value, fit))], names=["lang_pred", "score", "fit"])
+
+    return score(docs[text_col].cast("string"))
 
-    plain = docs.drop("lang_pred", "score")
-    return plain.withColumn("_found", score(plain[text_col].cast("string"))).select(*[plain[c] for c in plain.columns], "_found.lang_pred", "_found.score")
 
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and fit appended (columns of these names are replaced).
 
-def known_language(min_score: float = 0.5) -> Column:
-    """Whether a document's language was recognised."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    A null text and one without a letter get `und`, score 0 and fit 0; ties go to the language first in
+    order. Whole texts are scored; repeated rows alike. Only the text takes part.
+    """
+    plain = docs.drop("lang_pred", "score", "fit")
+    return plain.withColumn("_found", _found(plain, model, text_col)).select(*[plain[c] for c in plain.columns], "_found.lang_pred", "_found.score", "_found.fit")
+
+
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, min_fit: float = -2.4, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns alone, whose text is of one of the model's languages: likeliest by at least
+    min_score, and with n-grams that lie on average no more than -min_fit nats below what the language's own texts have.
+
+    The posterior alone says which of the languages comes nearest, and is near one for texts of any other language
+    too; the fit says whether it comes near. A model of few texts (some hundreds) knows few n-grams, and tells less. Null texts and texts without a letter are of no language.
+    """
+    found = _found(docs, model, text_col).alias("_found")
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), found)
+    return kept.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= min_score) & (F.col("_found.fit") >= min_fit)).select("_row.*")

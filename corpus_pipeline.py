@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't recognised go: those without a letter, or with a posterior under one half."""
-    model = language.train(docs)
-    return language.predict(docs, model).where(language.known_language()).select(*docs.columns)
+    """Documents whose language isn't recognised go: those without a letter, with a posterior under one half, or whose
+    n-grams are far less likely than the texts that the likeliest language was learned from."""
+    return language.keep_known(docs, language.train(docs))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """The pipeline's stages against plain versions, one after another."""
 
+import random
 from math import ceil
 
+from pyspark.sql import functions as F
+
 from bidscreen.llm.common import materialize
 from tests.llm.test_search_operators import brute_components
 from tests.llm.test_text_operators import plain_measures
@@ -33,3 +36,35 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in rows} == {r.doc_id for r in one.collect()}
     assert len({r.sequence_id for r in rows}) <= ceil(sum(r.length for r in rows) / 2048) + 2
     assert sorted(r.ids_crc32 for r in p.run(spark, sf_dir).collect()) == sorted(r.ids_crc32 for r in rows)
+
+
+def test_language_stage_rejects_what_it_never_learned(spark, sf_dir):
+    """Two languages and random letters beside the documents; nulls, repeated ids, clashing columns, and no rows at all."""
+    import corpus_pipeline as p
+
+    rng = random.Random(1)
+    norwegian = "dette er en tekst på norsk om været i dag og hva vi skal spise til middag i morgen når gjestene kommer hjem fra byen".split()
+    finnish = "tämä on suomenkielinen teksti joka kertoo säästä ja siitä mitä me syömme illalla kun vieraat tulevat kotiin kaupungista".split()
+    made_up = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
+    strange = [" ".join(rng.choices(words, k=60)) for words in (norwegian, finnish) for _ in range(5)] + [" ".join(made_up() for _ in range(60)) for _ in range(5)] + [None, "", "12 34 ..."]
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - i // 2, t, None, "planted", 0) for i, t in enumerate(strange)], docs.schema)
+    both = docs.unionByName(planted).withColumns({"score": F.lit("own"), "lang_pred": F.lit(1), "fit": F.lit(2), "_found": F.lit(3)})
+    kept = p.language_id(spark, both, sf_dir)
+    rows = kept.collect()
+    assert kept.columns == both.columns and all((r.score, r.lang_pred, r.fit, r["_found"]) == ("own", 1, 2, 3) for r in rows)
+    assert not [r for r in rows if r.doc_id < 0] and len(rows) == docs.where("text RLIKE '\\\\p{L}'").count()
+    assert not p.language_id(spark, docs.limit(0), sf_dir).collect() and not p.language_id(spark, planted, sf_dir).collect()
+
+
+def test_run_over_odd_rows(spark, sf_dir):
+    """Null texts and ids, repeated rows, and no rows, through all stages."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0)], docs.schema))
+    for given in (odd, docs.limit(0)):
+        for _, stage in p.STAGES:
+            given = materialize(stage(spark, given, sf_dir), "t")
+        rows = given.collect()
+        assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)

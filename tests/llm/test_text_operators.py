@@ -194,10 +194,15 @@ def test_language_in_batches():
     s = language.Settings(buckets=256, orders=(1, 2, 3))
     model = language.Model(["a", "b", "c"], np.log([0.2, 0.3, 0.5]), rng.normal(-5, 0.05, (256, 3)), s)
     texts = ["", "x", "Éa", "12 3", "word " * 40, "\U0001d7d8 x", "İstanbul", "ab"]
-    lang, score = model.score(texts)
+    lang, score, fit = model.score(texts)
     for t, got, value in zip(texts, lang, score, strict=True):
         p = plain_posterior(t, model)
         assert (got, value) == ("und", 0) if not any(c.isalpha() for c in t) else got == model.languages[int(p.argmax())] and abs(value - p.max()) < 1e-9
+    for t, got, value in zip(texts, lang, fit, strict=True):
+        own = model.languages.index(got) if got in model.languages else 0
+        buckets = plain_buckets(t, s)
+        level = (np.exp(model.log_prob[:, own]) * model.log_prob[:, own]).sum()
+        assert value == (0 if got == "und" else pytest.approx(model.log_prob[buckets, own].mean() - level))
     assert model.score([])[0] == []
     long = ["ab cd" * 400_000, "short one"]  # more n-grams than one part gathers
     assert [x for x in model.score(long)[1]] == pytest.approx([model.score([t])[1][0] for t in long])
