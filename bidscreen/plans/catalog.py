@@ -226,6 +226,19 @@ def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counts(tasks, scoring.candidates_above(pairs), counts, base.composite(spark, sf_dir, c, pairs))
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all tasks written as ordered JSON pieces, and read back."""
+    c = base.chunks(spark, sf_dir)
+    counts = base.chunk_counts(c).withColumn("name", F.col("doc_id").cast("string"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report(report.lines(counts.select("task_id").distinct(), scoring.candidates_above(base.scored_pairs(spark, sf_dir, c)), counts), path)
+    told = lambda f: F.get_json_object("body", f"$.{f}")
+    item = F.coalesce(told("pair_id"), told("doc_id"), F.col("task_id"))
+    digest = lambda s: F.md5(told(f"doc_{s}.text").cast("binary")).alias(f"text_{s}_md5")
+    n = F.coalesce(told("n_chunks"), told("total_pairs")).cast("bigint")
+    return sinks.read_report(spark, path).select("task_id", "kind", "place", item.alias("item"), n.alias("n"), told("final_score").cast("double").alias("final_score"), told("risk_level").alias("risk_level"), digest("a"), digest("b"))
+
+
 def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4: the newest twenty tasks, where an order is a task."""
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("created_at"))
@@ -310,7 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         paragraphs, chunks, sliding_windows, key_fields, key_fields_wide, exact_overlaps, all_overlaps, rare_matches, rare_signal, rare_classes, price_totals, price_items, price_signal,
         meta_signal, paged_text, page_lookup, table_rows, format_gate, keywords, candidate_pairs, vector_pairs, phrase_whitelist, scored_pairs, review_queue, verdicts, reviewed_pairs, text_risk,
-        composite_risk, task_report, task_history, task_results, documents_of_task, pairs_of_task, pair_rows, pairs_csv, evaluation, upserts, versioned_upserts, heading_structure, structure_signal,
+        composite_risk, task_report, report_lines, task_history, task_results, documents_of_task, pairs_of_task, pair_rows, pairs_csv, evaluation, upserts, versioned_upserts, heading_structure, structure_signal,
     )
 } | tenders.QUERIES | bids.QUERIES
 ORACLES = oracles.ORACLES | tenders.ORACLES | bids.ORACLES

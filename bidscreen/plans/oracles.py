@@ -237,6 +237,11 @@ ORACLES = {
     "task_report": f"""WITH RECURSIVE {COMPOSITE}, docs AS (SELECT task_id, count(*) AS n_documents FROM counts GROUP BY ALL), comp AS (SELECT task_id, count(*) AS n_composite FROM composite GROUP BY ALL)
        SELECT task_id, n_high AS high_risk_count, n_medium AS medium_risk_count, n_low AS low_risk_count, n_pairs AS total_pairs, (n_high + n_medium + n_low)::INT AS n_risk_pairs, n_documents::INT AS n_documents, coalesce(n_composite, 0)::INT AS n_composite FROM text_risk LEFT JOIN docs USING (task_id) LEFT JOIN comp USING (task_id)""",
     "task_history": "SELECT o_orderkey AS task_id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
+    "report_lines": f"""WITH {SCORED},
+        docs AS (SELECT task_id, doc_id::VARCHAR AS doc_id, count(*) AS n FROM chunks GROUP BY ALL), found AS (SELECT task_id, count(*) AS n FROM above GROUP BY ALL)
+        SELECT task_id, 'task' AS kind, 0 AS place, task_id AS item, coalesce(f.n, 0) AS n, NULL::DOUBLE AS final_score, NULL AS risk_level, NULL AS text_a_md5, NULL AS text_b_md5 FROM (SELECT DISTINCT task_id FROM docs) LEFT JOIN found f USING (task_id)
+        UNION ALL SELECT task_id, 'document', row_number() OVER (PARTITION BY task_id ORDER BY doc_id) - 1, doc_id, n, NULL, NULL, NULL, NULL FROM docs
+        UNION ALL SELECT task_id, 'risk_pair', row_number() OVER (PARTITION BY task_id ORDER BY base_risk_score DESC, pair_id) - 1, pair_id, NULL, base_risk_score, risk_level, md5(text_a), md5(text_b) FROM above WHERE risk_level <> 'none'""",
     "task_results": f"""WITH RECURSIVE {COMPOSITE}, ranks AS (SELECT task_id, max(CASE final_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS r FROM composite GROUP BY ALL), n AS (SELECT source AS task_id, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY ALL),
        b AS (SELECT n.task_id, n_docs, text_rate, greatest(coalesce(r, 1), CASE text_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS best FROM n LEFT JOIN ranks USING (task_id) LEFT JOIN text_risk USING (task_id))
        SELECT task_id, CASE WHEN n_docs < 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN n_docs < 2 THEN 'fewer than two documents' END AS error_message, CASE WHEN n_docs >= 2 THEN CASE best WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS overall_risk_level, CASE WHEN n_docs >= 2 THEN coalesce(text_rate, 0.0) END AS similarity_rate FROM b""".replace(", n AS (SELECT source", ", nn AS (SELECT source").replace("SELECT n.task_id, n_docs", "SELECT nn.task_id, n_docs").replace("FROM n LEFT JOIN ranks", "FROM nn LEFT JOIN ranks"),

@@ -27,6 +27,39 @@ def write_json(reports: DataFrame, path: str) -> None:
     reports.withColumn("task", F.col("task_id")).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("task").json(path)
 
 
+def write_report(lines: DataFrame, path: str, max_rows: int = 100_000) -> None:
+    """Report lines (task_id, kind, place, body) as JSON lines in files of at most max_rows, each of a range of (task_id,
+    kind, place), and an index of what each file has. A task of any size spans as many files as it needs.
+
+    The index is written last: without it there is no report.
+    """
+    head = F.to_json(F.struct("task_id", "kind", "place"), {"ignoreNullFields": "false"})
+    line = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"body":'), F.coalesce("body", F.lit("null")), F.lit("}"))
+    by = ["task_id", "kind", "place"]
+    lines.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("head", head).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", max_rows).text(f"{path}/pieces")
+    rows = lines.sparkSession.read.schema(_LINE).json(f"{path}/pieces").select("task_id", "kind", "place", F.col("_metadata.file_name").alias("file"))
+    index = rows.groupBy("file", "task_id", "kind").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+    index.write.mode("overwrite").parquet(f"{path}/index")
+
+
+_LINE = "task_id string, kind string, place bigint, body string"
+
+
+def read_report(spark: SparkSession, path: str, task_id: str | None = None, kind: str | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """Lines of a written report; of one task, one kind, and places from first to last, where given: only files that have such lines are read."""
+    index = spark.read.parquet(f"{path}/index")
+    rows = spark.read.schema(_LINE)
+    wanted = F.lit(True) if task_id is None else F.col("task_id") == task_id
+    wanted &= F.lit(True) if kind is None else F.col("kind") == kind
+    if task_id is None and kind is None:
+        found = rows.json(f"{path}/pieces")
+    else:
+        here = (F.col("last") >= first) & (F.lit(True) if last is None else F.col("first") <= last)
+        files = [f"{path}/pieces/{r.file}" for r in index.where(wanted & here).select("file").distinct().collect()]
+        found = rows.json(files) if files else spark.createDataFrame([], _LINE)
+    return found.where(wanted & (F.col("place") >= first) & (F.lit(True) if last is None else F.col("place") <= last))
+
+
 def csv_rows(pairs: DataFrame) -> DataFrame:
     """The fifteen columns of the pair list: texts cut to 200 characters, defaults for what is missing."""
     given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in pairs.columns else F.lit(default)
