@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +28,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: what several plans need is computed once, and outlives lost executors."""
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `written` has written within it: to be held around a query and the use of its result.
+
+    Within another one, each deletes its own. Tables that nobody owns stay, since a DataFrame that is read later needs them.
+    """
+    paths: list[str] = []
+    before = _owned.set(paths)
+    try:
+        yield
+    finally:
+        _owned.reset(before)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, name: str, folder_by: tuple[str, ...] = ()) -> DataFrame:
+    """df written as Parquet and read back: what several plans need is computed once, and outlives lost executors. Rows
+    of equal folder_by columns, where given, stand in a folder of their own, which a filter reads alone."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
+    df.write.partitionBy(*folder_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,10 @@
 """Where shared tables go."""
 
+import os
+
 import pytest
 
+from bidscreen.sources import shared
 from bidscreen.sources.shared import shared_folder
 
 
@@ -24,3 +27,15 @@ def test_a_cluster_has_to_name_its_folder():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             shared_folder(Session(**{"spark.master": master}))
+
+
+def test_owned_tables_are_deleted_at_the_end(spark):
+    kept = shared.written(spark.range(2), "kept")
+    with shared.owned_tables(spark):
+        outer = shared.written(spark.range(3), "outer")
+        with shared.owned_tables(spark):
+            inner = shared.written(spark.range(4), "inner")
+            files = {n: df.inputFiles()[0] for n, df in (("kept", kept), ("outer", outer), ("inner", inner))}
+        here = lambda n: os.path.exists(files[n].removeprefix("file://"))
+        assert not here("inner") and here("outer") and outer.count() == 3
+    assert not here("outer") and here("kept") and kept.count() == 2
