@@ -119,6 +119,17 @@ def listed(levels: list[Level], key: Column) -> Column:
     return out
 
 
+#: The column that says in which folder a row is.
+_GROUP = "_group_of_hosts"
+
+
+def by_group(df: DataFrame, name: str) -> DataFrame:
+    """df written with a folder for each group, so that a filter by group reads that folder alone. Rows of one group go to
+    several tasks, by a hash of the row (maps have none): a group, or a host, may hold a third of all rows."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if c != _GROUP and "map<" not in kind]), F.lit(16))
+    return materialize(df.repartition(_GROUP, salt), name, (_GROUP,))
+
+
 def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: list[UrlRule], url_col: str = "url", max_bits: int = 1 << 27) -> DataFrame:
     """pages with host, path, rule and verdict; columns of pages with these names are replaced.
 
@@ -127,8 +138,9 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: list[UrlRule],
     which no rule fits and which is never listed. Repeated rows are judged alike; listed hosts
     that are null, empty, repeated or absent from pages have no effect. The cascade is exact since
     its universe is every host of pages. Hosts are parted by hash into as many groups as keep one
-    group's levels at about max_bits; more than one group are judged one after another, each by a
-    cascade of its own, and written, so that no task ever holds more than one group's levels.
+    group's levels at about max_bits. More than one group: pages are dealt to a folder for each once, and groups
+    are judged one after another, each over its own folder by a cascade of its own, and written, so that no task ever
+    holds more than one group's levels and pages are read twice, however many groups there are.
     """
     parted = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     hosts = parted.where("host != ''").groupBy(F.col("host").alias("key")).agg(F.lit(0).alias("_"))
@@ -143,8 +155,7 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: list[UrlRule],
 
     if groups == 1:
         return judged(parted, cascade(universe))
-    parts = []
-    for g in range(groups):
-        own = {c: F.pmod(F.xxhash64(F.col(c), F.lit("group")), F.lit(groups)) == g for c in ("host", "key")}
-        parts.append(materialize(judged(parted.where(own["host"]), cascade(universe.where(own["key"]))), "judged"))
-    return reduce(DataFrame.unionByName, parts)
+    deal = lambda df, c, name: by_group(df.withColumn(_GROUP, F.pmod(F.xxhash64(F.col(c), F.lit("group")), F.lit(groups)).cast("int")), name)
+    dealt, keys = deal(parted, "host", "pages"), deal(universe, "key", "keys")
+    own = lambda df, g: df.where(F.col(_GROUP) == g).drop(_GROUP)
+    return reduce(DataFrame.unionByName, [materialize(judged(own(dealt, g), cascade(own(keys, g))), "judged") for g in range(groups)])

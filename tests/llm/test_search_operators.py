@@ -279,4 +279,6 @@ def test_urls(spark):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, marks, RULES, max_bits=bits).collect()}
         assert got == {i: plain_url(u, listed) for i, u in enumerate(all_urls)}
     assert urls.judge_urls(pages.where("false"), marks, RULES).count() == 0
+    dealt = urls.by_group(pages.withColumn(urls._GROUP, F.col("page_id").cast("int") % 3), "pages").where(F.col(urls._GROUP) == 1)
+    assert dealt.count() == pages.where("page_id % 3 = 1").count() and "PartitionFilters: [isnotnull(_group_of_hosts" in dealt._jdf.queryExecution().executedPlan().toString()
     assert urls.judge_urls(pages, marks.where("false"), RULES).where("rule IS NULL AND verdict = 'block'").count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from math import ceil
@@ -96,11 +97,27 @@ def test_token_counts(spark, tokenizer, rule):
                 for k, n in share.items():
                     want[k] += n / (b - a + 1)
         assert [r.n_tokens for r in rows] == pytest.approx(want)
+        ends = [(max(k for k, s in enumerate(starts) if s <= a), max(k for k, s in enumerate(starts) if s <= b)) for a, b in (token_spans(tokenizer, t) if t else [])]
+        assert [r.n_crossing for r in rows] == [sum(a == k < b for a, b in ends) for k in range(len(starts))]
     whole = {r.doc_id: r for r in token_counts.count_by_document(frame(spark, texts), queries.tokenizer_path(), rule).collect()}
     assert all(whole[i].n_tokens == len(tokenizer.encode(t or "").ids) for i, t in enumerate(texts))
+    for i in whole:  # the other columns, from the sections
+        rows = [r for r in got if r.doc_id == i]
+        told = (whole[i].n_sections, whole[i].n_crossing, whole[i].max_section_tokens, whole[i].section_crc32)
+        assert told == (len(rows), sum(r.n_crossing for r in rows), max(r.n_tokens for r in rows), zlib.crc32(struct.pack(f"<{len(rows)}d", *[r.n_tokens for r in rows])))
     assert all(sum(r.n_tokens for r in got if r.doc_id == i) == pytest.approx(whole[i].n_tokens) for i in whole)
 
 
+def test_token_counts_of_repeated_long_and_no_rows(spark, tokenizer):
+    long = "some words of a line\n" * 60_000 + "x" * 3_000
+    df = spark.createDataFrame([(1, "a\nb", 7), (1, "a\nb", 7), (2, long, 7)], "doc_id long, text string, n_tokens int")
+    got = token_counts.count_by_document(df, queries.tokenizer_path()).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_sections) for r in got) == sorted((i, len(tokenizer.encode(t, add_special_tokens=False).ids), t.count("\n") + 1) for i, t, _ in df.collect())
+    assert len({r for r in got if r.doc_id == 1}) == 1
+    for f in (token_counts.count_by_document, token_counts.count_by_section):
+        assert f(df.where("false"), queries.tokenizer_path()).count() == 0
+
+
 def test_packing(spark, documents, tokenizer):
     texts = ODD + [r.text for r in documents.select("text").collect()] + ["same"] * 50
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
