@@ -68,6 +68,7 @@ class Powers:
     """Powers of the odd step and of its inverse modulo 2**64, as far as any text has needed them."""
 
     def __init__(self):
+        self.step = _step
         self.up = self.down = np.ones(1, U)
 
     def reach(self, n: int) -> None:

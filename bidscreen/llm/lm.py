@@ -1,9 +1,14 @@
 """Language-model scoring by logistic context mixing of bits.
 
-A text is the bytes of its lower-cased form and an end. Each bit of a byte is predicted from several
-contexts (the three and five bytes before it, and its word as far as it has come, up to seven bytes), of which Spark
-gathers how often either bit came next in all training documents, each context by itself: what is kept
-grows with the texts. A gate, the bit's place and how much the two longest contexts have seen, chooses the
+A text is the bytes of its lower-cased form and an end. Each bit of a byte is predicted from several contexts: one, two,
+four and five bytes before it, and a hash of its whole word as far as it has come, however long (of the six bytes before
+it where the word is shorter). Spark gathers how often either bit came next in all training documents, each context by
+itself: what is kept grows with the texts. Contexts of four bytes and more are counted in buckets by their last four
+bytes; those of one and two bytes, of which there are 2^24 with their next byte at most, are sums over all buckets and
+sent to them. Buckets get their keys over levels: each level merges a fixed number of messages and then deals them to
+more buckets, so neither a message's size nor a group grows with the number of parts.
+
+A gate, the bit's place and how much the two longest contexts have seen, chooses the
 weights that mix the predictions in the logistic domain; an adaptive map by bit history refines
 the mixture. Weights and map are learned online in each bucket of contexts, from the predictions of all training
 documents, and averaged; own counts are left out. They stay as learned while texts are scored, so that a text's score
@@ -28,30 +33,37 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidscreen.llm.common import materialize, mix, pieces, release
+from bidscreen.llm.common import byte_values, materialize, mix, pieces, powers, release
 
 U = np.uint64
 END = b"\xff"
-#: Bytes before a byte that all contexts have: they say in which bucket contexts are counted. Bytes that a key has before its own.
-LAST, BEFORE = 3, 7
+#: Bytes before a byte: those that choose its bucket, those of contexts that are sums over buckets (at most), those that a
+#: key has as they are (at most), and ends before each text.
+LAST, SHORT, EXACT, BEFORE = 4, 2, 5, 8
 #: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
 PART_BYTES, STEP_BYTES, BUCKET_BYTES = 16 << 20, 1 << 19, 16 << 20
+#: Messages merged at once, about, and buckets that a part is dealt to at first.
+FAN, WIDTH = 256, 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    """orders: bytes of the contexts beside the word, rising, LAST to BEFORE; head: words whose counts are broadcast, at
-    most; rate: of learning; map_steps: cells of the map for each node; rounds: passes that learn weights and map."""
+    """orders: bytes of the contexts beside the whole word, rising, 1 to SHORT and LAST to EXACT; least: bytes of the
+    word's context where the word is shorter (5 or 6); head: words whose counts are broadcast, at most; rate: of learning;
+    map_steps: cells of the map for each node; rounds: passes that learn weights and map."""
 
-    orders: tuple[int, ...] = (3, 5)
+    orders: tuple[int, ...] = (1, 2, 4, 5)
+    least: int = 6
     head: int = 300_000
     rate: float = 0.02
     map_steps: int = 24
     rounds: int = 1
 
     def __post_init__(self):
-        if not self.orders or list(self.orders) != sorted(self.orders) or self.orders[0] < LAST or self.orders[-1] > BEFORE:
-            raise ValueError(f"orders rise from {LAST} to {BEFORE} at most")
+        if not self.orders or list(self.orders) != sorted(set(self.orders)) or not set(self.orders) <= {*range(1, SHORT + 1), *range(LAST, EXACT + 1)}:
+            raise ValueError(f"orders rise, from 1 to {SHORT} and from {LAST} to {EXACT}")
+        if not EXACT <= self.least <= EXACT + 1:
+            raise ValueError(f"least is {EXACT} or {EXACT + 1}")
 
     @property
     def n(self) -> int:
@@ -69,48 +81,43 @@ def joined(raws: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(END * BEFORE + r for r in raws) + END, np.array([len(r) for r in raws], np.int64)
 
 
-def byte_mask(n: np.ndarray | int) -> np.ndarray:
-    """The lowest n bytes, n up to 7."""
-    return (U(1) << (np.asarray(n).astype(U) * U(8))) - U(1)
-
-
 def steps_of(blob: bytes, sizes: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of joined texts, a bounded number of bytes at a time: the texts that have bytes there (their ends count as such),
-    how many each has, and the key of each byte: itself and all bytes before it that some context reads, latest lowest."""
+    how many each has, and the key of each byte: from the top the EXACT bytes before it, latest first, 16 bits of its
+    longest context's hash, and itself. A word that goes on from step to step carries its hash along."""
     start = np.cumsum(sizes + BEFORE) - sizes
+    carried, length = np.zeros(1, U), 0
     for x in range(BEFORE, len(blob), STEP_BYTES):
         y = min(x + STEP_BYTES, len(blob))
+        own = np.frombuffer(blob, np.uint8, y - x + BEFORE, x - BEFORE)
+        new = own[BEFORE:]
+        powers.reach(len(new) + 1)
+        sums = np.r_[U(0), np.cumsum(byte_values[new] * powers.up[: len(new)])]
+        place = np.arange(len(new) + 1)
+        begin = np.maximum.accumulate(np.r_[0, np.where((new <= 0x20) | (new == 0xFF), place[1:], 0)])  # of the word before each place; 0: before the step
+        goes_on = begin == 0
+        so_far = np.where(goes_on, carried + U(pow(int(powers.step), length, 2**64)) * sums, (sums - sums[begin]) * powers.down[begin])
+        so_long = place - begin + length * goes_on
+        carried, length = so_far[-1:], int(so_long[-1])
         first, last = np.searchsorted(start + sizes, x), np.searchsorted(start, y)
         low, high = np.maximum(start[first:last], x), np.minimum(start[first:last] + sizes[first:last] + 1, y)
         n = np.maximum(high - low, 0)
         if not n.sum():
             continue
-        own = np.frombuffer(blob, np.uint8, y - x + BEFORE, x - BEFORE)
-        turned = np.r_[own[::-1], np.zeros(BEFORE, np.uint8)]
-        key = np.ndarray((len(own),), "<u8", turned.tobytes(), strides=(1,))[::-1]
-        at = np.repeat(low - x + BEFORE - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place = np.arange(len(own), dtype=np.int32)
-        word = np.maximum.accumulate(np.where((own <= 0x20) | (own == 0xFF), place + 1, 0))  # where the word at a place begins
-        length = np.clip(at - word[at - 1], settings.orders[-1], BEFORE)
-        keep = np.r_[byte_mask(np.arange(BEFORE) + 1), ~U(0)]  # the byte itself and `length` bytes before it
-        yield np.arange(first, last), n, key[at] & keep[length]
-
-
-def contexts(key: np.ndarray, settings: Settings) -> list[np.ndarray]:
-    """The contexts of each key's byte, shortest first: so many bytes before it, and its word, of BEFORE bytes at most (but
-    LAST at least, beyond the word's beginning)."""
-    before = key >> U(8)
-    out = [before & byte_mask(o) for o in settings.orders]
-    length, inside = np.zeros(len(key), np.int64), np.ones(len(key), bool)
-    for i in range(BEFORE):
-        byte = (before >> U(8 * i)) & U(255)
-        inside &= (byte > U(0x20)) & (byte != U(255))
-        length += inside
-    return [*out, before & byte_mask(np.maximum(length, LAST))]
+        at = np.repeat(low - x - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        before = np.ndarray((len(new),), "<u8", own.tobytes(), strides=(1,))[at]
+        tag = mix(np.where(so_long[at] > settings.least, so_far[at], before >> U(64 - 8 * settings.least)), 4) >> U(48)
+        yield np.arange(first, last), n, (before >> U(64 - 8 * EXACT) << U(64 - 8 * EXACT)) | (tag << U(8)) | new[at]
+
+
+def context(key: np.ndarray, order: int) -> np.ndarray:
+    """The context of each key's byte: so many bytes before it, or for more than EXACT its word's."""
+    return key >> U(64 - 8 * order if order <= EXACT else 8)
 
 
 def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (mix((key >> U(8)) & byte_mask(LAST), 3) % U(n_buckets)).astype(np.int64)
+    """Of a power of two; fewer buckets are unions of them: the numbers' lower bits."""
+    return (mix(context(key, LAST), 3) & U(n_buckets - 1)).astype(np.int64)
 
 
 def counted(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,9 +144,9 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndarray, n_buckets: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a part's texts by bucket and then rising, how many of its texts' bytes make them where
-    the texts' marks often and once hold, and where buckets begin."""
+def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a part's texts, rising, and how many of its texts' bytes make them where the texts' marks
+    often and once hold."""
     held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32))]
     kind = often + 2 * once
 
@@ -154,10 +161,7 @@ def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndar
         if sum(len(h[0]) for h in held[1:]) > max(500_000, len(held[0][0])):
             together()
     together()
-    key, first, second = held[0]
-    bucket = bucket_of(key, n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    return key[order], first[order], second[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    return held[0]
 
 
 def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -214,15 +218,27 @@ class Mixer:
         return np.log(np.where(bit == 1, p, 1 - p))
 
 
+def short_counts(key: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(SHORT bytes, next byte) as a number of 24 bits, rising, and how often it comes."""
+    return counted((context(key, SHORT) << U(8)) | (key & U(255)), often)
+
+
 class Bucket:
-    """Keys whose contexts end alike, with the counts of all their contexts: none of them is counted elsewhere."""
+    """Keys whose contexts end alike, with the counts of all their contexts: those of LAST bytes and more aren't counted
+    elsewhere, those of up to SHORT bytes are `short`'s."""
 
-    def __init__(self, key: np.ndarray, often: np.ndarray, settings: Settings):
+    def __init__(self, key: np.ndarray, often: np.ndarray, settings: Settings, short: tuple[np.ndarray, np.ndarray]):
         self.byte, self.counted = (key & U(255)).astype(np.int64), []
-        for c in contexts(key, settings):
+        for order in (*settings.orders, EXACT + 1):
+            c = context(key, order)
             # few (context, byte) for many keys: what their nodes have seen is summed up there
             pair, number = np.unique((c << U(8)) | (key & U(255)), return_inverse=True)
-            self.counted.append((pair, number.astype(np.int32), np.bincount(number, often, len(pair))))
+            if order <= SHORT:
+                every, count = counted((short[0] >> U(8 * (SHORT + 1 - order)) << U(8)) | (short[0] & U(255)), short[1])
+                here = np.isin(every >> U(8), pair >> U(8))
+                self.counted.append((every[here], np.searchsorted(every[here], pair)[number].astype(np.int32), count[here]))
+            else:
+                self.counted.append((pair, number.astype(np.int32), np.bincount(number, often, len(pair))))
 
     def features(self, without_own: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
         """Inputs, gates, nodes and bits of each of the eight bits of all keys."""
@@ -308,13 +324,37 @@ def _parts(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"part bigint, doc_ids array<{kind}>, held_out array<boolean>, sizes binary, n_bytes bigint, bytes binary"), "parts")
 
 
-def _buckets(parts: DataFrame, settings: Settings) -> DataFrame:
-    """(bucket, key, often, once, parts, back): the distinct keys of all parts, how often training documents make them, and
-    which of them each part has. Of a text's copies in one part, `once` has one."""
-    total = parts.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = max(64, -(-total // BUCKET_BYTES))
+@dataclass
+class Levels:
+    """Tables (bucket, group, key, often, once, members, back) of merged messages: of parts first, of the groups before then;
+    the last has one row for each bucket. back: which of the row's keys each member has. widths: buckets of each table."""
+
+    tables: list[DataFrame]
+    widths: list[int]
+
+    @property
+    def top(self) -> DataFrame:
+        return self.tables[-1]
+
+
+def _messages(bucket: np.ndarray, member: int, key: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+    """Keys dealt to buckets, rising in each."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    blobs = [pa.array([packed_bytes(x) for x in np.split(v[order], first[1:])] if len(first) else [], pa.binary()) for v in (key, *(c.astype(np.uint32) for c in counts))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), member)), *blobs], names=["bucket", "member", "key", "often", "once"])
+
+
+def _levels(parts: DataFrame, settings: Settings) -> Levels:
+    """The distinct keys of all parts by bucket, how often training documents make them, and which of them each part has. Of
+    a text's copies in one part, `once` has one."""
+    found = parts.agg(F.sum("n_bytes"), F.count("*")).first()
+    n_buckets = 1 << max(6, (max(1, -(-(found[0] or 0) // BUCKET_BYTES)) - 1).bit_length())
+    width, groups, out = min(n_buckets, WIDTH), max(1, found[1]), Levels([], [])
+    message = "bucket bigint, member bigint, key binary, often binary, once binary"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             sizes, blob = unpacked(row["sizes"], np.int64), unpacked(row["bytes"], np.uint8).tobytes()
             often = 1 - np.array(row["held_out"], np.int64)
@@ -322,39 +362,66 @@ def _buckets(parts: DataFrame, settings: Settings) -> DataFrame:
             text = [hash(blob[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
             once = np.zeros_like(often)
             once[np.flatnonzero(often)[np.unique(np.array(text, np.int64)[often == 1], return_index=True)[1]]] = 1
-            key, *counts, border = part_counts(blob, sizes, often, once, n_buckets, settings)
-            found = np.flatnonzero(np.diff(border))
-            blobs = [pa.array([packed_bytes(v[border[b] : border[b + 1]]) for b in found], pa.binary()) for v in (key, *(c.astype(np.uint32) for c in counts))]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), row["part"])), *blobs], names=["bucket", "part", "key", "often", "once"])
+            key, *counts = part_counts(blob, sizes, often, once, settings)
+            yield _messages(bucket_of(key, width), row["part"], key, *counts)
 
     def merge(given: pd.DataFrame) -> pd.DataFrame:
-        given = given.sort_values("part")
+        given = given.sort_values("member")
         own = [unpacked(b, U) for b in given.key]
         key, number = np.unique(np.concatenate(own), return_inverse=True)
-        counts = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]), len(key))) for c in ("often", "once")]
-        back = [packed_bytes(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(number, np.cumsum([len(k) for k in own])[:-1])]  # rising, as a part's keys are
-        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "key": [packed_bytes(key)], "often": counts[:1], "once": counts[1:], "parts": [list(given.part)], "back": [back]})
+        counts = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]), len(key)).astype(np.uint32)) for c in ("often", "once")]
+        back = [packed_bytes(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(number, np.cumsum([len(k) for k in own])[:-1])]  # rising, as a member's keys are
+        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "group": given.group.iloc[:1], "key": [packed_bytes(key)], "often": counts[:1], "once": counts[1:], "members": [list(given.member)], "back": [back]})
+
+    sent = parts.select("part", "held_out", "sizes", "bytes").mapInArrow(send, message)
+    while True:
+        groups = -(-groups // FAN)
+        grouped = sent.withColumn("group", F.pmod(F.xxhash64("member"), F.lit(groups))).groupBy("bucket", "group")
+        merged = grouped.applyInPandas(merge, "bucket bigint, group bigint, key binary, often binary, once binary, members array<bigint>, back array<binary>")
+        out.tables.append(materialize(merged, "buckets"))
+        out.widths.append(width)
+        if groups == 1 and width == n_buckets:
+            return out
+        width = min(n_buckets, width * FAN)
+
+        def deal(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                key = unpacked(row["key"], U)
+                yield _messages(bucket_of(key, width), row["group"], key, unpacked(row["often"], np.uint32), unpacked(row["once"], np.uint32))
+
+        sent = out.top.select("group", "key", "often", "once").mapInArrow(deal, message)
+
 
-    sent = parts.select("part", "held_out", "sizes", "bytes").mapInArrow(send, "bucket int, part bigint, key binary, often binary, once binary")
-    return materialize(sent.groupBy("bucket").applyInPandas(merge, "bucket int, key binary, often binary, once binary, parts array<bigint>, back array<binary>"), "buckets")
+def _short_table(buckets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """short_counts of all buckets: 2^24 rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, U), np.zeros(0))]
+        for row in _rows(batches):
+            held.append(short_counts(unpacked(row["key"], U), unpacked(row["often"], np.uint32).astype(np.float64)))
+            held[:] = [counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["pair", "n"])
+
+    table = buckets.select("key", "often").mapInArrow(run, "pair bigint, n double").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    return table.column("pair").to_numpy().astype(U), table.column("n").to_numpy()
 
 
-def _opened(row: dict, settings: Settings) -> Bucket:
-    return Bucket(unpacked(row["key"], U), unpacked(row["often"], np.float64), settings)
+def _opened(row: dict, settings: Settings, short: tuple[np.ndarray, np.ndarray]) -> Bucket:
+    return Bucket(unpacked(row["key"], U), unpacked(row["often"], np.uint32).astype(np.float64), settings, short)
 
 
-def learn_mixer(buckets: DataFrame, settings: Settings) -> Mixer:
+def learn_mixer(buckets: DataFrame, settings: Settings, short: tuple[np.ndarray, np.ndarray]) -> Mixer:
     """Weights and map: learned online in each bucket from the same beginning, and averaged by what each gate and cell has seen."""
     mixer = Mixer.new(settings)
     start, gates = mixer.refined.astype(np.float64), len(mixer.weights)
     shapes = [gates * (settings.n + 1), gates, len(start), len(start)]
     for _ in range(settings.rounds):
-        shared = buckets.sparkSession.sparkContext.broadcast(mixer)
+        shared = buckets.sparkSession.sparkContext.broadcast((mixer, short))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat = np.zeros(sum(shapes))
             for row in _rows(batches):
-                w, seen, *cells = learn_bucket(_opened(row, settings), unpacked(row["once"], np.float64), shared.value)
+                w, seen, *cells = learn_bucket(_opened(row, settings, shared.value[1]), unpacked(row["once"], np.uint32).astype(np.float64), shared.value[0])
                 flat += np.concatenate([(w * seen[:, None]).ravel(), seen, *cells])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
@@ -368,19 +435,35 @@ def learn_mixer(buckets: DataFrame, settings: Settings) -> Mixer:
     return mixer
 
 
-def _values(buckets: DataFrame, mixer: Mixer) -> DataFrame:
-    """(part, v): of each part the keys of its texts and their natural log-probabilities, by bucket."""
-    shared = buckets.sparkSession.sparkContext.broadcast(mixer)
+def _values(levels: Levels, mixer: Mixer, short: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(part, v): of each part the keys of its texts and their natural log-probabilities. They are found in the last level's
+    buckets and handed down from level to level, to each member those of its own keys."""
+    shared = levels.top.sparkSession.sparkContext.broadcast((mixer, short))
+    given = levels.top
+    for level in range(len(levels.tables) - 1, -1, -1):
+        width, below = levels.widths[level], levels.widths[level - 1] if level else 0
+        above = levels.widths[level + 1] if level + 1 < len(levels.tables) else 0
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            key, value = unpacked(row["key"], U), find_bucket(_opened(row, shared.value.settings), shared.value).astype(np.float32)
-            for part, back in zip(row["parts"], row["back"], strict=True):
-                at = np.cumsum(unpacked(back, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([packed_bytes(key[at])], pa.binary()), pa.array([packed_bytes(value[at])], pa.binary())], names=["part", "key", "value"])
-
-    found = buckets.select("key", "often", "parts", "back").mapInArrow(answer, "part bigint, key binary, value binary")
-    return found.groupBy("part").agg(F.collect_list(F.struct("key", "value")).alias("v"))
+        def answer(batches: Iterator[pa.RecordBatch], width=width, above=above, below=below) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                key = unpacked(row["key"], U)
+                if above:
+                    value, finer = np.empty(len(key), np.float32), bucket_of(key, above)
+                    for x in row["v"]:
+                        value[finer == x["finer"]] = unpacked(x["value"], np.float32)
+                else:
+                    value = find_bucket(_opened(row, shared.value[0].settings, shared.value[1]), shared.value[0]).astype(np.float32)
+                for member, back in zip(row["members"], row["back"], strict=True):
+                    at = np.cumsum(unpacked(back, np.int32))
+                    keys = b"" if below else packed_bytes(key[at])
+                    bucket = row["bucket"] & (below - 1) if below else 0
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([member], pa.int64()), pa.array([row["bucket"]]), pa.array([keys], pa.binary()), pa.array([packed_bytes(value[at])], pa.binary())], names=["bucket", "group", "finer", "key", "value"])
+
+        own = given.select("bucket", "key", *([] if above else ["often"]), "members", "back", *(["v"] if above else []))
+        found = own.mapInArrow(answer, "bucket bigint, group bigint, finer bigint, key binary, value binary")
+        if level:
+            given = levels.tables[level - 1].join(found.groupBy("bucket", "group").agg(F.collect_list(F.struct("finer", "value")).alias("v")), ["bucket", "group"])
+    return found.groupBy(F.col("group").alias("part")).agg(F.collect_list(F.struct("key", "value")).alias("v"))
 
 
 def part_scores(blob: bytes, sizes: np.ndarray, key: np.ndarray, value: np.ndarray, settings: Settings) -> np.ndarray:
@@ -460,8 +543,9 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     shared = spark.sparkContext.broadcast(([w.encode() for w in head.column("word").to_pylist()], np.log10((head.column("c").to_numpy() + 0.5) / below)))
     end_score = float(np.log10((ends + 0.5) / below))
     del head
-    buckets = _buckets(parts, settings)
-    values = _values(buckets, learn_mixer(buckets, settings))
+    levels = _levels(parts, settings)
+    short = _short_table(levels.top)
+    values = _values(levels, learn_mixer(levels.top, settings, short), short)
     key_of_words = uuid.uuid4().hex
     kind = plain.schema["doc_id"].dataType.simpleString()
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]

@@ -16,12 +16,12 @@ SPACE = {0xFF, *range(0x21)}
 
 def plain_contexts(text, settings):
     """Of each byte and the end: the byte and its contexts as byte strings."""
-    padded = b"\xff" * 7 + text + b"\xff"
-    for p in range(7, len(padded)):
-        before, n = padded[p - 7 : p], 0
-        while n < 7 and before[6 - n] not in SPACE:
+    padded = b"\xff" * 8 + text + b"\xff"
+    for p in range(8, len(padded)):
+        n = 0
+        while padded[p - 1 - n] not in SPACE:
             n += 1
-        yield padded[p], [*(before[7 - o :] for o in settings.orders), before[7 - max(n, 3) :]]
+        yield padded[p], [padded[p - o : p] for o in (*settings.orders, max(n, settings.least))]
 
 
 def plain_counts(texts, settings):
@@ -54,13 +54,16 @@ def plain_score(text, counts, mixer):
 TEXTS = ["The cat sat on the mat.", "the cat SAT on the mat.", "", None, "a dog sat on a log\nand extraordinarily extraordinarily", "aaaa aaaaaaaaaaaaa", "ünï\x00code \ufffd", "the cat sat on the mat."]
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_scores(spark, monkeypatch, rounds):
-    """The whole operator, in small parts and steps, against the plain model with the same weights and map."""
+@pytest.mark.parametrize(("rounds", "least", "fan"), [(0, 6, 256), (1, 6, 256), (1, 5, 2)])
+def test_scores(spark, monkeypatch, rounds, least, fan):
+    """The whole operator, in small parts and steps, and over several levels of few messages each, against the plain model with
+    the same weights and map."""
     monkeypatch.setattr(lm, "PART_BYTES", 60)
-    settings, made = lm.Settings(rounds=rounds), []
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "WIDTH", 4 if fan == 2 else 1024)
+    settings, made = lm.Settings(rounds=rounds, least=least), []
     own = lm.learn_mixer
-    monkeypatch.setattr(lm, "learn_mixer", lambda b, s: made.append(own(b, s)) or made[0])
+    monkeypatch.setattr(lm, "learn_mixer", lambda b, s, t: made.append(own(b, s, t)) or made[0])
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, "a repeated id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.score): r for r in lm.score_documents(df, F.col("doc_id").isin(1, 4), settings).collect()}
@@ -74,9 +77,9 @@ def test_steps_change_nothing(monkeypatch):
     raws = [b"", b"x" * 90, *(f"text {i} of some words {i % 3}".encode() for i in range(30)), b""]
     blob, sizes = lm.joined(raws)
     ones = np.ones(len(raws), int)
-    whole = lm.part_counts(blob, sizes, ones, ones, 7, S)
+    whole = lm.part_counts(blob, sizes, ones, ones, S)
     monkeypatch.setattr(lm, "STEP_BYTES", 50)
-    for a, b in zip(whole, lm.part_counts(blob, sizes, ones, ones, 7, S), strict=True):
+    for a, b in zip(whole, lm.part_counts(blob, sizes, ones, ones, S), strict=True):
         assert np.array_equal(a, b)
     assert whole[1].sum() == sum(len(r) + 1 for r in raws)
     value = np.arange(len(whole[0]), dtype=float)
@@ -93,15 +96,16 @@ def test_a_distribution():
     """After any bytes the probabilities of all next bytes sum to one, and a text seen before is likelier."""
     raws = [b"the cat sat on the mat", b"the dog sat on the log"] * 5
     blob, sizes = lm.joined(raws)
-    key, often, once, _ = lm.part_counts(blob, sizes, np.ones(10, int), np.ones(10, int), 1, S)
-    bucket = lm.Bucket(key, often, S)
+    key, often, once = lm.part_counts(blob, sizes, np.ones(10, int), np.ones(10, int), S)
+    bucket = lm.Bucket(key, often, S, lm.short_counts(key, often.astype(float)))
     w, seen, ones, all_ = lm.learn_bucket(bucket, once, lm.Mixer.new(S))
     mixer = lm.Mixer(S, w, ((lm.Mixer.new(S).refined * 30 + ones) / (30 + all_)).astype(np.float32))
     for one in (key[5], key[20]):
         every = (one & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
         both = np.concatenate([key[~np.isin(key, every)], every])
         count = dict(zip(key.tolist(), often.tolist(), strict=True))
-        bucket = lm.Bucket(both, np.array([count.get(k, 0.0) for k in both.tolist()]), S)
+        times = np.array([count.get(k, 0.0) for k in both.tolist()])
+        bucket = lm.Bucket(both, times, S, lm.short_counts(both, times))
         assert np.exp(lm.find_bucket(bucket, mixer)[-256:]).sum() == pytest.approx(1, abs=1e-3)
 
 
