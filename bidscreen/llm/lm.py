@@ -55,7 +55,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 4, 5)
     least: int = 6
     head: int = 300_000
-    rate: float = 0.02
+    rate: float = 0.06
     map_steps: int = 24
     rounds: int = 1
 
