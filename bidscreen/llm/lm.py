@@ -41,7 +41,7 @@ END = b"\xff"
 #: key has as they are (at most), and ends before each text.
 LAST, SHORT, EXACT, BEFORE = 4, 2, 5, 8
 #: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
-PART_BYTES, STEP_BYTES, BUCKET_BYTES = 16 << 20, 1 << 19, 16 << 20
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 19, 16 << 20
 #: Messages merged at once, about, and buckets that a part is dealt to at first.
 FAN, WIDTH = 256, 1024
 
@@ -106,7 +106,8 @@ def steps_of(blob: bytes, sizes: np.ndarray, settings: Settings) -> Iterator[tup
             continue
         at = np.repeat(low - x - (np.cumsum(n) - n), n) + np.arange(n.sum())
         before = np.ndarray((len(new),), "<u8", own.tobytes(), strides=(1,))[at]
-        tag = mix(np.where(so_long[at] > settings.least, so_far[at], before >> U(64 - 8 * settings.least)), 4) >> U(48)
+        sixth = (before >> U(16)) & U(255 if settings.least > EXACT else 0)  # as it is: it packs better than a hash
+        tag = np.where(so_long[at] > settings.least, mix(so_far[at], 4) >> U(48), sixth)
         yield np.arange(first, last), n, (before >> U(64 - 8 * EXACT) << U(64 - 8 * EXACT)) | (tag << U(8)) | new[at]
 
 
@@ -244,7 +245,7 @@ class Bucket:
         """Inputs, gates, nodes and bits of each of the eight bits of all keys."""
         for t, node, bit in steps(self.byte):
             inputs, seen = [], []
-            for pair, number, count in self.counted:
+            for i, (pair, number, count) in enumerate(self.counted):
                 prefix = pair >> U(8 - t)
                 of = np.cumsum(np.r_[False, prefix[1:] != prefix[:-1]])
                 one = ((pair >> U(7 - t)) & U(1)).astype(np.float64)
@@ -254,7 +255,8 @@ class Bucket:
                 if without_own:
                     n1, n0 = np.maximum(n1 - one, 0), np.maximum(n0 - (1 - one), 0)
                 inputs.append(stretch(n0, n1)[number])
-                seen.append(trust(n0 + n1)[number].astype(np.int64))
+                if i >= len(self.counted) - 2:
+                    seen.append(trust(n0 + n1)[number].astype(np.int64))
             yield inputs, (t * 4 + seen[-1]) * 4 + seen[-2], node, bit
 
 
@@ -326,8 +328,9 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Levels:
-    """Tables (bucket, group, key, often, once, members, back) of merged messages: of parts first, of the groups before then;
-    the last has one row for each bucket. back: which of the row's keys each member has. widths: buckets of each table."""
+    """Tables (bucket, group, key, often, more, members, back) of merged messages: of parts first, of the groups before then;
+    the last has one row for each bucket. more: what copies add, nearly always nothing; back: which of the row's keys each
+    member has. widths: buckets of each table."""
 
     tables: list[DataFrame]
     widths: list[int]
@@ -343,16 +346,16 @@ def _messages(bucket: np.ndarray, member: int, key: np.ndarray, *counts: np.ndar
     bucket = bucket[order]
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
     blobs = [pa.array([packed_bytes(x) for x in np.split(v[order], first[1:])] if len(first) else [], pa.binary()) for v in (key, *(c.astype(np.uint32) for c in counts))]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), member)), *blobs], names=["bucket", "member", "key", "often", "once"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), member)), *blobs], names=["bucket", "member", "key", "often", "more"])
 
 
 def _levels(parts: DataFrame, settings: Settings) -> Levels:
-    """The distinct keys of all parts by bucket, how often training documents make them, and which of them each part has. Of
-    a text's copies in one part, `once` has one."""
+    """The distinct keys of all parts by bucket, how often training documents make them, how often only copies within a part
+    do, and which of them each part has."""
     found = parts.agg(F.sum("n_bytes"), F.count("*")).first()
     n_buckets = 1 << max(6, (max(1, -(-(found[0] or 0) // BUCKET_BYTES)) - 1).bit_length())
     width, groups, out = min(n_buckets, WIDTH), max(1, found[1]), Levels([], [])
-    message = "bucket bigint, member bigint, key binary, often binary, once binary"
+    message = "bucket bigint, member bigint, key binary, often binary, more binary"
 
     def send(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -362,22 +365,22 @@ def _levels(parts: DataFrame, settings: Settings) -> Levels:
             text = [hash(blob[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
             once = np.zeros_like(often)
             once[np.flatnonzero(often)[np.unique(np.array(text, np.int64)[often == 1], return_index=True)[1]]] = 1
-            key, *counts = part_counts(blob, sizes, often, once, settings)
-            yield _messages(bucket_of(key, width), row["part"], key, *counts)
+            key, often, once = part_counts(blob, sizes, often, once, settings)
+            yield _messages(bucket_of(key, width), row["part"], key, often, often - once)
 
     def merge(given: pd.DataFrame) -> pd.DataFrame:
         given = given.sort_values("member")
         own = [unpacked(b, U) for b in given.key]
         key, number = np.unique(np.concatenate(own), return_inverse=True)
-        counts = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]), len(key)).astype(np.uint32)) for c in ("often", "once")]
+        counts = [packed_bytes(np.bincount(number, np.concatenate([unpacked(b, np.uint32) for b in given[c]]), len(key)).astype(np.uint32)) for c in ("often", "more")]
         back = [packed_bytes(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(number, np.cumsum([len(k) for k in own])[:-1])]  # rising, as a member's keys are
-        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "group": given.group.iloc[:1], "key": [packed_bytes(key)], "often": counts[:1], "once": counts[1:], "members": [list(given.member)], "back": [back]})
+        return pd.DataFrame({"bucket": given.bucket.iloc[:1], "group": given.group.iloc[:1], "key": [packed_bytes(key)], "often": counts[:1], "more": counts[1:], "members": [list(given.member)], "back": [back]})
 
     sent = parts.select("part", "held_out", "sizes", "bytes").mapInArrow(send, message)
     while True:
         groups = -(-groups // FAN)
         grouped = sent.withColumn("group", F.pmod(F.xxhash64("member"), F.lit(groups))).groupBy("bucket", "group")
-        merged = grouped.applyInPandas(merge, "bucket bigint, group bigint, key binary, often binary, once binary, members array<bigint>, back array<binary>")
+        merged = grouped.applyInPandas(merge, "bucket bigint, group bigint, key binary, often binary, more binary, members array<bigint>, back array<binary>")
         out.tables.append(materialize(merged, "buckets"))
         out.widths.append(width)
         if groups == 1 and width == n_buckets:
@@ -387,9 +390,9 @@ def _levels(parts: DataFrame, settings: Settings) -> Levels:
         def deal(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
                 key = unpacked(row["key"], U)
-                yield _messages(bucket_of(key, width), row["group"], key, unpacked(row["often"], np.uint32), unpacked(row["once"], np.uint32))
+                yield _messages(bucket_of(key, width), row["group"], key, unpacked(row["often"], np.uint32), unpacked(row["more"], np.uint32))
 
-        sent = out.top.select("group", "key", "often", "once").mapInArrow(deal, message)
+        sent = out.top.select("group", "key", "often", "more").mapInArrow(deal, message)
 
 
 def _short_table(buckets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -421,12 +424,13 @@ def learn_mixer(buckets: DataFrame, settings: Settings, short: tuple[np.ndarray,
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat = np.zeros(sum(shapes))
             for row in _rows(batches):
-                w, seen, *cells = learn_bucket(_opened(row, settings, shared.value[1]), unpacked(row["once"], np.uint32).astype(np.float64), shared.value[0])
+                once = unpacked(row["often"], np.uint32).astype(np.float64) - unpacked(row["more"], np.uint32)
+                w, seen, *cells = learn_bucket(_opened(row, settings, shared.value[1]), once, shared.value[0])
                 flat += np.concatenate([(w * seen[:, None]).ravel(), seen, *cells])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
 
-        sums = buckets.select("key", "often", "once").mapInArrow(learn, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        sums = buckets.select("key", "often", "more").mapInArrow(learn, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         flat = np.zeros(sum(shapes))
         flat[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
         weights, seen, ones, all_ = np.split(flat, np.cumsum(shapes)[:-1])
