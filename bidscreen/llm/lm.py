@@ -41,7 +41,7 @@ END = b"\xff"
 #: key has as they are (at most), and ends before each text.
 LAST, SHORT, EXACT, BEFORE = 4, 2, 5, 8
 #: Bytes of text in one part, in one step of its work, and a bucket's share of all texts.
-PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 19, 16 << 20
+PART_BYTES, STEP_BYTES, BUCKET_BYTES = 8 << 20, 1 << 18, 16 << 20
 #: Messages merged at once, about, and buckets that a part is dealt to at first.
 FAN, WIDTH = 256, 1024
 
@@ -137,7 +137,7 @@ def counted(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
 def packed_bytes(values: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes, kind: type) -> np.ndarray:
@@ -159,7 +159,7 @@ def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndar
         for k in np.unique(kind[texts]).tolist():
             found, times = counted(key[own == k])
             held.append((found, (times * (k % 2)).astype(np.int32), (times * (k // 2)).astype(np.int32)))
-        if sum(len(h[0]) for h in held[1:]) > max(500_000, len(held[0][0])):
+        if sum(len(h[0]) for h in held[1:]) > max(250_000, len(held[0][0]) // 4):
             together()
     together()
     return held[0]
