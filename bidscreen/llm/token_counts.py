@@ -74,6 +74,13 @@ def _batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, rule: str):
         yield batch.column(0), np.diff(at), starts, sizes, counts, crossing, base
 
 
+def _bounds(starts: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sections begin and end in their documents."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
+    return starts - base[row], np.where(last, base[row + 1], np.r_[starts[1:], 0][: len(row)]) - base[row]
+
+
 def count_by_section(docs: DataFrame, tokenizer_path: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each line of each document.
 
@@ -88,25 +95,32 @@ def count_by_section(docs: DataFrame, tokenizer_path: str, rule: str = "start",
         for ids, _, starts, sizes, counts, crossing, base in _batches(batches, tokenizer_path, rule):
             row = np.repeat(np.arange(len(sizes)), sizes)
             section = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            begin = starts - base[row]
-            last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
-            end = np.where(last, base[row + 1], np.r_[starts[1:], 0]) - base[row]
+            begin, end = _bounds(starts, sizes, base)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(section.astype(np.int32)), pa.array(begin), pa.array(end), pa.array(counts), pa.array(crossing.astype(np.int64))], names=["id", "section", "begin", "end", "n_tokens", "n_crossing"])
 
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, section int, begin bigint, end bigint, n_tokens double, n_crossing bigint").withColumnRenamed("id", id_col)
 
 
-def count_by_document(docs: DataFrame, tokenizer_path: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_with_sections(docs: DataFrame, tokenizer_path: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document over the same sections: n_tokens, n_sections, n_crossing, max_section_tokens
-    (double), section_crc32 (of the sections' counts as little-endian doubles, in order)."""
+    (double), section_crc32 (of the sections' counts as little-endian doubles, in order), and sections: all that
+    count_by_section gives of them, in order (begin, end, n_tokens, n_crossing)."""
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
-        for ids, tokens, _, sizes, counts, crossing, _ in _batches(batches, tokenizer_path, rule):
+        for ids, tokens, starts, sizes, counts, crossing, base in _batches(batches, tokenizer_path, rule):
             begin = np.cumsum(sizes) - sizes
             most, cross = (np.maximum.reduceat(counts, begin), np.add.reduceat(crossing, begin)) if len(sizes) else (counts, crossing)
             raw = counts.astype("<f8").tobytes()
             crc = [zlib.crc32(raw[8 * b : 8 * (b + n)]) for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.int64()), pa.array(sizes), pa.array(cross.astype(np.int64)), pa.array(most), pa.array(crc, pa.int64())], names=["id", "n_tokens", "n_sections", "n_crossing", "max_section_tokens", "section_crc32"])
+            first, last = _bounds(starts, sizes, base)
+            section = pa.StructArray.from_arrays([pa.array(first), pa.array(last), pa.array(counts), pa.array(crossing.astype(np.int64))], names=["begin", "end", "n_tokens", "n_crossing"])
+            sections = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), section)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.int64()), pa.array(sizes), pa.array(cross.astype(np.int64)), pa.array(most), pa.array(crc, pa.int64()), sections], names=["id", "n_tokens", "n_sections", "n_crossing", "max_section_tokens", "section_crc32", "sections"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens bigint, n_sections bigint, n_crossing bigint, max_section_tokens double, section_crc32 bigint").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens bigint, n_sections bigint, n_crossing bigint, max_section_tokens double, section_crc32 bigint, sections array<struct<begin: bigint, end: bigint, n_tokens: double, n_crossing: bigint>>").withColumnRenamed("id", id_col)
+
+
+def count_by_document(docs: DataFrame, tokenizer_path: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """count_with_sections without the sections themselves."""
+    return count_with_sections(docs, tokenizer_path, rule, id_col, text_col).drop("sections")
