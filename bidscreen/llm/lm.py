@@ -25,6 +25,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -124,7 +125,7 @@ def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
 def counted(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct values, rising, and the sum of each weight; of no weights, how often each value comes."""
     if weights:
-        order = np.argsort(values)
+        order = np.argsort(values, kind="stable")  # merges what are rising stretches
         values, weights = values[order], [w[order] for w in weights]
     else:
         values = np.sort(values)
@@ -159,7 +160,7 @@ def part_counts(blob: bytes, sizes: np.ndarray, often: np.ndarray, once: np.ndar
         for k in np.unique(kind[texts]).tolist():
             found, times = counted(key[own == k])
             held.append((found, (times * (k % 2)).astype(np.int32), (times * (k // 2)).astype(np.int32)))
-        if sum(len(h[0]) for h in held[1:]) > max(250_000, len(held[0][0]) // 4):
+        if sum(len(h[0]) for h in held[1:]) > max(250_000, len(held[0][0])):
             together()
     together()
     return held[0]
@@ -172,7 +173,7 @@ def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def trust(n: np.ndarray) -> np.ndarray:
     """How much a context has seen: none, little, some, much."""
-    return np.searchsorted(np.array([1, 4, 32]), n, side="right").astype(np.uint8)
+    return (n >= 1).astype(np.uint8) + (n >= 4) + (n >= 32)
 
 
 def steps(byte: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -472,7 +473,7 @@ def _values(levels: Levels, mixer: Mixer, short: tuple[np.ndarray, np.ndarray])
 
 def part_scores(blob: bytes, sizes: np.ndarray, key: np.ndarray, value: np.ndarray, settings: Settings) -> np.ndarray:
     """Log10 probability of each text of a part; key, value: the log-probabilities of all keys of its texts."""
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")  # merges the buckets' keys, which rise
     key, value = key[order], value[order].astype(np.float64)
     out = np.zeros(len(sizes))
     for texts, n, own in steps_of(blob, sizes, settings):
@@ -569,7 +570,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
                 n_tokens, n_known, base, row, word, times = [], [], [], [], [], []
                 for r, a, n in zip(rows.tolist(), begin.tolist(), sizes.tolist(), strict=True):
                     own = blob[a : a + n].split()
-                    at = np.array([get(w, -1) for w in own], np.int64)
+                    at = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
                     found = at[at >= 0]
                     n_tokens.append(len(own) + 1)
                     n_known.append(len(found) + (ends > 0))
