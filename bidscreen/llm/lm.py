@@ -138,7 +138,7 @@ def counted(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
 def packed_bytes(values: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes, kind: type) -> np.ndarray:
