@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidscreen.sources.shared import shuffles_removed
+
 
 def upsert(current: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("task_id", "chunk_id"), version: str = "version") -> DataFrame:
     """current and new rows with the last version of each key."""
@@ -36,7 +38,8 @@ def write_report(lines: DataFrame, path: str, max_rows: int = 100_000) -> None:
     head = F.to_json(F.struct("task_id", "kind", "place"), {"ignoreNullFields": "false"})
     line = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"body":'), F.coalesce("body", F.lit("null")), F.lit("}"))
     by = ["task_id", "kind", "place"]
-    lines.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("head", head).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", max_rows).text(f"{path}/pieces")
+    with shuffles_removed(lines.sparkSession):
+        lines.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("head", head).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", max_rows).text(f"{path}/pieces")
     rows = lines.sparkSession.read.schema(_LINE).json(f"{path}/pieces").select("task_id", "kind", "place", F.col("_metadata.file_name").alias("file"))
     index = rows.groupBy("file", "task_id", "kind").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
     index.write.mode("overwrite").parquet(f"{path}/index")
@@ -73,7 +76,8 @@ def csv_rows(pairs: DataFrame) -> DataFrame:
 
 
 def write_csv(pairs: DataFrame, path: str) -> None:
-    csv_rows(pairs).write.mode("overwrite").option("header", "true").options(quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    with shuffles_removed(pairs.sparkSession):
+        csv_rows(pairs).write.mode("overwrite").option("header", "true").options(quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Where shared tables go."""
 
 import os
+import time
 
 import pytest
 
@@ -39,3 +40,14 @@ def test_owned_tables_are_deleted_at_the_end(spark):
         here = lambda n: os.path.exists(files[n].removeprefix("file://"))
         assert not here("inner") and here("outer") and outer.count() == 3
     assert not here("outer") and here("kept") and kept.count() == 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    known = lambda: set(filter(None, spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",")))
+    before, setting = known(), spark.conf.get(shared.CLEANUP, None)
+    table = shared.written(spark.range(1_000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+    end = time.time() + 20
+    while known() - before and time.time() < end:  # files are removed beside the driver's work
+        time.sleep(0.1)
+    assert not known() - before and spark.conf.get(shared.CLEANUP, None) == setting
+    assert table.count() == 7
