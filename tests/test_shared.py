@@ -51,3 +51,17 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not known() - before and spark.conf.get(shared.CLEANUP, None) == setting
     assert table.count() == 7
+
+
+def test_candidates_leave_their_result_alone(spark, tmp_path):
+    """What similar chunks were found by is deleted; what a query goes on to read isn't."""
+    from bidscreen.plans import base
+
+    text = "\n".join(f"passage {i} of words that stand in every document of one source" for i in range(3))
+    spark.createDataFrame([(i, f"{text}\nown{i} words{i} here{i}", "en", "s") for i in range(4)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    before = {*os.listdir(folder)}
+    pairs = base.scored_pairs(spark, str(tmp_path))
+    left = {n.rsplit("-", 5)[0] for n in {*os.listdir(folder)} - before}
+    assert {"chunks", "pairs"} <= left and not left & {"vectors", "unit", "near", "classes", "lists", "candidates", "weights"}
+    assert pairs.count() > 0
